@@ -1,0 +1,8 @@
+"""Training-data operators. Nothing outside this subpackage imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python functions travel to the executors by value, so that a cluster needs no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
