@@ -24,10 +24,10 @@ f AS (SELECT *, 3e0 * source_size AS cap, 3e0 * source_size / w AS full_at FROM
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER earlier, 0e0)) / (sum(w) OVER () - coalesce(sum(w) OVER earlier, 0e0)) AS level, row_number() OVER (ORDER BY full_at, no_source, source) AS rank
       FROM f WINDOW earlier AS (ORDER BY full_at, no_source, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT no_source, source, source_size, least(coalesce((SELECT arg_min(level, rank) FROM l WHERE level <= full_at) * w, cap), cap) AS target FROM l),
-p AS (SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY no_source, source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at,
+p AS (SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY no_source, source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
       least(floor(target / greatest(source_size, 1)), 3) AS epochs FROM d JOIN t USING (no_source, source))
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (epochs * size + greatest(0, least(size, CASE WHEN epochs < 3 THEN floor(target - epochs * source_size) ELSE 0 END - at)))::BIGINT AS taken FROM p
+       (epochs * size + greatest(0, least(size, CASE WHEN epochs < 3 THEN floor(target - epochs * source_size) ELSE 0 END - before)))::BIGINT AS taken FROM p
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing}
