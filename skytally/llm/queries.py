@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import mix
+from .warczip import read_archives, write_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,5 +31,18 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
        (epochs * size + greatest(0, least(size, CASE WHEN epochs < 3 THEN floor(target - epochs * source_size) ELSE 0 END - before)))::BIGINT AS taken FROM p
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing}
-SQL: dict[str, str] = {"op1_mixing": OP1_SQL}
+
+def op9_warczip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_archives(write_archives(table(spark, sf_dir, "pages")), payloads=False).drop("url")
+
+
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS hex FROM p),
+d AS (SELECT *, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, k * 5 + 1, 5))::BIGINT >> (15 - 5 * j)) & 31)::INT + 1, 1), '' ORDER BY k, j)
+      FROM range(8) a(k), range(4) c(j)) AS payload_digest, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS largest FROM h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> largest THEN largest END AS refers_to FROM d
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op9_warczip": op9_warczip}
+SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op9_warczip": OP9_SQL}
