@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam import find as find_benchmark
+from .langid import identify
 from .mixing import mix
+from .preference import segments
 from .warczip import read_archives, write_archives
 
 
@@ -63,5 +65,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op5_decontam": op5_decontam, "op9_warczip": op9_warczip}
-SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_decontam": OP5_SQL, "op9_warczip": OP9_SQL}
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) form pair k."""
+    turns = table(spark, sf_dir, "conversations")
+    return segments(turns, F.floor(turns["conv_id"] / 2).cast("long"), F.pmod(turns["conv_id"], F.lit(2)) == 0)
+
+
+OP6_SQL = r"""
+WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS good, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT pair_id, turn, list_sort(list(role || chr(10) || text) FILTER (good)) IS DISTINCT FROM list_sort(list(role || chr(10) || text) FILTER (NOT good)) AS differs FROM t GROUP BY 1, 2),
+c AS (SELECT pair_id, min(turn) FILTER (differs) AS cut FROM s GROUP BY 1),
+b AS (SELECT pair_id, count(DISTINCT good) = 2 AS paired FROM t GROUP BY 1),
+r AS (SELECT t.*, paired, paired AND (cut IS NULL OR turn < cut) AS common FROM t JOIN c USING (pair_id) JOIN b USING (pair_id))
+SELECT pair_id, paired, CASE WHEN common THEN 'prompt' WHEN good THEN 'chosen' ELSE 'rejected' END AS part, turn, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered, NOT common AND role = 'assistant' AS loss
+FROM r WHERE NOT common OR good
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_langid": op2_langid, "op5_decontam": op5_decontam, "op6_preference": op6_preference, "op9_warczip": op9_warczip}
+SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_decontam": OP5_SQL, "op6_preference": OP6_SQL, "op9_warczip": OP9_SQL}
