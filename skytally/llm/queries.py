@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .balltree import top_k
 from .decontam import find as find_benchmark
 from .langid import identify
 from .mixing import mix
@@ -85,5 +86,18 @@ SELECT pair_id, paired, CASE WHEN common THEN 'prompt' WHEN good THEN 'chosen' E
 FROM r WHERE NOT common OR good
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_langid": op2_langid, "op5_decontam": op5_decontam, "op6_preference": op6_preference, "op9_warczip": op9_warczip}
-SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_decontam": OP5_SQL, "op6_preference": OP6_SQL, "op9_warczip": OP9_SQL}
+def op4_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors["vec_id"] % 50 == 0, k=5, scale=256)
+
+
+OP4_SQL = r"""
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(256e0 * x::DOUBLE)) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_langid": op2_langid, "op4_balltree": op4_balltree, "op5_decontam": op5_decontam, "op6_preference": op6_preference, "op9_warczip": op9_warczip}
+SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op4_balltree": OP4_SQL, "op5_decontam": OP5_SQL, "op6_preference": OP6_SQL, "op9_warczip": OP9_SQL}
