@@ -161,7 +161,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int")
     points = rows.select("vec_id", "q", "dim", shard.alias("shard"))
-    queries = rows.where("is_query").select(F.col("vec_id").alias("query_id"), "q", "dim", block.alias("block"))
+    queries = rows.where("is_query").select(F.col("vec_id").alias("query_id"), F.col("q").alias("q"), F.col("dim").alias("dim"), block.alias("block"))
     home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
     on = ["dim", "shard", "block"]
 
