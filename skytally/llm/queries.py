@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .balltree import top_k
 from .decontam import find as find_benchmark
 from .langid import identify
+from .linedup import dedup_lines
 from .mixing import mix
 from .preference import segments
 from .warczip import read_archives, write_archives
@@ -99,5 +100,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_langid": op2_langid, "op4_balltree": op4_balltree, "op5_decontam": op5_decontam, "op6_preference": op6_preference, "op9_warczip": op9_warczip}
+def op7_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_langid": op2_langid, "op4_balltree": op4_balltree, "op5_decontam": op5_decontam, "op6_preference": op6_preference, "op7_linedup": op7_linedup, "op9_warczip": op9_warczip}
 SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op4_balltree": OP4_SQL, "op5_decontam": OP5_SQL, "op6_preference": OP6_SQL, "op9_warczip": OP9_SQL}
