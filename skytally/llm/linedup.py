@@ -1,6 +1,6 @@
 """Fuzzy line deduplication, in DataFrame operations alone.
 
-Lines are normalised (lower case, runs of other characters than letters and digits become one space) and equal ones are counted as one. Each different line
+Lines are normalised (lower case, runs of ASCII characters other than letters and digits become one space) and equal ones are counted as one. Each different line
 of at least MIN_WORDS words gets a 256-bit SimHash of its words, cut into 8 blocks of 32 bits: lines whose hashes differ in at most 7 bits agree in a whole block (pigeonhole), most of
 those that differ in some more bits do too. Lines that share a block are linked if the edit similarity of their normalised texts is at least 0.8.
 Of each connected group of lines the first occurrence, by (doc_id, line number), stays and all others go.
@@ -8,7 +8,7 @@ Of each connected group of lines the first occurrence, by (doc_id, line number),
 SimHash without a row a bit: 8-bit counters of eight bits of a hash lie in one long, so that 32 sums per line hold the 256 counters. A counter may not
 exceed 127, so a line is summed in runs of 127 words, each with a SimHash of its own.
 
-Defined results. Lines end with a line feed. Empty lines and lines without letters and digits stay and are never linked. Lines of fewer than MIN_WORDS words are linked to equal ones only. Null texts stay null.
+Defined results. Lines end with a line feed. Empty lines and lines without letters, digits and other characters than ASCII stay and are never linked. Lines of fewer than MIN_WORDS words are linked to equal ones only. Null texts stay null.
 A text all of whose lines go becomes empty. A null doc_id orders last; rows equal in doc_id and text are the same document and keep the same lines. All columns pass through, text excepted.
 """
 
@@ -21,12 +21,14 @@ from .common import is_small, lookup, materialise, shared_folder
 from .linking import components, link
 
 MIN_WORDS, SIMILARITY, RUN = 5, 0.8, 127
+#: Listed one by one: Java looks such a class up in a table.
+OTHER = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum() and chr(c) != "\n") + "]+"
 NULL_ID = 2**63 - 1
 
 
 def normalised(text: Column) -> Column:
     """The normalised lines of a text as an array."""
-    flat = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+    flat = F.regexp_replace(F.lower(text), OTHER, " ")
     return F.split(flat, "\n", -1)
 
 
