@@ -18,14 +18,21 @@ from pyspark.sql import functions as F
 
 from .common import is_small, lookup, materialise, shared_folder
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Word characters are digits, ASCII letters of either case (lower-cased after the cut) and all that is not ASCII. Java looks a class of listed characters up in a table, but tries ranges one by one.
+WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stand after a document's last word, so that its length is in the index; the second marks a null doc_id.
 END, END_NULL = "", " "
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words as they are written."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+
+
+def lowered(word: Column) -> Column:
+    """A-Z in lower case, and nothing else."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
 def key(docs: DataFrame) -> list[Column]:
@@ -35,7 +42,7 @@ def key(docs: DataFrame) -> list[Column]:
 
 def item_terms(items: DataFrame) -> DataFrame:
     """(item, name, ipos, n, word) of each item; item numbers the distinct (id, words)."""
-    w = items.select(F.coalesce(items["item_id"].cast("string"), F.lit("null")).alias("name"), words(items["text"]).alias("w")).where(F.size("w") > 0).distinct()
+    w = items.select(F.coalesce(items["item_id"].cast("string"), F.lit("null")).alias("name"), F.transform(words(items["text"]), lowered).alias("w")).where(F.size("w") > 0).distinct()
     return w.select(F.xxhash64("name", "w").alias("item"), "name", F.size("w").alias("n"), F.posexplode("w").alias("ipos", "word"))
 
 
@@ -43,6 +50,7 @@ def index(docs: DataFrame, vocabulary: DataFrame, folder: str) -> DataFrame:
     """The stored postings (did, h, pos, term) of the words in vocabulary (word, term); they lie in the order of the documents, which keeps them small."""
     end = F.when(docs["doc_id"].isNull(), F.lit(END_NULL)).otherwise(F.lit(END))
     tokens = docs.select(*key(docs), F.array_append(words(docs["text"]), end).alias("w")).select("did", "h", F.posexplode("w").alias("pos", "word"))
+    tokens = tokens.withColumn("word", lowered(F.col("word")))
     return materialise(lookup(tokens, vocabulary, ["word"], 64, "inner").select("did", "h", "pos", "term"), folder, "postings")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import is_small, lookup, materialise, shared_folder
-from .linking import components, link
+from .linking import components, edit_similar, link
 
 MIN_WORDS, SIMILARITY, RUN = 5, 0.8, 127
 #: Listed one by one: Java looks such a class up in a table.
@@ -68,27 +68,6 @@ def simhash_blocks(lines: DataFrame) -> DataFrame:
     return counted.select(F.explode(F.array(*blocks)).alias("bucket"), "id").distinct()
 
 
-def similar(texts: DataFrame):
-    """Keeps the pairs (a, b) of ids whose lines have an edit similarity of at least SIMILARITY; a narrow band of the alignment is tried first."""
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs)
-        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        few = is_small(ids, 24)
-        wanted = materialise(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"))
-        small = is_small(wanted, F.octet_length("line") + 32)
-        wanted = F.broadcast(wanted) if small else wanted
-        a, b = wanted.select(F.col("id").alias("a"), F.col("line").alias("x")), wanted.select(F.col("id").alias("b"), F.col("line").alias("y"))
-        rows = (pairs if small else pairs.repartition("b")).join(b, "b").join(a, "a")
-        longer = F.greatest(F.length("x"), F.length("y"))
-        most = F.floor(longer * (1 - SIMILARITY) + 1e-9).cast("int")
-        rows = rows.where(F.abs(F.length("x") - F.length("y")) <= most).withColumn("most", most).withColumn("few", F.least(most, (longer / 32).cast("int") + 2))
-        near = F.expr("levenshtein(x, y, few) >= 0")
-        return rows.where(near | ((F.col("few") < F.col("most")) & F.expr("levenshtein(x, y, most) >= 0"))).select("a", "b")
-
-    return verify
-
-
 def removed(docs: DataFrame) -> DataFrame:
     """did, h and gone, the numbers of the lines that go, of the documents that lose lines."""
     folder = shared_folder(docs.sparkSession)
@@ -98,7 +77,7 @@ def removed(docs: DataFrame) -> DataFrame:
     once = materialise(once, folder, "once")
     long_ones = once.where(F.size(F.split("line", " ")) >= MIN_WORDS).select("id", "line")
     buckets = materialise(simhash_blocks(long_ones), folder, "buckets")
-    roots = materialise(components(link(buckets, similar(once.select("id", "line")), folder), folder), folder, "roots")
+    roots = materialise(components(link(buckets, edit_similar(once.select("id", F.col("line").alias("x")), SIMILARITY, folder), folder), folder), folder, "roots")
     # of every group with several occurrences, where the first one is
     grouped = lookup(once.select("id", "first", "n"), roots, ["id"], 24).where("n > 1 or root is not null")
     grouped = materialise(grouped.select("id", "first", F.coalesce("root", "id").alias("root")), folder, "grouped")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise, shared_folder
+from .common import is_small, lookup, materialise, shared_folder
 
 #: Rounds in which a bucket's members are held against one leader each, before the buckets of the rest are made finer.
 PLAIN_ROUNDS = 4
@@ -41,6 +41,32 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], folder: s
             members = materialise(mine.select(F.explode(two).alias("bucket"), "id"), folder, f"finer{nth}")
 
 
+def edit_similar(texts: DataFrame, similarity: float, folder: str) -> Callable[[DataFrame], DataFrame]:
+    """For link(): keeps the pairs (a, b) whose texts (id, x) are edit similar: distance <= (1 - similarity) * longer length, counted in characters of x.
+
+    The alignment is banded; a narrow band is tried first. A leader a may have any number of pairs, so its text is looked up, not shuffled by a."""
+    known: list[DataFrame] = []
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        nth = len(known)
+        pairs = materialise(pairs, folder, f"tested{nth}")
+        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), folder, f"ids{nth}")
+        if not known:  # the ids of later rounds are among those of the first
+            known.append(materialise(texts.select("id", "x").join(F.broadcast(ids) if is_small(ids, 24) else ids, "id", "left_semi"), folder, "wanted"))
+        wanted = known[0]
+        known.append(wanted)
+        heads = materialise(wanted.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), "x"), folder, f"heads{nth}")
+        rows = pairs.join(wanted.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
+        rows = lookup(rows, heads, ["a"], F.octet_length("x") + 32, "inner", F.col("b"))
+        longer = F.greatest(F.length("x"), F.length("y"))
+        most = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
+        rows = rows.where(F.abs(F.length("x") - F.length("y")) <= most).withColumn("most", most).withColumn("few", F.least(most, (longer / 32).cast("int") + 2))
+        near = F.expr("levenshtein(x, y, few) >= 0")
+        return rows.where(near | ((F.col("few") < F.col("most")) & F.expr("levenshtein(x, y, most) >= 0"))).select("a", "b")
+
+    return verify
+
+
 def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """(id, root): the least id of the connected group of every id in edges (a, b), by alternating large-star and small-star steps."""
     folder = folder or shared_folder(edges.sparkSession)

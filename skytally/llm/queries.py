@@ -12,6 +12,7 @@ from .decontam import find as find_benchmark
 from .langid import identify
 from .linedup import dedup_lines
 from .mixing import mix
+from .omh import near_duplicates
 from .preference import segments
 from .warczip import read_archives, write_archives
 
@@ -104,5 +105,9 @@ def op7_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_langid": op2_langid, "op4_balltree": op4_balltree, "op5_decontam": op5_decontam, "op6_preference": op6_preference, "op7_linedup": op7_linedup, "op9_warczip": op9_warczip}
+def op3_omh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_langid": op2_langid, "op3_omh": op3_omh, "op4_balltree": op4_balltree, "op5_decontam": op5_decontam, "op6_preference": op6_preference, "op7_linedup": op7_linedup, "op9_warczip": op9_warczip}
 SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op4_balltree": OP4_SQL, "op5_decontam": OP5_SQL, "op6_preference": OP6_SQL, "op9_warczip": OP9_SQL}
