@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .balltree import top_k
 from .decontam import find as find_benchmark
+from .katz import score
 from .langid import identify
 from .linedup import dedup_lines
 from .mixing import mix
@@ -109,5 +110,9 @@ def op3_omh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_langid": op2_langid, "op3_omh": op3_omh, "op4_balltree": op4_balltree, "op5_decontam": op5_decontam, "op6_preference": op6_preference, "op7_linedup": op7_linedup, "op9_warczip": op9_warczip}
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_langid": op2_langid, "op3_omh": op3_omh, "op4_balltree": op4_balltree, "op5_decontam": op5_decontam, "op6_preference": op6_preference, "op7_linedup": op7_linedup, "op8_katz": op8_katz, "op9_warczip": op9_warczip}
 SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op4_balltree": OP4_SQL, "op5_decontam": OP5_SQL, "op6_preference": OP6_SQL, "op9_warczip": OP9_SQL}
