@@ -1,14 +1,15 @@
 """Fuzzy line deduplication, in DataFrame operations alone.
 
 Lines are normalised (lower case, runs of ASCII characters other than letters and digits become one space) and equal ones are counted as one. Each different line
-of at least MIN_WORDS words gets a 256-bit SimHash of its words, cut into 8 blocks of 32 bits: lines whose hashes differ in at most 7 bits agree in a whole block (pigeonhole), most of
-those that differ in some more bits do too. Lines that share a block are linked if the edit similarity of their normalised texts is at least 0.8.
+with at least MIN_WORDS words of FEATURE letters gets a 256-bit SimHash of these, cut into 8 blocks of 32 bits: lines whose hashes differ in at most 7 bits agree in a whole block (pigeonhole), most of
+those that differ in some more bits do too. Lines that share a block are linked if their SimHashes differ in at most FAR bits and the edit similarity of
+their words is at least 0.8 (a banded alignment).
 Of each connected group of lines the first occurrence, by (doc_id, line number), stays and all others go.
 
 SimHash without a row a bit: 8-bit counters of eight bits of a hash lie in one long, so that 32 sums per line hold the 256 counters. A counter may not
 exceed 127, so a line is summed in runs of 127 words, each with a SimHash of its own.
 
-Defined results. Lines end with a line feed. Empty lines and lines without letters, digits and other characters than ASCII stay and are never linked. Lines of fewer than MIN_WORDS words are linked to equal ones only. Null texts stay null.
+Defined results. Lines end with a line feed. Empty lines and lines without letters, digits and other characters than ASCII stay and are never linked. Lines of fewer than MIN_WORDS such words are linked to equal ones only. Null texts stay null.
 A text all of whose lines go becomes empty. A null doc_id orders last; rows equal in doc_id and text are the same document and keep the same lines. All columns pass through, text excepted.
 """
 
@@ -18,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import is_small, lookup, materialise, shared_folder
-from .linking import components, edit_similar, link
+from .linking import components, edit_similar, link, word_characters
 
-MIN_WORDS, SIMILARITY, RUN = 5, 0.8, 127
+#: FEATURE: letters of a word that counts for the SimHash, shorter ones are common to most lines; FAR: bits of 256 in which lines of the wanted similarity hardly ever differ more.
+MIN_WORDS, SIMILARITY, RUN, FEATURE, FAR = 5, 0.8, 127, 4, 64
 #: Listed one by one: Java looks such a class up in a table.
 OTHER = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum() and chr(c) != "\n") + "]+"
 NULL_ID = 2**63 - 1
@@ -46,9 +48,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("did", "h", "nth", F.trim("raw").alias("line")).where("line <> ''")
 
 
-def simhash_blocks(lines: DataFrame) -> DataFrame:
-    """(bucket, id): the eight blocks of the SimHash of each run of words of lines (id, line)."""
-    words = lines.select("id", F.posexplode(F.split("line", " ")).alias("at", "word"))
+def simhashes(lines: DataFrame) -> DataFrame:
+    """(id, run, blocks): the SimHash of each run of RUN feature words of lines (id, line), as eight blocks of 32 bits."""
+    words = lines.select("id", F.posexplode(F.filter(F.split("line", " "), lambda w: F.length(w) >= FEATURE)).alias("at", "word"))
     words = words.select("id", (F.col("at") / RUN).cast("int").alias("run"), F.xxhash64("word").alias("h0"))
     for k in range(1, 4):
         words = words.withColumn(f"h{k}", F.xxhash64(F.lit(k), "h0"))
@@ -64,8 +66,14 @@ def simhash_blocks(lines: DataFrame) -> DataFrame:
             for b in range(8):
                 part = F.shiftrightunsigned(f"s{k}_{b}", 32 * half).bitwiseAND(F.lit(0x7F7F7F7F))
                 block = block.bitwiseOR(F.shiftrightunsigned((part + lift).bitwiseAND(F.lit(0x80808080)), 7 - b))
-            blocks.append(F.xxhash64(F.lit(2 * k + half), block))
-    return counted.select(F.explode(F.array(*blocks)).alias("bucket"), "id").distinct()
+            blocks.append(block)
+    return counted.select("id", "run", F.array(*blocks).alias("blocks"))
+
+
+def near_simhash(a, b):
+    """Whether two SimHashes differ in at most FAR bits; unknown ones (lines of several runs) may."""
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return a.isNull() | b.isNull() | (differ <= FAR)
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -75,9 +83,14 @@ def removed(docs: DataFrame) -> DataFrame:
     lines = occurrences(docs)
     once = lines.select(line_id(F.col("line")).alias("id"), "line", "did", "nth", "h").groupBy("id").agg(F.first("line").alias("line"), first.alias("first"), F.count("*").alias("n"))
     once = materialise(once, folder, "once")
-    long_ones = once.where(F.size(F.split("line", " ")) >= MIN_WORDS).select("id", "line")
-    buckets = materialise(simhash_blocks(long_ones), folder, "buckets")
-    roots = materialise(components(link(buckets, edit_similar(once.select("id", F.col("line").alias("x")), SIMILARITY, folder), folder), folder), folder, "roots")
+    features = F.size(F.filter(F.split("line", " "), lambda w: F.length(w) >= FEATURE))
+    hashes = materialise(simhashes(once.where(features >= MIN_WORDS).select("id", "line")), folder, "simhashes")
+    bucket = F.explode(F.transform("blocks", lambda x, i: F.xxhash64(i, x))).alias("bucket")
+    buckets = hashes.select("id", bucket).distinct() if hashes.where("run > 0").isEmpty() is False else hashes.select("id", bucket)
+    one_run = hashes.groupBy("id").agg(F.max("run").alias("run"), F.first("blocks").alias("sig")).where("run = 0").select("id", "sig")
+    texts = once.select("id", F.col("line").alias("x"))
+    verify = edit_similar(texts, SIMILARITY, folder, word_characters, one_run, near_simhash)
+    roots = materialise(components(link(buckets, verify, folder), folder), folder, "roots")
     # of every group with several occurrences, where the first one is
     grouped = lookup(once.select("id", "first", "n"), roots, ["id"], 24).where("n > 1 or root is not null")
     grouped = materialise(grouped.select("id", "first", F.coalesce("root", "id").alias("root")), folder, "grouped")

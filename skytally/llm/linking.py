@@ -4,69 +4,108 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import is_small, lookup, materialise, shared_folder
 
-#: Rounds in which a bucket's members are held against one leader each, before the buckets of the rest are made finer.
-PLAIN_ROUNDS = 4
+#: Rounds in which a bucket's members are held against one leader each, before the buckets of the rest are made finer, once.
+PLAIN_ROUNDS = 3
+#: Leaders of a bucket in each later round.
+LATE_LEADERS = 8
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
+def link(buckets: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], folder: str | None = None) -> DataFrame:
     """Verified pairs (a, b), a < b, of the ids that share a bucket; buckets: (bucket long, id long).
 
     In each round the members of every bucket are held against its least id, so a round tests at most as many pairs as there are members, however
     large a bucket is. Members that are similar to the leader are connected and leave the bucket; the others try again among themselves, until
-    none is left. From round PLAIN_ROUNDS on, the rest is dealt anew by pairs of the buckets that an id is still in, so buckets
+    none is left. After PLAIN_ROUNDS rounds the rest is dealt anew by pairs of the buckets that an id is still in, so buckets
     of many dissimilar members fall apart while similar ids, which share many buckets, stay together."""
     folder = folder or shared_folder(buckets.sparkSession)
-    members, edges, nth = buckets, None, 0
+    members, edges, nth, failed = buckets, None, 0, None
     while True:
-        # pre-aggregated before the shuffle; buckets of one member end here
-        leaders = materialise(members.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("bucket", "a"), folder, f"leaders{nth}")
-        pairs = lookup(members, leaders, ["bucket"], 32, "inner", F.col("id")).where("id > a").select("bucket", "a", F.col("id").alias("b"))
-        pairs = materialise(pairs, folder, f"pairs{nth}")
+        late = nth >= PLAIN_ROUNDS
+        if late:  # few are left, all dissimilar to their leaders so far
+            members = materialise(members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))), folder, f"ranked{nth}")
+            pairs = members.join(members.where(F.col("rank") <= LATE_LEADERS).select("bucket", F.col("id").alias("a")), "bucket").where("id > a")
+        else:  # pre-aggregated before the shuffle; buckets of one member end here
+            leaders = materialise(members.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("bucket", "a"), folder, f"leaders{nth}")
+            pairs = lookup(members, leaders, ["bucket"], 32, "inner", F.col("id")).where("id > a")
+        pairs = materialise(pairs.select("bucket", "a", F.col("id").alias("b")), folder, f"pairs{nth}")
         tested = pairs.select("a", "b").distinct()
-        good = materialise(verify(tested).select("a", "b"), folder, f"good{nth}")
+        tested = tested if failed is None else tested.join(failed, ["a", "b"], "left_anti")
+        good = materialise(verify(tested, late).select("a", "b"), folder, f"good{nth}")
         edges = good if edges is None else edges.unionAll(good)
-        rest = materialise(pairs.join(good, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("id")).distinct(), folder, f"rest{nth}")
-        nth += 1
+        if late:
+            done = pairs.join(good, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("id")).distinct()
+            members = members.where(F.col("rank") > LATE_LEADERS).select("bucket", "id").join(done, ["bucket", "id"], "left_anti")
+            failed = failed.unionAll(pairs.join(good, ["a", "b"], "left_anti").select("a", "b").distinct())
+            members, nth = materialise(members, folder, f"rest{nth}"), nth + 1
+            if members.isEmpty():
+                return edges.distinct()
+            continue
+        rest = materialise(pairs.join(good, ["a", "b"], "left_anti"), folder, f"rest{nth}")
         if rest.isEmpty():
             return edges.distinct()
-        members = rest
-        if nth >= PLAIN_ROUNDS:
-            mine = rest.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("k"))  # at most as many as there are sketches
+        new = rest.select("a", "b").distinct()
+        failed = new if failed is None else failed.unionAll(new)
+        members = rest.select("bucket", F.col("b").alias("id"))
+        nth += 1
+        if nth == PLAIN_ROUNDS:
+            mine = members.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("k"))  # at most as many as there are sketches
             two = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
             members = materialise(mine.select(F.explode(two).alias("bucket"), "id"), folder, f"finer{nth}")
 
 
-def edit_similar(texts: DataFrame, similarity: float, folder: str) -> Callable[[DataFrame], DataFrame]:
-    """For link(): keeps the pairs (a, b) whose texts (id, x) are edit similar: distance <= (1 - similarity) * longer length, counted in characters of x.
+def edit_similar(texts: DataFrame, similarity: float, folder: str, encoded: Callable[[Column], Column] | None = None, marks: DataFrame | None = None, near: Callable | None = None) -> Callable[[DataFrame, bool], DataFrame]:
+    """For link(): keeps the pairs (a, b) whose texts (id, x) are edit similar: distance <= (1 - similarity) * longer length, counted in characters of x, or of encoded(x).
 
-    The alignment is banded; a narrow band is tried first. A leader a may have any number of pairs, so its text is looked up, not shuffled by a."""
+    near(sig of a, sig of b), over marks (id, sig), is a cheap test that similar pairs pass. The alignment is banded; a narrow band is tried first. A leader a may have any
+    number of pairs, so its text is looked up, not shuffled by a. In late rounds, of few pairs, Spark plans the joins as it sees fit."""
     known: list[DataFrame] = []
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, late: bool = False) -> DataFrame:
         nth = len(known)
         pairs = materialise(pairs, folder, f"tested{nth}")
-        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), folder, f"ids{nth}")
         if not known:  # the ids of later rounds are among those of the first
-            known.append(materialise(texts.select("id", "x").join(F.broadcast(ids) if is_small(ids, 24) else ids, "id", "left_semi"), folder, "wanted"))
+            ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), folder, "ids")
+            few = F.broadcast(ids) if is_small(ids, 24) else ids
+            found = texts.select("id", "x").join(few, "id", "left_semi")
+            if encoded is not None:
+                found = found.withColumn("x", encoded(F.col("x")))
+            if marks is not None:
+                found = found.join(marks.join(few, "id", "left_semi"), "id", "left")
+            known.append(materialise(found, folder, "wanted"))
+        else:
+            known.append(known[0])
         wanted = known[0]
-        known.append(wanted)
-        heads = materialise(wanted.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), "x"), folder, f"heads{nth}")
-        rows = pairs.join(wanted.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
-        rows = lookup(rows, heads, ["a"], F.octet_length("x") + 32, "inner", F.col("b"))
-        longer = F.greatest(F.length("x"), F.length("y"))
+        columns = ["x"] if marks is None else ["x", "sig"]
+        heads = wanted.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}a") for c in columns])
+        rows = pairs.join(wanted.select(F.col("id").alias("b"), *columns), "b")
+        rows = rows.join(heads, "a") if late else lookup(rows, materialise(heads, folder, f"heads{nth}"), ["a"], F.octet_length("xa") + 96, "inner", F.col("b"))
+        if marks is not None:
+            rows = rows.where(near(F.col("siga"), F.col("sig")))
+        longer = F.greatest(F.length("x"), F.length("xa"))
         most = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
-        rows = rows.where(F.abs(F.length("x") - F.length("y")) <= most).withColumn("most", most).withColumn("few", F.least(most, (longer / 32).cast("int") + 2))
-        near = F.expr("levenshtein(x, y, few) >= 0")
-        return rows.where(near | ((F.col("few") < F.col("most")) & F.expr("levenshtein(x, y, most) >= 0"))).select("a", "b")
+        rows = rows.where(F.abs(F.length("x") - F.length("xa")) <= most).withColumn("most", most).withColumn("few", F.least(most, (longer / 32).cast("int") + 2))
+        close = F.expr("levenshtein(x, xa, few) >= 0")
+        return rows.where(close | ((F.col("few") < F.col("most")) & F.expr("levenshtein(x, xa, most) >= 0"))).select("a", "b")
 
     return verify
 
 
+def word_characters(line: Column) -> Column:
+    """A text with one character for each word of a line, drawn from the word's hash out of U+3400 to U+D7FF."""
+
+    def utf8(word: Column) -> Column:
+        c = F.pmod(F.xxhash64(word), F.lit(0xD800 - 0x3400)) + F.lit(0x3400)
+        part = lambda shift: F.shiftright(c, shift).bitwiseAND(F.lit(63)) + F.lit(128)
+        return F.hex((F.shiftright(c, 12) + F.lit(224)) * F.lit(65536) + part(6) * F.lit(256) + part(0))
+
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(line, " "), utf8), "")), "UTF-8")
+
+
 def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """(id, root): the least id of the connected group of every id in edges (a, b), by alternating large-star and small-star steps."""
     folder = folder or shared_folder(edges.sparkSession)
