@@ -15,6 +15,7 @@ from .linedup import dedup_lines
 from .mixing import mix
 from .omh import near_duplicates
 from .preference import segments
+from .repeats import drop_repeats
 from .warczip import read_archives, write_archives
 
 
@@ -114,5 +115,10 @@ def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_langid": op2_langid, "op3_omh": op3_omh, "op4_balltree": op4_balltree, "op5_decontam": op5_decontam, "op6_preference": op6_preference, "op7_linedup": op7_linedup, "op8_katz": op8_katz, "op9_warczip": op9_warczip}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_langid": op2_langid, "op3_omh": op3_omh, "op4_balltree": op4_balltree, "op5_decontam": op5_decontam, "op6_preference": op6_preference, "op7_linedup": op7_linedup, "op8_katz": op8_katz, "op9_warczip": op9_warczip, "op10_repeats": op10_repeats}
 SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op4_balltree": OP4_SQL, "op5_decontam": OP5_SQL, "op6_preference": OP6_SQL, "op9_warczip": OP9_SQL}
