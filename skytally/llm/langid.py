@@ -30,6 +30,8 @@ SAMPLE_BYTES, LANGUAGE_BYTES = 4 << 20, 512 << 10
 #: Bytes of the code length table at most; beyond it the rarest three-byte contexts are left out.
 TABLE_BYTES = 96 << 20
 ORDER = 3
+#: Added columns replace those of the same names.
+ADDED = ("lang_pred", "score", "bits_per_byte")
 PAD = 10  # the byte that stands before a text
 
 
@@ -199,4 +201,4 @@ def identify(docs: DataFrame, mod: int = 4, remainder: int = 2, keep: list[str]
     """Trains on the documents that are not held out (crc32 of doc_id as text, mod, remainder) and predicts all."""
     out = held_out(docs, mod, remainder)
     model = train(sample(docs, ~out))
-    return predict(docs, model, {"doc_id": docs["doc_id"], "held_out": out} if keep is None else {c: docs[c] for c in keep})
+    return predict(docs, model, {"doc_id": docs["doc_id"], "held_out": out} if keep is None else {c: docs[c] for c in keep if c not in ADDED})
