@@ -1,10 +1,9 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL, gathered from the modules of this package."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import aggregates, filters, joins, projections, windows
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+MODULES = (projections, filters, joins, aggregates, windows)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
