@@ -5,7 +5,7 @@ The expressions are written as SQL text, which Spark compiles like any Column; b
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # WGS84 and UTM.
@@ -32,17 +32,27 @@ def zone_sql(lat: str, lon: str) -> str:
  ELSE cast(floor(({lon} + 180e0) / 6e0) AS bigint) % 60 + 1 END)"""
 
 
-def utm_sql(lat: str, lon: str) -> tuple[str, str]:
-    """Easting and northing."""
-    phi, lam = f"radians({lat})", f"radians({lon} - ({zone_sql(lat, lon)} * 6e0 - 183e0))"
+def krueger_sql(lat: str, lon: str, zone: str) -> tuple[str, str, str]:
+    """The sphere's coordinates xi and eta of a position in its zone, and the tangent of the conformal latitude that both contain."""
+    phi, lam = f"radians({lat})", f"radians({lon} - ({zone} * 6e0 - 183e0))"
     t = f"sinh(atanh(sin({phi})) - {num(ECCENTRIC)} * atanh({num(ECCENTRIC)} * sin({phi})))"
-    xi, eta = f"atan2({t}, cos({lam}))", f"atanh(sin({lam}) / sqrt(1e0 + {t} * {t}))"
+    return f"atan2({t}, cos({lam}))", f"atanh(sin({lam}) / sqrt(1e0 + {t} * {t}))", t
+
+
+def series_sql(xi: str, eta: str, lat: str) -> tuple[str, str]:
+    """Easting and northing from xi and eta."""
     east = " + ".join(f"{num(a)} * cos({2 * j}e0 * {xi}) * sinh({2 * j}e0 * {eta})" for j, a in enumerate(ALPHA, 1))
     north = " + ".join(f"{num(a)} * sin({2 * j}e0 * {xi}) * cosh({2 * j}e0 * {eta})" for j, a in enumerate(ALPHA, 1))
     shift = f"CASE WHEN {lat} < 0 THEN {num(FALSE_NORTHING)} ELSE 0e0 END"
     return f"({num(FALSE_EASTING)} + {num(RADIUS)} * ({eta} + {east}))", f"({shift} + {num(RADIUS)} * ({xi} + {north}))"
 
 
+def utm_sql(lat: str, lon: str) -> tuple[str, str]:
+    """Easting and northing in one expression each."""
+    xi, eta, _ = krueger_sql(lat, lon, zone_sql(lat, lon))
+    return series_sql(xi, eta, lat)
+
+
 def latlon_sql(east: str, north: str, zone: str, south: str) -> tuple[str, str]:
     """Latitude and longitude from UTM; south: SQL that tells whether the false northing applies."""
     xi = f"(({north} - CASE WHEN {south} THEN {num(FALSE_NORTHING)} ELSE 0e0 END) / {num(RADIUS)})"
@@ -70,36 +80,28 @@ def pixel_utm_sql(x: str, y: str, width: str, height: str, gsd: str, east: str,
     return f"({east} + ({x} - {width} / 2e0) * ({gsd} * 1e-2))", f"({north} + ({height} / 2e0 - {y}) * ({gsd} * 1e-2))"
 
 
-def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, steps: int = 6) -> Column:
-    """Vincenty's inverse formula on WGS84 with a fixed number of steps; exact to a millimetre for points that are not nearly antipodal."""
-    b = A * (1 - FLATTENING)
-    u1, u2 = F.atan((1 - FLATTENING) * F.tan(F.radians(lat1))), F.atan((1 - FLATTENING) * F.tan(F.radians(lat2)))
-    length = F.radians(lon2 - lon1)
-    s1, c1, s2, c2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
-
-    def parts(state: Column):
-        lam = state["lam"]
-        ss = F.sqrt(F.pow(c2 * F.sin(lam), 2.0) + F.pow(c1 * s2 - s1 * c2 * F.cos(lam), 2.0))
-        cs = s1 * s2 + c1 * c2 * F.cos(lam)
-        sa = F.when(ss == 0, F.lit(0.0)).otherwise(c1 * c2 * F.sin(lam) / F.when(ss == 0, F.lit(1.0)).otherwise(ss))
-        ca2 = 1 - sa * sa
-        cm = F.when(ca2 == 0, F.lit(0.0)).otherwise(cs - 2 * s1 * s2 / F.when(ca2 == 0, F.lit(1.0)).otherwise(ca2))
-        return ss, cs, sa, ca2, cm
-
-    def step(state: Column, _: Column) -> Column:
-        ss, cs, sa, ca2, cm = parts(state)
-        cc = FLATTENING / 16 * ca2 * (4 + FLATTENING * (4 - 3 * ca2))
-        sigma = F.atan2(ss, cs)
-        lam = length + (1 - cc) * FLATTENING * sa * (sigma + cc * ss * (cm + cc * cs * (2 * cm * cm - 1)))
-        return F.struct(lam.alias("lam"))
-
-    state = F.aggregate(F.array(*[F.lit(i) for i in range(steps)]), F.struct(length.alias("lam")), step)
-    ss, cs, _, ca2, cm = parts(state)
-    u_sq = ca2 * (A * A - b * b) / (b * b)
-    aa = 1 + u_sq / 16384 * (4096 + u_sq * (-768 + u_sq * (320 - 175 * u_sq)))
-    bb = u_sq / 1024 * (256 + u_sq * (-128 + u_sq * (74 - 47 * u_sq)))
-    ds = bb * ss * (cm + bb / 4 * (cs * (2 * cm * cm - 1) - bb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
-    return b * aa * (F.atan2(ss, cs) - ds) / 1000.0
+def with_distance_km(rows: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, name: str, steps: int = 6) -> DataFrame:
+    """rows with the distance in km on WGS84 by Vincenty's inverse formula, with a fixed number of steps; exact to a millimetre for points that are not nearly antipodal.
+
+    Each intermediate value is a column of its own, since the next ones use it several times."""
+    b, keep = A * (1 - FLATTENING), [F.col(f"`{c}`") for c in rows.columns]
+    rows = rows.select(*keep, *[F.atan((1 - FLATTENING) * F.tan(F.radians(v))).alias(k) for k, v in (("_u1", lat1), ("_u2", lat2))], F.radians(F.col(lon2) - F.col(lon1)).alias("_l"))
+    rows = rows.select(*keep, F.sin("_u1").alias("_s1"), F.cos("_u1").alias("_c1"), F.sin("_u2").alias("_s2"), F.cos("_u2").alias("_c2"), "_l", F.col("_l").alias("_lam"))
+    c = F.col
+    fixed = ["_s1", "_c1", "_s2", "_c2", "_l", "_lam"]
+    for step in range(steps + 1):
+        rows = rows.select(*keep, *fixed, F.sqrt(F.pow(c("_c2") * F.sin("_lam"), 2.0) + F.pow(c("_c1") * c("_s2") - c("_s1") * c("_c2") * F.cos("_lam"), 2.0)).alias("_ss"), (c("_s1") * c("_s2") + c("_c1") * c("_c2") * F.cos("_lam")).alias("_cs"))
+        rows = rows.select(*keep, *fixed, "_ss", "_cs", F.coalesce(F.try_divide(c("_c1") * c("_c2") * F.sin("_lam"), c("_ss")), F.when(c("_ss") == 0, 0.0)).alias("_sa"))
+        rows = rows.select(*keep, *fixed, "_ss", "_cs", "_sa", (1 - c("_sa") * c("_sa")).alias("_ca"))
+        rows = rows.select(*keep, *fixed, "_ss", "_cs", "_sa", "_ca", (c("_cs") - F.coalesce(F.try_divide(2 * c("_s1") * c("_s2"), c("_ca")), F.lit(0.0))).alias("_cm"), (FLATTENING / 16 * c("_ca") * (4 + FLATTENING * (4 - 3 * c("_ca")))).alias("_cc"))
+        if step < steps:
+            sigma = F.atan2("_ss", "_cs")
+            lam = c("_l") + (1 - c("_cc")) * FLATTENING * c("_sa") * (sigma + c("_cc") * c("_ss") * (c("_cm") + c("_cc") * c("_cs") * (2 * c("_cm") * c("_cm") - 1)))
+            rows = rows.select(*keep, *fixed[:-1], lam.alias("_lam"))
+    rows = rows.select(*keep, "_ss", "_cs", "_cm", (c("_ca") * (A * A - b * b) / (b * b)).alias("_u"))
+    rows = rows.select(*keep, "_ss", "_cs", "_cm", (1 + c("_u") / 16384 * (4096 + c("_u") * (-768 + c("_u") * (320 - 175 * c("_u"))))).alias("_aa"), (c("_u") / 1024 * (256 + c("_u") * (-128 + c("_u") * (74 - 47 * c("_u"))))).alias("_bb"))
+    ds = c("_bb") * c("_ss") * (c("_cm") + c("_bb") / 4 * (c("_cs") * (2 * c("_cm") * c("_cm") - 1) - c("_bb") / 6 * c("_cm") * (4 * c("_ss") * c("_ss") - 3) * (4 * c("_cm") * c("_cm") - 3)))
+    return rows.select(*keep, (b * c("_aa") * (F.atan2("_ss", "_cs") - ds) / 1000.0).alias(name))
 
 
 def dms(x: Column) -> tuple[Column, Column, Column]:

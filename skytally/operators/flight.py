@@ -11,9 +11,14 @@ from ..functions import geo as G
 
 def located(images: DataFrame) -> DataFrame:
     """Images with a position, with gsd (cm a pixel), UTM zone and the centre's easting and northing."""
-    e, n = G.utm_sql("latitude", "longitude")
     rows = images.where("latitude IS NOT NULL AND longitude IS NOT NULL")
-    return rows.select("*", F.expr(G.gsd_sql("180e0", "24e0", "35e0", "height")).alias("gsd"), F.expr(G.zone_sql("latitude", "longitude")).alias("zone"), F.expr(e).alias("e0"), F.expr(n).alias("n0"))
+    rows = rows.select("*", F.expr(G.gsd_sql("180e0", "24e0", "35e0", "height")).alias("gsd"), F.expr(G.zone_sql("latitude", "longitude")).alias("zone"))
+    # step by step: each of these is used several times by the next
+    xi, eta, t = G.krueger_sql("latitude", "longitude", "zone")
+    rows = rows.select("*", F.expr(t).alias("_t"))
+    rows = rows.select("*", F.expr(xi.replace(t, "_t")).alias("_xi"), F.expr(eta.replace(t, "_t")).alias("_eta"))
+    e, n = G.series_sql("_xi", "_eta", "latitude")
+    return rows.select(*images.columns, "gsd", "zone", F.expr(e).alias("e0"), F.expr(n).alias("n0"))
 
 
 def footprints(images: DataFrame) -> DataFrame:
@@ -48,7 +53,7 @@ def legs(images: DataFrame, by: str = "camp_id", order: str = "coords") -> DataF
     along = ["latitude", "longitude", "altitude", "file_name"] if order == "coords" else ["ts", "file_name"]
     w = W.partitionBy(by).orderBy(*along)
     rows = images.where("latitude IS NOT NULL").select("*", F.lag("latitude").over(w).alias("lat0"), F.lag("longitude").over(w).alias("lon0"))
-    return rows.withColumn("km", G.distance_km(F.col("lat0"), F.col("lon0"), F.col("latitude"), F.col("longitude"))).drop("lat0", "lon0")
+    return G.with_distance_km(rows, "lat0", "lon0", "latitude", "longitude", "km").drop("lat0", "lon0")
 
 
 def path_metrics(images: DataFrame, by: str = "camp_id", order: str = "coords") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -20,6 +20,16 @@ def pair_iou(a: np.ndarray, b: np.ndarray, smaller: bool = False) -> np.ndarray:
     return np.where(below > 0, both / np.where(below > 0, below, 1), 0.0)
 
 
+def crowded_images(detections: DataFrame, threshold: float, smaller: bool, key: str) -> DataFrame:
+    """The images in which some two boxes overlap by more than the threshold; only these need a greedy pass, and Python."""
+    from ..functions.boxes import area, intersection, iou
+
+    a, b = (detections.select("image_id", *[F.col(c).alias(f"{s}{c}") for c in (key, *BOX)]) for s in "ab")
+    one, two = [f"a{c}" for c in BOX], [f"b{c}" for c in BOX]
+    share = intersection(*one, *two) / F.nullif(F.least(area(*one), area(*two)), F.lit(0)) if smaller else iou(*one, *two)
+    return a.join(b, "image_id").where((F.col(f"a{key}") < F.col(f"b{key}")) & (share > threshold)).select("image_id").distinct()
+
+
 def nms(detections: DataFrame, threshold: float = 0.5, smaller: bool = False, key: str = "det_key") -> DataFrame:
     """Detections that no kept one of their image with a higher score overlaps by more than the threshold; ties go to the smaller key, classes don't matter."""
 
@@ -32,7 +42,9 @@ def nms(detections: DataFrame, threshold: float = 0.5, smaller: bool = False, ke
                 gone |= overlap[i]
         return d.iloc[keep]
 
-    return detections.groupBy("image_id").applyInPandas(run, detections.schema)
+    crowded = crowded_images(detections, threshold, smaller, key)
+    greedily = detections.join(crowded, "image_id", "left_semi").groupBy("image_id").applyInPandas(run, detections.schema)
+    return detections.join(crowded, "image_id", "left_anti").unionByName(greedily)
 
 
 def nmm(detections: DataFrame, threshold: float = 0.5, key: str = "det_key") -> DataFrame:
@@ -52,7 +64,9 @@ def nmm(detections: DataFrame, threshold: float = 0.5, key: str = "det_key") ->
         return pd.DataFrame(rows, columns=[*d.columns, "merged"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in detections.schema.fields) + ", merged long"
-    return detections.groupBy("image_id").applyInPandas(run, schema)
+    crowded = crowded_images(detections, threshold, False, key)
+    merged = detections.join(crowded, "image_id", "left_semi").groupBy("image_id").applyInPandas(run, schema)
+    return detections.join(crowded, "image_id", "left_anti").withColumn("merged", F.lit(1).cast("long")).unionByName(merged)
 
 
 def match(truth: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
@@ -73,7 +87,11 @@ def match(truth: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
                 keep.append(i)
         return d.iloc[keep]
 
-    return pairs.select("image_id", "gt_key", "pred_key", "iou").groupBy("image_id").applyInPandas(run, "image_id long, gt_key long, pred_key long, iou double")
+    # pairs that compete with no other need no Python
+    pairs = pairs.select("image_id", "gt_key", "pred_key", "iou", F.count("*").over(Window.partitionBy("image_id", "gt_key")).alias("n"), F.count("*").over(Window.partitionBy("image_id", "pred_key")).alias("m"))
+    found = ["image_id", "gt_key", "pred_key", "iou"]
+    contested = pairs.where("n > 1 OR m > 1").select(*found).groupBy("image_id").applyInPandas(run, "image_id long, gt_key long, pred_key long, iou double")
+    return pairs.where("n = 1 AND m = 1").select(*found).unionByName(contested)
 
 
 def duel(candidates: DataFrame, order: DataFrame) -> DataFrame:
