@@ -30,8 +30,9 @@ from .tokens import LOWER, SPACED, STEP, mixed, word_hashes, word_spans
 
 CUT = 5
 #: Tokens of a batch and of a partition, about; training tokens from which a context is spread.
-BATCH_BYTES, PARTITION_TOKENS, HOT = 24 << 20, 3_000_000, 400_000
-END, START = np.uint64(1), np.uint64(2)
+BATCH_BYTES, PARTITION_TOKENS, HOT = 8 << 20, 1_500_000, 300_000
+#: The end's hash among words, and the first context among the words' numbers.
+END, START = np.uint64(1), np.uint64(0)
 ROWS = "kind int, bucket long, batch long, blob binary"
 INFO, TOKENS, ASK, ANSWER, STATS, PARTS, OPEN, SPREAD = range(8)
 
@@ -88,7 +89,7 @@ def batches_of(stream):
             for c, d in slices(at, 2 << 20):
                 piece, inner = own[at[c] : at[d]], at[c : d + 1] - at[c]
                 first, end, starts = word_spans(piece, inner, SPACED)
-                hashes.append(word_hashes(piece, first, end) | np.uint64(4))  # apart from END and START
+                hashes.append(word_hashes(piece, first, end) | np.uint64(4))  # apart from END
                 begin.append(starts[1:] + begin[-1][-1])
             words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
             yield nth, batch.column(0)[a:b], batch.column(1)[a:b].to_numpy(zero_copy_only=False).astype(bool), words, np.concatenate(begin)
@@ -121,14 +122,15 @@ def asking(partitions: int):
 
 
 def answering(left):
-    """The unigram counts of a partition: an answer for each batch, and the counts of counts."""
+    """The unigram counts of a partition: an answer for each batch, with the words' numbers in the partition, and the counts of counts."""
     asked = [(b, *unpack(blob)) for b, blob in zip(left.column("batch").to_pylist(), left.column("blob").to_pylist(), strict=True)]
     words = [np.cumsum(x, dtype=np.uint64) for _, x, _ in asked]
     unique, which = np.unique(np.concatenate(words), return_inverse=True)
     counts = np.bincount(which, np.concatenate([c for _, _, c in asked]).astype(np.float64), len(unique)).astype(np.int64)
     p, rows, at = left.column("bucket")[0].as_py(), [], 0
     for (batch, _, _), own in zip(asked, words, strict=True):
-        rows.append((ANSWER, p, batch, pack(small(counts[which[at : at + len(own)]]))))
+        mine = which[at : at + len(own)]
+        rows.append((ANSWER, p, batch, pack(small(counts[mine]), small(mine))))
         at += len(own)
     rows.append((STATS, p, -1, pack(np.concatenate([np.bincount(np.minimum(counts, CUT + 2), minlength=CUT + 3), [counts.sum()]]).astype(np.int64))))
     return table_of(rows)
@@ -182,9 +184,11 @@ def sending(unigrams: Unigrams, ask_partitions: int, partitions: int):
         number = left.column("batch")[0].as_py()
         unique, which, n, out, ids, null = unpack(blobs[int(np.flatnonzero(kinds == TOKENS)[0])].as_py())
         unique, which = np.cumsum(unique, dtype=np.uint64), which.astype(np.int64)
-        counts, part = np.zeros(len(unique), np.int64), (mixed(unique) % np.uint64(ask_partitions)).astype(np.int64)
+        counts, names, part = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.uint64), (mixed(unique) % np.uint64(ask_partitions)).astype(np.int64)
         for i in np.flatnonzero(kinds == ANSWER):
-            counts[part == left.column("bucket")[int(i)].as_py()] = unpack(blobs[int(i)].as_py())[0]
+            p = left.column("bucket")[int(i)].as_py()
+            counts[part == p], number_in = unpack(blobs[int(i)].as_py())
+            names[part == p] = number_in.astype(np.uint64) * np.uint64(ask_partitions) + np.uint64(p + 1)
         text = np.repeat(np.arange(len(n)), n)
         ends = np.cumsum(n)
         c = counts[which]
@@ -193,16 +197,16 @@ def sending(unigrams: Unigrams, ask_partitions: int, partitions: int):
         base = np.bincount(text, np.log10((c + 1) / (total + kinds_of + 1)), len(n))
         # the context of a text's first token is START, which occurs once a training text
         context, c_context = np.empty(len(which), np.uint64), np.empty(len(which), np.int64)
-        context[1:], c_context[1:] = unique[which[:-1]], c[:-1]
+        context[1:], c_context[1:] = names[which[:-1]], c[:-1]
         starts = ends - n
         context[starts], c_context[starts] = START, 1
         p = unigrams(c)
         alone = c_context == 0
-        score = np.bincount(text[alone], np.log10(p[alone]), len(n))
+        score = np.bincount(text[alone], np.log10(p[alone]), len(n)).astype(np.float64)
         rows = [(INFO, number % partitions, number, pack(ids, null, out, n.astype(np.int64), known.astype(np.int64), base, score))]
         follow = np.flatnonzero(~alone)
         context, c_context, which, text, c = context[follow], c_context[follow], which[follow], text[follow], c[follow]
-        word = unique[which]
+        word = names[which]
         spread = np.maximum(1, -(-c_context // HOT)).astype(np.uint64)
         spread = np.where(context == START, np.uint64(partitions), spread)
         bucket = ((mixed(context) + mixed(word) % spread) % np.uint64(partitions)).astype(np.int64)
@@ -221,7 +225,7 @@ def sending(unigrams: Unigrams, ask_partitions: int, partitions: int):
             fresh[1:] = h[1:] != h[:-1]
             at = np.flatnonzero(fresh)
             times = np.diff(np.append(first, hi))
-            rows.append((TOKENS, b, number, pack(gaps(h[at]), small(np.diff(np.append(at, len(h)))), (spread[first][at] > 1).astype(np.uint8), w, small(c[first]), small(times), small(text[lo:hi]), out[text[lo:hi]])))
+            rows.append((TOKENS, b, number, pack(small(gaps(h[at])), small(np.diff(np.append(at, len(h)))), (spread[first][at] > 1).astype(np.uint8), small(w), small(c[first]), small(times), small(text[lo:hi]), out)))
         return table_of(rows)
 
     return run
@@ -242,9 +246,9 @@ def counting(unigrams: Unigrams):
             return table_of(rows)
         h = np.concatenate([np.repeat(np.cumsum(x[0], dtype=np.uint64), x[1]) for _, x in sent])
         hot = np.concatenate([np.repeat(x[2], x[1]) for _, x in sent])
-        w = np.concatenate([x[3] for _, x in sent])
+        w = np.concatenate([x[3].astype(np.uint64) for _, x in sent])
         c_word = np.concatenate([x[4].astype(np.int64) for _, x in sent])
-        train = np.concatenate([np.add.reduceat((x[7] == 0).astype(np.int64), np.concatenate([[0], np.cumsum(x[5].astype(np.int64))[:-1]])) for _, x in sent])
+        train = np.concatenate([np.add.reduceat((x[7][x[6]] == 0).astype(np.int64), np.concatenate([[0], np.cumsum(x[5].astype(np.int64))[:-1]])) for _, x in sent])
         order = np.lexsort((w, h))
         new = np.ones(len(order), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
