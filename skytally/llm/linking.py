@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from .common import is_small, lookup, materialise, shared_folder
 
 #: Rounds in which a bucket's members are held against one leader each, before the buckets of the rest are made finer, once.
-PLAIN_ROUNDS = 3
-#: Leaders of a bucket in each later round.
-LATE_LEADERS = 8
+PLAIN_ROUNDS = 2
+#: Leaders of a bucket in the first later round; twice as many in each that follows.
+LATE_LEADERS = 16
 
 
 def link(buckets: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], folder: str | None = None) -> DataFrame:
@@ -20,27 +20,26 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], fol
 
     In each round the members of every bucket are held against its least id, so a round tests at most as many pairs as there are members, however
     large a bucket is. Members that are similar to the leader are connected and leave the bucket; the others try again among themselves, until
-    none is left. After PLAIN_ROUNDS rounds the rest is dealt anew by pairs of the buckets that an id is still in, so buckets
-    of many dissimilar members fall apart while similar ids, which share many buckets, stay together."""
+    none is left. After PLAIN_ROUNDS rounds the rest is dealt anew, by every three of the buckets that an id is still in: large buckets
+    of dissimilar members (texts that are little more than one common passage) fall apart, while similar ids share many buckets, in most of which they have met already."""
     folder = folder or shared_folder(buckets.sparkSession)
-    members, edges, nth, failed = buckets, None, 0, None
+    members, edges, nth = buckets, None, 0
     while True:
         late = nth >= PLAIN_ROUNDS
         if late:  # few are left, all dissimilar to their leaders so far
             members = materialise(members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))), folder, f"ranked{nth}")
-            pairs = members.join(members.where(F.col("rank") <= LATE_LEADERS).select("bucket", F.col("id").alias("a")), "bucket").where("id > a")
+            most = LATE_LEADERS << (nth - PLAIN_ROUNDS)
+            pairs = members.join(members.where(F.col("rank") <= most).select("bucket", F.col("id").alias("a")), "bucket").where("id > a")
         else:  # pre-aggregated before the shuffle; buckets of one member end here
             leaders = materialise(members.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("bucket", "a"), folder, f"leaders{nth}")
             pairs = lookup(members, leaders, ["bucket"], 32, "inner", F.col("id")).where("id > a")
         pairs = materialise(pairs.select("bucket", "a", F.col("id").alias("b")), folder, f"pairs{nth}")
         tested = pairs.select("a", "b").distinct()
-        tested = tested if failed is None else tested.join(failed, ["a", "b"], "left_anti")
         good = materialise(verify(tested, late).select("a", "b"), folder, f"good{nth}")
         edges = good if edges is None else edges.unionAll(good)
         if late:
             done = pairs.join(good, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("id")).distinct()
-            members = members.where(F.col("rank") > LATE_LEADERS).select("bucket", "id").join(done, ["bucket", "id"], "left_anti")
-            failed = failed.unionAll(pairs.join(good, ["a", "b"], "left_anti").select("a", "b").distinct())
+            members = members.where(F.col("rank") > most).select("bucket", "id").join(done, ["bucket", "id"], "left_anti")
             members, nth = materialise(members, folder, f"rest{nth}"), nth + 1
             if members.isEmpty():
                 return edges.distinct()
@@ -48,14 +47,13 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], fol
         rest = materialise(pairs.join(good, ["a", "b"], "left_anti"), folder, f"rest{nth}")
         if rest.isEmpty():
             return edges.distinct()
-        new = rest.select("a", "b").distinct()
-        failed = new if failed is None else failed.unionAll(new)
         members = rest.select("bucket", F.col("b").alias("id"))
         nth += 1
         if nth == PLAIN_ROUNDS:
             mine = members.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("k"))  # at most as many as there are sketches
-            two = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
-            members = materialise(mine.select(F.explode(two).alias("bucket"), "id"), folder, f"finer{nth}")
+            after = lambda i: F.slice("k", i + 2, F.size("k"))
+            three = F.flatten(F.transform("k", lambda x, i: F.flatten(F.transform(after(i), lambda y, j: F.transform(after(i + j + 1), lambda z: F.xxhash64(x, y, z))))))
+            members = materialise(mine.select(F.explode(three).alias("bucket"), "id"), folder, f"finer{nth}")
 
 
 def edit_similar(texts: DataFrame, similarity: float, folder: str, encoded: Callable[[Column], Column] | None = None, marks: DataFrame | None = None, near: Callable | None = None) -> Callable[[DataFrame, bool], DataFrame]:

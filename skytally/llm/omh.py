@@ -22,7 +22,7 @@ from .common import is_small, lookup, materialise, shared_folder, slices, text_b
 from .linking import components, edit_similar, link
 from .tokens import ALNUM, LOWER, STEP, mixed, word_hashes, word_spans
 
-K, SKETCHES, LENGTH, SIMILARITY = 5, 16, 4, 0.8
+K, SKETCHES, LENGTH, SIMILARITY = 5, 10, 3, 0.8
 #: Three-byte characters U+3400 to U+D7FF.
 FIRST_CHARACTER, CHARACTERS = 0x3400, 0xD800 - 0x3400
 CHUNK = 2 << 20
