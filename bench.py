@@ -23,7 +23,7 @@ def main() -> None:
     took = {}
     for name in HEADLINE:
         runs = []
-        for _ in range(2):
+        for _ in range(int(os.environ.get("BENCH_RUNS", "1"))):
             began = time.time()
             registry.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - began)
