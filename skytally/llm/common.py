@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -40,7 +41,9 @@ def materialise(df: DataFrame, folder: str | None = None, name: str = "table") -
 
 
 def drop_table(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of shared_folder() that no plan reads any more."""
+    """Delete a written table that no plan reads any more, and let Spark drop the shuffle files of plans that are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -63,6 +66,31 @@ def lookup(big: DataFrame, small: DataFrame, on: Sequence[str], row_bytes: int |
     return big.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")
 
 
+def lookup_hot(big: DataFrame, small: DataFrame, on: Sequence[str], row_bytes: int | Column, weight: str, hot: int = 5000) -> DataFrame:
+    """big joined (inner) to the written table small, which has one row a key and in weight the number of rows of big that have it.
+
+    A small table is broadcast. Else the keys with more than hot rows, at most one in hot of big's rows, are broadcast, and the rest is shuffled."""
+    if is_small(small, row_bytes):
+        return big.join(F.broadcast(small.drop(weight)), list(on))
+    many, few = materialise(small.where(F.col(weight) > hot).drop(weight)), small.where(F.col(weight) <= hot).drop(weight)
+    if not is_small(many, row_bytes):
+        return lookup(big, small.drop(weight), on, row_bytes, "inner")
+    return big.join(F.broadcast(many), list(on)).unionByName(big.join(few, list(on)))
+
+
+def give_back() -> None:
+    """At the end of a task: freed memory goes back to the system, since an idle Python worker keeps what it holds."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of an Arrow string or binary array; null counts as empty."""
     import pyarrow as pa

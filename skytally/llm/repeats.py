@@ -20,12 +20,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, lookup, materialise, shared_folder, slices, text_buffer
+from .common import drop_table, is_small, lookup, lookup_hot, materialise, shared_folder, slices, text_buffer
 from .tokens import BYTE, mixed
 
 WIDTH, MER = 200, 24
 #: Bytes hashed at a time; different contexts that a task compares, about, and of one anchor at most.
 CHUNK, STRINGS, COLLECTION = 2 << 20, 4000, 50_000
+#: What is joined to whole documents grows with them, so it is broadcast only where it is next to nothing.
+FEW_BYTES = 1 << 20
 STEP = 0x9E3779B97F4A7C15
 BACK = pow(STEP, -1, 1 << 64)
 
@@ -173,7 +175,7 @@ def large(contexts: DataFrame) -> DataFrame:
 def context_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (anchor, context, n, k, windows, did, h, lo) with the bytes of the contexts, cut out of the documents."""
     lists = materialise(wanted.groupBy("did", "h").agg(F.collect_list(F.struct("anchor", "context", "n", "k", "windows", "lo")).alias("x")).withColumnsRenamed({"did": "_did", "h": "_h"}))
-    small = is_small(lists, F.lit(32) + 56 * F.size("x"))
+    small = is_small(lists, F.lit(32) + 56 * F.size("x"), FEW_BYTES)
     found = docs.join(F.broadcast(lists) if small else lists, (did(docs) == lists["_did"]) & (text_hash(docs) == lists["_h"])).select(docs["text"].cast("binary").alias("text"), "x")
 
     def run(batches):
@@ -199,6 +201,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     rows = materialise(anchor_rows(docs), folder, "anchors")
     twice = materialise(rows.groupBy("anchor").agg(F.count("*").alias("t")).where("t > 1").select("anchor"), folder, "twice")
     rows = materialise(lookup(rows, twice, ["anchor"], 16, "inner", F.struct("did", "lo")), folder, "repeated")
+    drop_table(docs.sparkSession, f"{folder}/anchors")
     contexts = materialise(rows.groupBy("anchor", "context", "windows").agg(F.count("*").alias("n"), F.min(F.struct("did", "h", "lo")).alias("one")), folder, "contexts")
     kinds = materialise(contexts.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), folder, "kinds")
     mixed_ones = materialise(lookup(contexts, kinds, ["anchor"], 24, "inner", F.col("context")).select("anchor", "context", "n", "k", "windows", "one.did", "one.h", "one.lo"), folder, "mixed")
@@ -210,9 +213,11 @@ def repeats(docs: DataFrame) -> DataFrame:
         marks = marks.unionAll(large(strings.where(F.col("k") > COLLECTION)))
     marks = marks.where(F.size("runs") > 0)
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") + (WIDTH - 1)).cast("int").alias("b")))
-    copies = contexts.where("n > 1").select("anchor", "context", whole.alias("runs"))
-    marks = materialise(marks.join(copies.select("anchor", "context"), ["anchor", "context"], "left_anti").unionAll(copies), folder, "marks")
-    hits = lookup(rows.select("did", "h", "lo", "anchor", "context"), marks, ["anchor", "context"], F.lit(40) + 24 * F.size("runs"), "inner", F.struct("did", "lo"))
+    copies = contexts.where("n > 1").select("anchor", "context", whole.alias("runs"), "n")
+    single = contexts.where("n = 1").select("anchor", "context", "n")
+    marks = materialise(marks.join(single, ["anchor", "context"]).unionAll(copies), folder, "marks")
+    drop_table(docs.sparkSession, f"{folder}/strings")
+    hits = lookup_hot(rows.select("did", "h", "lo", "anchor", "context"), marks, ["anchor", "context"], F.lit(40) + 24 * F.size("runs"), "n")
     spans = hits.select("did", "h", F.explode(F.transform("runs", lambda r: F.struct((F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"]).alias("b")))).alias("span"))
     return materialise(spans.groupBy("did", "h").agg(F.collect_set("span").alias("spans")), folder, "spans")
 
@@ -220,7 +225,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 def apply_spans(docs: DataFrame, spans: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep, n_bytes, n_removed, n_spans (maximal removed runs), and kept, the remaining bytes."""
     spans = spans.withColumnsRenamed({"did": "_did", "h": "_h", "spans": "_spans"})
-    small = is_small(spans, F.lit(48) + 40 * F.size("_spans"))
+    small = is_small(spans, F.lit(48) + 40 * F.size("_spans"), FEW_BYTES)
     rows = docs.join(F.broadcast(spans) if small else spans, (did(docs) == spans["_did"]) & (text_hash(docs) == spans["_h"]), "left")
     rows = rows.select(*[docs[c] for c in keep], F.coalesce(docs["text"].cast("binary"), F.lit("").cast("binary")).alias("_text"), F.array_sort("_spans").alias("_spans"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]] + ["n_bytes long", "n_removed long", "n_spans long", "kept binary"])
