@@ -1,12 +1,12 @@
 """Fuzzy line deduplication, in DataFrame operations alone.
 
 Lines are normalised (lower case, runs of ASCII characters other than letters and digits become one space) and equal ones are counted as one. Each different line
-with at least MIN_WORDS words of FEATURE letters gets a 256-bit SimHash of these, cut into 8 blocks of 32 bits: lines whose hashes differ in at most 7 bits agree in a whole block (pigeonhole), most of
-those that differ in some more bits do too. Lines that share a block are linked if their SimHashes differ in at most FAR bits and the edit similarity of
+with at least MIN_WORDS words of FEATURE letters (or more than RUN words) gets a 128-bit SimHash of these, cut into 8 blocks of 16 bits. The blocks stand in a ring, and each two neighbours are a key of 32 bits: hashes that differ in at most 3 bits have at least
+5 equal blocks, of which two are neighbours (pigeonhole), and most of those that differ in some more bits share a key too. Lines that share a key are linked if their SimHashes differ in at most FAR bits and the edit similarity of
 their words is at least 0.8 (a banded alignment).
 Of each connected group of lines the first occurrence, by (doc_id, line number), stays and all others go.
 
-SimHash without a row a bit: 8-bit counters of eight bits of a hash lie in one long, so that 32 sums per line hold the 256 counters. A counter may not
+SimHash without a row a bit: 8-bit counters of eight bits of a hash lie in one long, so that 16 sums per line hold the 128 counters. A counter may not
 exceed 127, so a line is summed in runs of 127 words, each with a SimHash of its own.
 
 Defined results. Lines end with a line feed. Empty lines and lines without letters, digits and other characters than ASCII stay and are never linked. Lines of fewer than MIN_WORDS such words are linked to equal ones only. Null texts stay null.
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import is_small, lookup, materialise, shared_folder
 from .linking import components, edit_similar, link, word_characters
 
-#: FEATURE: letters of a word that counts for the SimHash, shorter ones are common to most lines; FAR: bits of 256 in which lines of the wanted similarity hardly ever differ more.
-MIN_WORDS, SIMILARITY, RUN, FEATURE, FAR = 5, 0.8, 127, 4, 64
+#: FEATURE: letters of a word that counts for the SimHash, shorter ones are common to most lines; FAR: bits of 128 in which lines of the wanted similarity hardly ever differ more.
+MIN_WORDS, SIMILARITY, RUN, FEATURE, FAR, HASHES = 5, 0.8, 127, 4, 32, 2
 #: Listed one by one: Java looks such a class up in a table.
 OTHER = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum() and chr(c) != "\n") + "]+"
 NULL_ID = 2**63 - 1
@@ -49,25 +49,26 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
-    """(id, run, blocks): the SimHash of each run of RUN feature words of lines (id, line), as eight blocks of 32 bits."""
-    words = lines.select("id", F.posexplode(F.filter(F.split("line", " "), lambda w: F.length(w) >= FEATURE)).alias("at", "word"))
-    words = words.select("id", (F.col("at") / RUN).cast("int").alias("run"), F.xxhash64("word").alias("h0"))
-    for k in range(1, 4):
+    """(id, run, runs, blocks): the SimHash of the feature words of each run of RUN words of lines (id, line), as numbers of 32 bits."""
+    words = lines.select("id", F.split("line", " ").alias("w")).select("id", F.ceil(F.size("w") / float(RUN)).alias("runs"), F.posexplode("w").alias("at", "word")).where(F.length("word") >= FEATURE)
+    words = words.select("id", "runs", (F.col("at") / RUN).cast("int").alias("run"), F.xxhash64("word").alias("h0"))
+    for k in range(1, HASHES):
         words = words.withColumn(f"h{k}", F.xxhash64(F.lit(k), "h0"))
     lane = F.lit(0x0101010101010101)
-    sums = [F.sum(F.shiftrightunsigned(f"h{k}", b).bitwiseAND(lane)).alias(f"s{k}_{b}") for k in range(4) for b in range(8)]
-    counted = words.groupBy("id", "run").agg(F.count("*").alias("n"), *sums)
+    sums = [F.sum(F.shiftrightunsigned(f"h{k}", b).bitwiseAND(lane)).alias(f"s{k}_{b}") for k in range(HASHES) for b in range(8)]
+    counted = words.groupBy("id", "run").agg(F.count("*").alias("n"), F.max("runs").alias("runs"), *sums)
+    counted = counted.where((F.col("n") >= MIN_WORDS) | (F.col("runs") > 1))
     # a counter is above half of n if adding 127 - floor(n / 2) to it sets its highest bit
     lift = (F.lit(127) - F.floor(F.col("n") / 2)) * F.lit(0x01010101)
     blocks = []
-    for k in range(4):
+    for k in range(HASHES):
         for half in range(2):
             block = F.lit(0)
             for b in range(8):
                 part = F.shiftrightunsigned(f"s{k}_{b}", 32 * half).bitwiseAND(F.lit(0x7F7F7F7F))
                 block = block.bitwiseOR(F.shiftrightunsigned((part + lift).bitwiseAND(F.lit(0x80808080)), 7 - b))
             blocks.append(block)
-    return counted.select("id", "run", F.array(*blocks).alias("blocks"))
+    return counted.select("id", "run", "runs", F.array(*blocks).alias("blocks"))
 
 
 def near_simhash(a, b):
@@ -83,11 +84,12 @@ def removed(docs: DataFrame) -> DataFrame:
     lines = occurrences(docs)
     once = lines.select(line_id(F.col("line")).alias("id"), "line", "did", "nth", "h").groupBy("id").agg(F.first("line").alias("line"), first.alias("first"), F.count("*").alias("n"))
     once = materialise(once, folder, "once")
-    features = F.size(F.filter(F.split("line", " "), lambda w: F.length(w) >= FEATURE))
-    hashes = materialise(simhashes(once.where(features >= MIN_WORDS).select("id", "line")), folder, "simhashes")
-    bucket = F.explode(F.transform("blocks", lambda x, i: F.xxhash64(i, x))).alias("bucket")
-    buckets = hashes.select("id", bucket).distinct() if hashes.where("run > 0").isEmpty() is False else hashes.select("id", bucket)
-    one_run = hashes.groupBy("id").agg(F.max("run").alias("run"), F.first("blocks").alias("sig")).where("run = 0").select("id", "sig")
+    hashes = materialise(simhashes(once.select("id", "line")), folder, "simhashes")
+    halves = F.flatten(F.transform("blocks", lambda x: F.array(F.shiftright(x, 16).bitwiseAND(F.lit(0xFFFF)), x.bitwiseAND(F.lit(0xFFFF)))))
+    hashes = hashes.withColumn("ring", halves)
+    bucket = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("ring")[i], F.col("ring")[(i + 1) % (4 * HASHES)]) for i in range(4 * HASHES)])).alias("bucket")
+    buckets = hashes.select("id", bucket)
+    one_run = hashes.where("runs = 1").select("id", F.col("blocks").alias("sig"))
     texts = once.select("id", F.col("line").alias("x"))
     verify = edit_similar(texts, SIMILARITY, folder, word_characters, one_run, near_simhash)
     roots = materialise(components(link(buckets, verify, folder), folder), folder, "roots")
@@ -107,7 +109,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     did, h = key(docs)
     small = is_small(gone, F.lit(48) + 4 * F.size("_gone"))
     rows = docs.join(F.broadcast(gone) if small else gone, (did == gone["_did"]) & (h == gone["_h"]), "left")
-    lines = F.split(docs["text"], "\n", -1)
-    stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone["_gone"]), lambda i: F.get(lines, i))
-    text = F.when(gone["_gone"].isNull(), docs["text"]).otherwise(F.array_join(stays, "\n")).alias("text")
-    return rows.select(*[text if c == "text" else docs[c] for c in docs.columns])
+    # the lines are a column of their own, split once and not for each line that stays
+    rows = rows.select(*[docs[c] for c in docs.columns], gone["_gone"].alias("_gone_lines"), F.when(gone["_gone"].isNotNull(), F.split(docs["text"], "\n", -1)).alias("_all_lines"))
+    stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_all_lines") - 1), F.col("_gone_lines")), lambda i: F.get(F.col("_all_lines"), i))
+    text = F.when(F.col("_gone_lines").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")).alias("text")
+    return rows.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns])
