@@ -23,12 +23,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer
+from .common import give_back, slices, text_buffer
 
 #: Bytes of training text at most, over all languages and of one.
 SAMPLE_BYTES, LANGUAGE_BYTES = 4 << 20, 512 << 10
 #: Bytes of the code length table at most; beyond it the rarest three-byte contexts are left out.
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 64 << 20
 ORDER = 3
 #: Added columns replace those of the same names.
 ADDED = ("lang_pred", "score", "bits_per_byte")
@@ -132,7 +132,7 @@ class CodeLengths:
         flat[contexts[3]] = first[3] + np.arange(len(contexts[3]))
         self.row_of = flat
 
-    def total(self, data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+    def total(self, data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
         """Bits of each text (rows) under each language (columns)."""
         out = np.zeros((len(offsets) - 1, len(self.langs)))
         pad = self.symbol[PAD]
@@ -171,8 +171,12 @@ def cached(name: str, make):
 
 def predict(docs: DataFrame, model: dict, carry: dict[str, Column]) -> DataFrame:
     """The carried columns with lang_pred, score (posterior of the language under equal priors) and bits_per_byte (of its code)."""
-    keep = docs.select(*[c.alias(k) for k, c in carry.items()], docs["text"].rlike(r"\p{L}").alias("_letter"), docs["text"].alias("_text"))
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields if f.name not in ("_letter", "_text")] + ["lang_pred string", "score double", "bits_per_byte double"])
+    texts = {k: c for k, c in carry.items() if k == "text"} or {"_text": docs["text"]}  # sent once
+    rest = {k: c for k, c in carry.items() if k not in texts}
+    keep = docs.select(*[c.alias(k) for k, c in rest.items()], docs["text"].rlike(r"\p{L}").alias("_letter"), *[c.alias(k) for k, c in texts.items()])
+    names = [*rest, *(k for k in texts if k in carry)]
+    kinds = {f.name: f.dataType.simpleString() for f in keep.schema.fields}
+    out = ", ".join([f"`{k}` {kinds[k]}" for k in names] + ["lang_pred string", "score double", "bits_per_byte double"])
     name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE_BYTES
 
     def score(batches):
@@ -191,8 +195,10 @@ def predict(docs: DataFrame, model: dict, carry: dict[str, Column]) -> DataFrame
                 score = np.where(letter, 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(1), 0.0)
                 rate = np.where(letter, least / np.maximum(offsets[1:] - offsets[:-1], 1), 0.0)
                 lang = [table.langs[k] if ok else "und" for k, ok in zip(best, letter, strict=True)]
-            columns = [batch.column(i) for i in range(batch.num_columns - 2)] + [pa.array(lang, pa.string()), pa.array(score), pa.array(rate)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-2], "lang_pred", "score", "bits_per_byte"])
+            columns = [batch.column(batch.schema.get_field_index(k)) for k in names] + [pa.array(lang, pa.string()), pa.array(score), pa.array(rate)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "score", "bits_per_byte"])
+            del batch, data, columns
+        give_back()
 
     return keep.mapInArrow(score, out)
 

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, lookup, materialise, shared_folder, slices, text_buffer
+from .common import give_back, is_small, lookup, materialise, shared_folder, slices, text_buffer
 from .linking import components, edit_similar, link
 from .tokens import ALNUM, LOWER, STEP, mixed, word_hashes, word_spans
 
@@ -142,6 +142,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             flat = np.concatenate(buckets).reshape(-1) if buckets else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, SKETCHES, dtype=np.int32), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), lists], names=["did", "h", "id", "buckets"])
+        give_back()
 
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("did"), text_hash(docs).alias("h"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(run, "did long, h long, id long, buckets array<long>")
@@ -160,6 +161,7 @@ def word_texts(docs: DataFrame) -> DataFrame:
                 words, begin = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 out += [coded(words[begin[i] : begin[i + 1]]) for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()).cast(pa.string())], names=["id", "x"])
+        give_back()
 
     return docs.mapInArrow(run, "id long, x string")
 
