@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,51 +10,53 @@ from pyspark.sql import functions as F
 
 from .common import is_small, lookup, materialise, shared_folder
 
-#: Rounds in which a bucket's members are held against one leader each, before the buckets of the rest are made finer, once.
-PLAIN_ROUNDS = 2
-#: Leaders of a bucket in the first later round; twice as many in each that follows.
-LATE_LEADERS = 16
+#: Leaders of a bucket in the first round after that of one leader; GROWTH times as many in each that follows.
+LEADERS, GROWTH = 16, 16
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], folder: str | None = None) -> DataFrame:
-    """Verified pairs (a, b), a < b, of the ids that share a bucket; buckets: (bucket long, id long).
+def lengths_fit(a: str, b: str, similarity: float) -> Column:
+    """Whether texts of the lengths a and b can be edit similar."""
+    return F.abs(F.col(a) - F.col(b)) <= F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9)
 
-    In each round the members of every bucket are held against its least id, so a round tests at most as many pairs as there are members, however
-    large a bucket is. Members that are similar to the leader are connected and leave the bucket; the others try again among themselves, until
-    none is left. After PLAIN_ROUNDS rounds the rest is dealt anew, by every three of the buckets that an id is still in: large buckets
-    of dissimilar members (texts that are little more than one common passage) fall apart, while similar ids share many buckets, in most of which they have met already."""
+
+def link(buckets: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], folder: str | None = None, sizes: DataFrame | None = None, similarity: float = 0.8) -> DataFrame:
+    """Verified pairs (a, b), a < b, whose connected groups are those of all verified pairs of ids that share a bucket; buckets: (bucket long, id long).
+
+    In the first round the members of every bucket are held against its least id, so large groups of copies are connected by as many pairs as there are members. Thereafter every member
+    of a bucket in which some pair failed, matched or not, is a leader in its turn, LEADERS and more a round, and is held against all later members of the bucket that are not yet connected
+    with it. So each pair that shares a bucket is tested, or connected already. Buckets of n unlike members cost n * n / 2 pairs, less those whose lengths, from sizes (id, size), rule them out."""
     folder = folder or shared_folder(buckets.sparkSession)
-    members, edges, nth = buckets, None, 0
+    # pre-aggregated before the shuffle; buckets of one member end here
+    leaders = materialise(buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("bucket", "a"), folder, "leaders")
+    stars = materialise(lookup(buckets, leaders, ["bucket"], 32, "inner", F.col("id")).where("id > a").select("bucket", "a", F.col("id").alias("b")), folder, "stars")
+    edges = materialise(verify(stars.select("a", "b").distinct(), False).select("a", "b"), folder, "good0")
+    failed = materialise(stars.join(edges, ["a", "b"], "left_anti").select("bucket").distinct(), folder, "failed")
+    members = lookup(stars, failed, ["bucket"], 24, "inner", F.col("b")).select("bucket", F.col("b").alias("id")).distinct()
+    members = members.withColumn("size", F.lit(0)) if sizes is None else members.join(sizes.select("id", "size"), "id")
+    members = materialise(members.select("bucket", "id", "size", F.row_number().over(Window.partitionBy("bucket").orderBy("id")).alias("rank")), folder, "members0")
+    roots = materialise(components(edges, folder), folder, "roots0")
+    members = materialise(lookup(members, roots, ["id"], 24, "left", F.col("bucket")).select("bucket", "id", "size", "rank", F.coalesce("root", "id").alias("root")), folder, "rooted0")
+    nth, most = 1, LEADERS
     while True:
-        late = nth >= PLAIN_ROUNDS
-        if late:  # few are left, all dissimilar to their leaders so far
-            members = materialise(members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))), folder, f"ranked{nth}")
-            most = LATE_LEADERS << (nth - PLAIN_ROUNDS)
-            pairs = members.join(members.where(F.col("rank") <= most).select("bucket", F.col("id").alias("a")), "bucket").where("id > a")
-        else:  # pre-aggregated before the shuffle; buckets of one member end here
-            leaders = materialise(members.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("bucket", "a"), folder, f"leaders{nth}")
-            pairs = lookup(members, leaders, ["bucket"], 32, "inner", F.col("id")).where("id > a")
-        pairs = materialise(pairs.select("bucket", "a", F.col("id").alias("b")), folder, f"pairs{nth}")
-        tested = pairs.select("a", "b").distinct()
-        good = materialise(verify(tested, late).select("a", "b"), folder, f"good{nth}")
-        edges = good if edges is None else edges.unionAll(good)
-        if late:
-            done = pairs.join(good, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("id")).distinct()
-            members = members.where(F.col("rank") > most).select("bucket", "id").join(done, ["bucket", "id"], "left_anti")
-            members, nth = materialise(members, folder, f"rest{nth}"), nth + 1
-            if members.isEmpty():
-                return edges.distinct()
-            continue
-        rest = materialise(pairs.join(good, ["a", "b"], "left_anti"), folder, f"rest{nth}")
-        if rest.isEmpty():
+        several = materialise(members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket"), folder, f"several{nth}")
+        if several.isEmpty():
             return edges.distinct()
-        members = rest.select("bucket", F.col("b").alias("id"))
-        nth += 1
-        if nth == PLAIN_ROUNDS:
-            mine = members.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("k"))  # at most as many as there are sketches
-            after = lambda i: F.slice("k", i + 2, F.size("k"))
-            three = F.flatten(F.transform("k", lambda x, i: F.flatten(F.transform(after(i), lambda y, j: F.transform(after(i + j + 1), lambda z: F.xxhash64(x, y, z))))))
-            members = materialise(mine.select(F.explode(three).alias("bucket"), "id"), folder, f"finer{nth}")
+        members = lookup(members, several, ["bucket"], 24, "inner", F.col("id"))
+        heads = materialise(members.where(F.col("rank") <= most).select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("id", "size", "rank", "root")]), folder, f"heads{nth}")
+        pairs = lookup(members, heads, ["bucket"], 64, "inner", F.col("id")).where("rank > rank_a AND root <> root_a")
+        if sizes is not None:
+            pairs = pairs.where(lengths_fit("size", "size_a", similarity))
+        pairs = pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b"), F.least("root", "root_a").alias("v"), F.greatest("root", "root_a").alias("u")).distinct()
+        pairs = materialise(pairs, folder, f"pairs{nth}")
+        good = materialise(verify(pairs.select("a", "b"), True).select("a", "b"), folder, f"good{nth}")
+        members = members.where(F.col("rank") > most)
+        if not good.isEmpty():
+            edges = edges.unionAll(good)
+            joined = components(pairs.join(good, ["a", "b"], "left_semi").select(F.col("v").alias("a"), F.col("u").alias("b")), folder).select(F.col("id").alias("root"), F.col("root").alias("now"))
+            members = lookup(members, materialise(joined, folder, f"joined{nth}"), ["root"], 24, "left", F.col("id"))
+            members = members.select("bucket", "id", "size", "rank", F.coalesce("now", "root").alias("root"))
+        members = materialise(members, folder, f"members{nth}")
+        nth, most = nth + 1, most * GROWTH
 
 
 def edit_similar(texts: DataFrame, similarity: float, folder: str, encoded: Callable[[Column], Column] | None = None, marks: DataFrame | None = None, near: Callable | None = None) -> Callable[[DataFrame, bool], DataFrame]:
@@ -106,7 +109,7 @@ def word_characters(line: Column) -> Column:
 
 def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """(id, root): the least id of the connected group of every id in edges (a, b), by alternating large-star and small-star steps."""
-    folder = folder or shared_folder(edges.sparkSession)
+    folder = f"{folder or shared_folder(edges.sparkSession)}/components-{uuid.uuid4().hex}"
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), folder, "edges")
     mark = None
     nth = 0

@@ -180,7 +180,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     did = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))
     found = docs.join(F.broadcast(wanted) if is_small(wanted, 32) else wanted, (did == wanted["_did"]) & (text_hash(docs) == wanted["_h"])).select("id", docs["text"].cast("string").alias("text"))
     sequences = materialise(word_texts(found), folder, "sequences").dropDuplicates(["id"])
-    roots = materialise(components(link(members, edit_similar(sequences, SIMILARITY, folder), folder), folder), folder, "roots")
+    sizes = sequences.select("id", F.length("x").alias("size"))
+    roots = materialise(components(link(members, edit_similar(sequences, SIMILARITY, folder), folder, sizes, SIMILARITY), folder), folder, "roots")
     texts = materialise(lookup(texts, roots, ["id"], 24).select("id", "first", F.coalesce("root", "id").alias("root")), folder, "rooted")
     least = materialise(texts.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first"), folder, "least")
     texts = materialise(lookup(texts.withColumnRenamed("first", "own"), least, ["root"], 40, "left", F.col("id")).select("id", F.coalesce("first", "own").alias("first")), folder, "classes")

@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from skytally.llm import balltree, decontam, katz, langid, linedup, mixing, omh, preference, queries, repeats, warczip
+from skytally.llm import balltree, decontam, katz, langid, linedup, linking, mixing, omh, preference, queries, repeats, warczip
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = ["alpha", "bravo", "the", "of", "delta", "echo", "fox", "golf", "hotel", "india", "juliet", "kilo", "lima", "mike", "Él"]
@@ -120,6 +120,19 @@ def test_near_duplicates(spark, docs, none):
     assert omh.keep(none).count() == 0 and omh.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("linked", [{(38, 39)}])
+def test_links_of_a_crowded_bucket_of_unlike_members(spark, linked):
+    """One shared bucket, 40 members: a link behind unlike leaders is found, and so is one of a member that has joined another."""
+    buckets = spark.createDataFrame([(7, i) for i in range(40)] + [(8, 50), (9, 50)], "bucket long, id long")
+    truth = spark.createDataFrame(sorted(linked), "a long, b long")
+    found = linking.link(buckets, lambda pairs, late: pairs.join(truth, ["a", "b"]))
+    groups = {}
+    for r in linking.components(found).distinct().collect():
+        groups.setdefault(r.root, set()).add(r.id)
+    want = [{38, 39}] if (38, 39) in linked else [{0, 1, 2}] if (0, 1) in linked else [{0, 25, 26, 39}]
+    assert list(groups.values()) == want
+
+
 def test_top_k(spark):
     r = random.Random(2)
     rows = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
