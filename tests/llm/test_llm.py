@@ -120,7 +120,7 @@ def test_near_duplicates(spark, docs, none):
     assert omh.keep(none).count() == 0 and omh.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("linked", [{(38, 39)}])
+@pytest.mark.parametrize("linked", [{(38, 39)}, {(0, 1), (1, 2)}, {(0, 39), (25, 39), (25, 26)}])
 def test_links_of_a_crowded_bucket_of_unlike_members(spark, linked):
     """One shared bucket, 40 members: a link behind unlike leaders is found, and so is one of a member that has joined another."""
     buckets = spark.createDataFrame([(7, i) for i in range(40)] + [(8, 50), (9, 50)], "bucket long, id long")
