@@ -1,15 +1,12 @@
 """Fuzzy line deduplication, in DataFrame operations alone.
 
-Lines are normalised (lower case, runs of ASCII characters other than letters and digits become one space) and equal ones are counted as one. Each different line
-with at least MIN_WORDS words of FEATURE letters (or more than RUN words) gets a 128-bit SimHash of these, cut into 8 blocks of 16 bits. The blocks stand in a ring, and each two neighbours are a key of 32 bits: hashes that differ in at most 3 bits have at least
-5 equal blocks, of which two are neighbours (pigeonhole), and most of those that differ in some more bits share a key too. Lines that share a key are linked if their SimHashes differ in at most FAR bits and the edit similarity of
-their words is at least 0.8 (a banded alignment).
+Lines are normalised (lower case, runs of ASCII characters other than letters and digits become one space) and equal ones are counted as one. A different line's words are put in a fixed order,
+the longer ones first (they are the rarer), equal lengths by hash, and every two of its first WORDS are a key. A line of fewer than FEW different words (short ones, and those in scripts without spaces)
+also has keys of every two of its GRAMS least trigram hashes, and one of at most SHORT characters also itself and what remains if any one or two of its characters are left out: of such
+lines all similar pairs meet. Lines that share a key are linked if the edit similarity of their normalised characters is at least 0.8 (a banded alignment).
 Of each connected group of lines the first occurrence, by (doc_id, line number), stays and all others go.
 
-SimHash without a row a bit: 8-bit counters of eight bits of a hash lie in one long, so that 16 sums per line hold the 128 counters. A counter may not
-exceed 127, so a line is summed in runs of 127 words, each with a SimHash of its own.
-
-Defined results. Lines end with a line feed. Empty lines and lines without letters, digits and other characters than ASCII stay and are never linked. Lines of fewer than MIN_WORDS such words are linked to equal ones only. Null texts stay null.
+Defined results. Lines end with a line feed. Empty lines and lines without letters, digits and other characters than ASCII stay and are never linked. Whether other similar lines meet is a matter of their words; the README has measured figures. Null texts stay null.
 A text all of whose lines go becomes empty. A null doc_id orders last; rows equal in doc_id and text are the same document and keep the same lines. All columns pass through, text excepted.
 """
 
@@ -19,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import is_small, lookup, materialise, shared_folder
-from .linking import components, edit_similar, link, word_characters
+from .linking import components, edit_similar, link
 
-#: FEATURE: letters of a word that counts for the SimHash, shorter ones are common to most lines; FAR: bits of 128 in which lines of the wanted similarity hardly ever differ more.
-MIN_WORDS, SIMILARITY, RUN, FEATURE, FAR, HASHES = 5, 0.8, 127, 4, 32, 2
+#: LONG: letters beyond which words count as equally long; of these and the others see above.
+SIMILARITY, WORDS, LONG, FEW, GRAMS, SHORT = 0.8, 7, 8, 8, 8, 14
 #: Listed one by one: Java looks such a class up in a table.
 OTHER = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum() and chr(c) != "\n") + "]+"
 NULL_ID = 2**63 - 1
@@ -48,33 +45,30 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("did", "h", "nth", F.trim("raw").alias("line")).where("line <> ''")
 
 
-def simhashes(lines: DataFrame) -> DataFrame:
-    """(id, run, runs, blocks): the SimHash of the feature words of each run of RUN words of lines (id, line), as numbers of 32 bits."""
-    words = lines.select("id", F.split("line", " ").alias("w")).select("id", F.ceil(F.size("w") / float(RUN)).alias("runs"), F.posexplode("w").alias("at", "word")).where(F.length("word") >= FEATURE)
-    words = words.select("id", "runs", (F.col("at") / RUN).cast("int").alias("run"), F.xxhash64("word").alias("h0"))
-    for k in range(1, HASHES):
-        words = words.withColumn(f"h{k}", F.xxhash64(F.lit(k), "h0"))
-    lane = F.lit(0x0101010101010101)
-    sums = [F.sum(F.shiftrightunsigned(f"h{k}", b).bitwiseAND(lane)).alias(f"s{k}_{b}") for k in range(HASHES) for b in range(8)]
-    counted = words.groupBy("id", "run").agg(F.count("*").alias("n"), F.max("runs").alias("runs"), *sums)
-    counted = counted.where((F.col("n") >= MIN_WORDS) | (F.col("runs") > 1))
-    # a counter is above half of n if adding 127 - floor(n / 2) to it sets its highest bit
-    lift = (F.lit(127) - F.floor(F.col("n") / 2)) * F.lit(0x01010101)
-    blocks = []
-    for k in range(HASHES):
-        for half in range(2):
-            block = F.lit(0)
-            for b in range(8):
-                part = F.shiftrightunsigned(f"s{k}_{b}", 32 * half).bitwiseAND(F.lit(0x7F7F7F7F))
-                block = block.bitwiseOR(F.shiftrightunsigned((part + lift).bitwiseAND(F.lit(0x80808080)), 7 - b))
-            blocks.append(block)
-    return counted.select("id", "run", "runs", F.array(*blocks).alias("blocks"))
-
-
-def near_simhash(a, b):
-    """Whether two SimHashes differ in at most FAR bits; unknown ones (lines of several runs) may."""
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return a.isNull() | b.isNull() | (differ <= FAR)
+def twos(values: str, most: int) -> Column:
+    """Keys of every two of the first values of an array; of a single one, a key of its own."""
+    first = F.slice(values, 1, most)
+    keys = F.flatten(F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, most), lambda y: F.xxhash64(F.lit(values), x, y))))
+    return F.when(F.size(values) == 1, F.transform(first, lambda x: F.xxhash64(F.lit(values), x))).otherwise(keys)
+
+
+def shortened(line: Column) -> Column:
+    """What remains of a line if any one of its characters is left out."""
+    return F.transform(F.sequence(F.lit(1), F.length(line)), lambda i: F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, F.length(line))))
+
+
+def buckets(lines: DataFrame) -> DataFrame:
+    """(bucket, id): the keys of lines (id, line)."""
+    place = lambda w: F.shiftrightunsigned(F.xxhash64(w), 4) + (F.lit(LONG) - F.least(F.length(w), F.lit(LONG))).cast("long") * F.lit(1 << 59)
+    rows = lines.select("id", "line", F.sort_array(F.array_distinct(F.transform(F.split("line", " "), place))).alias("words"))
+    few = rows.where(F.size("words") < FEW)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("line") - 2, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col("line"), i, F.lit(3))))
+    few = few.select("id", "line", F.sort_array(F.array_distinct(grams)).alias("grams"))
+    short = few.where(F.length("line") <= SHORT).select("id", "line", shortened(F.col("line")).alias("one"))
+    left = F.concat(F.array("line"), F.col("one"), F.flatten(F.transform("one", shortened)))
+    short = short.select("id", F.explode(F.array_distinct(F.transform(left, lambda x: F.xxhash64(F.lit("short"), x)))).alias("bucket"))
+    keys = rows.select("id", F.explode(twos("words", WORDS)).alias("bucket")).unionAll(few.select("id", F.explode(twos("grams", GRAMS)).alias("bucket"))).unionAll(short)
+    return keys.select("bucket", "id")
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -84,15 +78,9 @@ def removed(docs: DataFrame) -> DataFrame:
     lines = occurrences(docs)
     once = lines.select(line_id(F.col("line")).alias("id"), "line", "did", "nth", "h").groupBy("id").agg(F.first("line").alias("line"), first.alias("first"), F.count("*").alias("n"))
     once = materialise(once, folder, "once")
-    hashes = materialise(simhashes(once.select("id", "line")), folder, "simhashes")
-    halves = F.flatten(F.transform("blocks", lambda x: F.array(F.shiftright(x, 16).bitwiseAND(F.lit(0xFFFF)), x.bitwiseAND(F.lit(0xFFFF)))))
-    hashes = hashes.withColumn("ring", halves)
-    bucket = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("ring")[i], F.col("ring")[(i + 1) % (4 * HASHES)]) for i in range(4 * HASHES)])).alias("bucket")
-    buckets = hashes.select("id", bucket)
-    one_run = hashes.where("runs = 1").select("id", F.col("blocks").alias("sig"))
     texts = once.select("id", F.col("line").alias("x"))
-    verify = edit_similar(texts, SIMILARITY, folder, word_characters, one_run, near_simhash)
-    roots = materialise(components(link(buckets, verify, folder), folder), folder, "roots")
+    sizes = once.select("id", F.length("line").alias("size"))
+    roots = materialise(components(link(buckets(once.select("id", "line")), edit_similar(texts, SIMILARITY, folder), folder, sizes, SIMILARITY), folder), folder, "roots")
     # of every group with several occurrences, where the first one is
     grouped = lookup(once.select("id", "first", "n"), roots, ["id"], 24).where("n > 1 or root is not null")
     grouped = materialise(grouped.select("id", "first", F.coalesce("root", "id").alias("root")), folder, "grouped")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_small, lookup, materialise, shared_folder
+from .common import is_small, lookup, lookup_hot, materialise, shared_folder
 
 #: Leaders of a bucket in the first round after that of one leader; GROWTH times as many in each that follows.
 LEADERS, GROWTH = 16, 16
@@ -59,11 +59,10 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], fol
         nth, most = nth + 1, most * GROWTH
 
 
-def edit_similar(texts: DataFrame, similarity: float, folder: str, encoded: Callable[[Column], Column] | None = None, marks: DataFrame | None = None, near: Callable | None = None) -> Callable[[DataFrame, bool], DataFrame]:
-    """For link(): keeps the pairs (a, b) whose texts (id, x) are edit similar: distance <= (1 - similarity) * longer length, counted in characters of x, or of encoded(x).
+def edit_similar(texts: DataFrame, similarity: float, folder: str) -> Callable[[DataFrame, bool], DataFrame]:
+    """For link(): keeps the pairs (a, b) whose texts (id, x) are edit similar: distance <= (1 - similarity) * longer length, counted in characters of x.
 
-    near(sig of a, sig of b), over marks (id, sig), is a cheap test that similar pairs pass. The alignment is banded; a narrow band is tried first. A leader a may have any
-    number of pairs, so its text is looked up, not shuffled by a. In late rounds, of few pairs, Spark plans the joins as it sees fit."""
+    The alignment is banded; a narrow band is tried first. A leader a may have any number of pairs, so the texts of leaders of many are broadcast. In late rounds, of few pairs, Spark plans the joins as it sees fit."""
     known: list[DataFrame] = []
 
     def verify(pairs: DataFrame, late: bool = False) -> DataFrame:
@@ -73,20 +72,13 @@ def edit_similar(texts: DataFrame, similarity: float, folder: str, encoded: Call
             ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), folder, "ids")
             few = F.broadcast(ids) if is_small(ids, 24) else ids
             found = texts.select("id", "x").join(few, "id", "left_semi")
-            if encoded is not None:
-                found = found.withColumn("x", encoded(F.col("x")))
-            if marks is not None:
-                found = found.join(marks.join(few, "id", "left_semi"), "id", "left")
             known.append(materialise(found, folder, "wanted"))
         else:
             known.append(known[0])
         wanted = known[0]
-        columns = ["x"] if marks is None else ["x", "sig"]
-        heads = wanted.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}a") for c in columns])
-        rows = pairs.join(wanted.select(F.col("id").alias("b"), *columns), "b")
-        rows = rows.join(heads, "a") if late else lookup(rows, materialise(heads, folder, f"heads{nth}"), ["a"], F.octet_length("xa") + 96, "inner", F.col("b"))
-        if marks is not None:
-            rows = rows.where(near(F.col("siga"), F.col("sig")))
+        heads = wanted.select(F.col("id").alias("a"), F.col("x").alias("xa")).join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a")
+        rows = pairs.join(wanted.select(F.col("id").alias("b"), "x"), "b")
+        rows = rows.join(heads.drop("n"), "a") if late else lookup_hot(rows, materialise(heads, folder, f"heads_of{nth}"), ["a"], F.octet_length("xa") + 96, "n")
         longer = F.greatest(F.length("x"), F.length("xa"))
         most = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
         rows = rows.where(F.abs(F.length("x") - F.length("xa")) <= most).withColumn("most", most).withColumn("few", F.least(most, (longer / 32).cast("int") + 2))
@@ -96,17 +88,6 @@ def edit_similar(texts: DataFrame, similarity: float, folder: str, encoded: Call
     return verify
 
 
-def word_characters(line: Column) -> Column:
-    """A text with one character for each word of a line, drawn from the word's hash out of U+3400 to U+D7FF."""
-
-    def utf8(word: Column) -> Column:
-        c = F.pmod(F.xxhash64(word), F.lit(0xD800 - 0x3400)) + F.lit(0x3400)
-        part = lambda shift: F.shiftright(c, shift).bitwiseAND(F.lit(63)) + F.lit(128)
-        return F.hex((F.shiftright(c, 12) + F.lit(224)) * F.lit(65536) + part(6) * F.lit(256) + part(0))
-
-    return F.decode(F.unhex(F.array_join(F.transform(F.split(line, " "), utf8), "")), "UTF-8")
-
-
 def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """(id, root): the least id of the connected group of every id in edges (a, b), by alternating large-star and small-star steps."""
     folder = f"{folder or shared_folder(edges.sparkSession)}/components-{uuid.uuid4().hex}"
