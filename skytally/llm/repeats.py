@@ -64,9 +64,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     with np.errstate(over="ignore"):
         sums, back = prefix_sums(data)
         mers = mixed((sums[MER:] - sums[:-MER]) * back[: len(data) - MER + 1])
-        places = np.uint64(24)  # bits for the place in the chunk: of equal hashes the first counts
-        if len(data) >= 1 << 24:
-            places = np.uint64(36)
+        places = np.uint64(36)  # bits for the place in the data, at every size: of equal hashes the first counts, and all texts order anchors by the same 28 bits
         low = (np.uint64(1) << places) - np.uint64(1)
         ranked = (mers & ~low) | np.arange(len(mers), dtype=np.uint64)
         least = (sliding_min(ranked, WIDTH - MER + 1) & low).astype(np.int64)

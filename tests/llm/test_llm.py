@@ -283,6 +283,17 @@ def test_repeats_by_brute_force(spark, docs, none, most, monkeypatch):
     assert repeats.drop_repeats(none).count() == 0
 
 
+def test_anchors_do_not_depend_on_the_size_of_the_data(monkeypatch):
+    """Hashes that agree in their upper 28 bits tie in data of every size."""
+    import numpy as np
+
+    monkeypatch.setattr(repeats, "mixed", lambda x, own=repeats.mixed: own(x) >> np.uint64(28))
+    data = np.random.default_rng(5).integers(97, 123, (1 << 24) + 500).astype(np.uint8)
+    small = repeats.anchors(data[:400], np.array([0, 400]))
+    large = repeats.anchors(data, np.array([0, 400, len(data)]))
+    assert [list(small[k]) for k in ("lo", "at")] == [list(large[k][large["text"] == 0]) for k in ("lo", "at")]
+
+
 def test_pipeline(spark, docs, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
