@@ -40,7 +40,7 @@ def w02b_nmm(d: DataFrame) -> DataFrame:
 @book.query("images detections", None)
 def w04_duel(images: DataFrame, d: DataFrame) -> DataFrame:
     """The detections that stay after the duels of overlapping images, per connected group of images."""
-    f = flight.footprints(images.where("image_id % 4 = 0"))
+    f = flight.footprints(images)
     links = overlap.edges(f, 0.3)
     groups = overlap.groups(f.select(F.col("image_id").alias("id")), links.select(F.col("image_a").alias("a"), F.col("image_b").alias("b")))
     far = d.join(images.select("image_id", "width", "height"), "image_id").select("image_id", "class_name", "det_key", F.expr("sqrt(pow((x1 + x2) / 2e0 - width / 2e0, 2) + pow((y1 + y2) / 2e0 - height / 2e0, 2))").alias("far"))
@@ -101,7 +101,7 @@ def c11_negative_tiles(images: DataFrame, a: DataFrame) -> DataFrame:
 
 @book.query("images", None)
 def c01_near_groups(images: DataFrame) -> DataFrame:
-    p = images.where("latitude IS NOT NULL AND image_id % 7 = 0").select(F.col("image_id").alias("id"), F.col("latitude").alias("y"), F.col("longitude").alias("x"))
+    p = images.where("latitude IS NOT NULL").select(F.col("image_id").alias("id"), F.col("latitude").alias("y"), F.col("longitude").alias("x"))
     return partition.near_groups(p, 0.0005)
 
 
