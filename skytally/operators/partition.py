@@ -16,13 +16,15 @@ def grid_group(lat: Column, lon: Column, cell: float) -> tuple[Column, Column]:
 
 
 def near_groups(points: DataFrame, eps: float) -> DataFrame:
-    """id and group_id: connected groups of points (id, y, x) at most eps apart. Points meet in the cells of a grid, each with the cells around it."""
+    """id and group_id: connected groups of points (id, y, x) at most eps apart. Points meet in the cells of a grid, each with the cells around it; points of one place count as one there."""
+    places = points.where("y IS NOT NULL AND x IS NOT NULL AND NOT isnan(y) AND NOT isnan(x)").groupBy("y", "x").agg(F.min("id").alias("id"))
     at = lambda c: F.floor(F.col(c) / eps).cast("long")
-    p = points.withColumns({"gy": at("y"), "gx": at("x")})
+    p = places.withColumns({"gy": at("y"), "gx": at("x")})
     near = p.select(F.col("id").alias("b"), F.col("y").alias("by"), F.col("x").alias("bx"), F.explode(F.sequence(F.col("gy") - 1, F.col("gy") + 1)).alias("gy"), "gx")
     near = near.withColumn("gx", F.explode(F.sequence(F.col("gx") - 1, F.col("gx") + 1)))
     links = p.join(near, ["gy", "gx"]).where("id < b").where(F.pow(F.col("y") - F.col("by"), 2.0) + F.pow(F.col("x") - F.col("bx"), 2.0) <= eps * eps)
-    return overlap.groups(points, links.select(F.col("id").alias("a"), "b"))
+    found = overlap.groups(places, links.select(F.col("id").alias("a"), "b")).join(places, "id").select("y", "x", "group_id")
+    return points.join(found, ["y", "x"], "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
 def camps(images: DataFrame) -> DataFrame:
