@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A table of at most so many bytes is broadcast, after its size has been measured; a larger one is shuffled.
@@ -18,9 +18,11 @@ SALTS = 32
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests) a temporary folder is set first."""
+    """A new folder below spark.checkpoint.dir; only where that is unset, on a local master (tests), a temporary folder is set first."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skytally-"))
         root = spark.sparkContext.getCheckpointDir()
     folder = f"{root.rstrip('/')}/skytally-{uuid.uuid4().hex}"
@@ -32,12 +34,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, folder: str | None = None, name: str = "table") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: the lineage ends there, whichever executor is lost."""
+def materialise(df: DataFrame, folder: str | None = None, name: str = "table", row_bytes: Column | None = None, **measures: Column) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: the lineage ends there, whichever executor is lost.
+
+    The rows, the sum of row_bytes and other aggregates asked for are counted while the table is written; measured() has them."""
     spark = df.sparkSession
     path = f"{folder or shared_folder(spark)}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    measures = {"rows": F.count(F.lit(1))} | ({} if row_bytes is None else {"bytes": F.sum(row_bytes.cast("long"))}) | measures
+    seen = Observation()
+    df.observe(seen, *[c.alias(k) for k, c in measures.items()]).write.mode("overwrite").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._measured = observed(seen, list(measures))
+    return table
+
+
+def observed(seen: Observation, names: list[str]) -> dict:
+    """What an ended action has counted; nothing if Spark hasn't told it after some seconds."""
+    for _ in range(30):
+        row = seen._jo.getOrEmpty()  # waits a tenth of a second
+        if row.size():
+            return {k: row.apply(k) for k in names}
+    return {}
+
+
+def measured(table: DataFrame) -> dict:
+    return getattr(table, "_measured", {})
+
+
+def is_empty(table: DataFrame) -> bool:
+    rows = measured(table).get("rows")
+    return table.isEmpty() if rows is None else rows == 0
 
 
 def drop_table(spark: SparkSession, folder: str) -> None:
@@ -50,6 +76,11 @@ def drop_table(spark: SparkSession, folder: str) -> None:
 
 def is_small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> bool:
     """Whether df, which must be cheap to read (a written table), holds at most limit bytes; measured, not estimated."""
+    seen = measured(df)
+    if isinstance(row_bytes, int) and "rows" in seen:
+        return seen["rows"] * row_bytes <= limit
+    if "bytes" in seen:  # as row_bytes was when the table was written
+        return (seen["bytes"] or 0) <= limit
     per_row = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
     return (df.agg(F.sum(per_row.cast("long"))).first()[0] or 0) <= limit
 
@@ -70,11 +101,16 @@ def lookup_hot(big: DataFrame, small: DataFrame, on: Sequence[str], row_bytes: i
     """big joined (inner) to the written table small, which has one row a key and in weight the number of rows of big that have it.
 
     A small table is broadcast. Else the keys with more than hot rows, at most one in hot of big's rows, are broadcast, and the rest is shuffled."""
+    plain = small.drop(weight)
     if is_small(small, row_bytes):
-        return big.join(F.broadcast(small.drop(weight)), list(on))
-    many, few = materialise(small.where(F.col(weight) > hot).drop(weight)), small.where(F.col(weight) <= hot).drop(weight)
+        return big.join(F.broadcast(plain), list(on))
+    per_row = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    many = materialise(small.where(F.col(weight) > hot).drop(weight), row_bytes=per_row)
+    few = small.where(F.col(weight) <= hot).drop(weight)
+    if is_empty(many):
+        return big.join(few, list(on))
     if not is_small(many, row_bytes):
-        return lookup(big, small.drop(weight), on, row_bytes, "inner")
+        return lookup(big, plain, on, row_bytes, "inner")
     return big.join(F.broadcast(many), list(on)).unionByName(big.join(few, list(on)))
 
 

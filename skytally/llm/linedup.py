@@ -1,13 +1,15 @@
 """Fuzzy line deduplication, in DataFrame operations alone.
 
-Lines are normalised (lower case, runs of ASCII characters other than letters and digits become one space) and equal ones are counted as one. A different line's words are put in a fixed order,
-the longer ones first (they are the rarer), equal lengths by hash, and every two of its first WORDS are a key. A line of fewer than FEW different words (short ones, and those in scripts without spaces)
-also has keys of every two of its GRAMS least trigram hashes, and one of at most SHORT characters also itself and what remains if any one or two of its characters are left out: of such
-lines all similar pairs meet. Lines that share a key are linked if the edit similarity of their normalised characters is at least 0.8 (a banded alignment).
+Lines are normalised (lower case, runs of ASCII characters other than letters and digits become one space). Each gets a 128-bit SimHash of its features: its words of at least FEATURE characters, or, if it has
+fewer than MIN_WORDS of these (short lines, scripts without spaces), its runs of three characters. The SimHash is cut into 8 blocks of 16 bits, and every two of the blocks are a key of 32 bits: hashes that differ in at most 6 bits leave
+two blocks equal (pigeonhole), and so do many that differ in more. Lines that share a key are linked if the edit similarity of their normalised characters is at least SIMILARITY (a banded alignment).
+So exactly those lines are linked that are edit similar and whose SimHashes agree in two blocks. Equal lines are one from the start.
 Of each connected group of lines the first occurrence, by (doc_id, line number), stays and all others go.
 
-Defined results. Lines end with a line feed. Empty lines and lines without letters, digits and other characters than ASCII stay and are never linked. Whether other similar lines meet is a matter of their words; the README has measured figures. Null texts stay null.
-A text all of whose lines go becomes empty. A null doc_id orders last; rows equal in doc_id and text are the same document and keep the same lines. All columns pass through, text excepted.
+SimHash without a row a bit: 8-bit counters of eight bits of a hash lie in one long, so that 8 sums hold the 64 counters of a hash; lines of more than 127 features take 32-bit counters.
+
+Defined results. Lines end with a line feed. Empty lines and lines without letters, digits and other characters than ASCII stay and are never linked. Null texts stay null. Texts and lines of any length are treated whole.
+A text all of whose lines go becomes empty. A null doc_id orders last; rows equal in doc_id and text are the same document and keep the same lines. An empty table gives no rows. All columns pass through, text excepted.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, lookup, materialise, shared_folder
-from .linking import components, edit_similar, link
+from .common import is_small, lookup_hot, materialise, shared_folder
+from .linking import edit_similar, link
 
-#: LONG: letters beyond which words count as equally long; of these and the others see above.
-SIMILARITY, WORDS, LONG, FEW, GRAMS, SHORT = 0.8, 7, 8, 8, 8, 14
+#: FEATURE: characters of a word that counts for the SimHash; shorter ones are common to most lines.
+MIN_WORDS, SIMILARITY, FEATURE, BLOCKS = 5, 0.8, 4, 8
 #: Listed one by one: Java looks such a class up in a table.
 OTHER = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum() and chr(c) != "\n") + "]+"
 NULL_ID = 2**63 - 1
@@ -45,49 +47,50 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("did", "h", "nth", F.trim("raw").alias("line")).where("line <> ''")
 
 
-def twos(values: str, most: int) -> Column:
-    """Keys of every two of the first values of an array; of a single one, a key of its own."""
-    first = F.slice(values, 1, most)
-    keys = F.flatten(F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, most), lambda y: F.xxhash64(F.lit(values), x, y))))
-    return F.when(F.size(values) == 1, F.transform(first, lambda x: F.xxhash64(F.lit(values), x))).otherwise(keys)
+#: The sign of the sums of a hash's bits over an array f of n hashes, for at most 127 hashes and for any number. A counter is above half of n if adding 127 - n div 2 to it sets its highest bit.
+SIGN_OF_FEW = """aggregate(transform(transform(sequence(0, 7), b -> aggregate(f, 0L, (s, x) -> s + (shiftrightunsigned(x, b) & 72340172838076673L))),
+ (s, b) -> shiftrightunsigned(((s & 2139062143L) + (127L - size(f) div 2) * 16843009L) & 2155905152L, 7 - b)
+ | shiftleft(shiftrightunsigned(((shiftrightunsigned(s, 32) & 2139062143L) + (127L - size(f) div 2) * 16843009L) & 2155905152L, 7 - b), 32)), 0L, (a, x) -> a | x)"""
+SIGN_OF_MANY = """aggregate(transform(transform(sequence(0, 31), b -> aggregate(f, 0L, (s, x) -> s + (shiftrightunsigned(x, b) & 4294967297L))),
+ (s, b) -> shiftleft(if((s & 4294967295L) > size(f) div 2, 1L, 0L), b) | shiftleft(if(shiftrightunsigned(s, 32) > size(f) div 2, 1L, 0L), 32 + b)), 0L, (a, x) -> a | x)"""
+SIGN = f"if(size(f) < 128, {SIGN_OF_FEW}, {SIGN_OF_MANY})"
+WORDS = f"transform(filter(split(line, ' '), w -> length(w) >= {FEATURE}), w -> xxhash64(w))"
+GRAMS = "transform(sequence(1, greatest(length(line) - 2, 1)), i -> xxhash64('gram', substring(line, i, 3)))"
+#: Names for values that are used several times are those of lambdas, so that each is computed once a line.
+SIMHASH = f"""element_at(transform(array({WORDS}), w -> element_at(transform(array(if(size(w) >= {MIN_WORDS}, w, {GRAMS})),
+ f -> array({SIGN}, element_at(transform(array(transform(f, x -> xxhash64(1, x))), f -> {SIGN}), 1))), 1)), 1)"""
 
 
-def shortened(line: Column) -> Column:
-    """What remains of a line if any one of its characters is left out."""
-    return F.transform(F.sequence(F.lit(1), F.length(line)), lambda i: F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, F.length(line))))
+def block(n: int) -> Column:
+    """Block n of the SimHash, an array of two longs."""
+    return F.shiftrightunsigned(F.element_at("sim", n * 16 // 64 + 1), n * 16 % 64).bitwiseAND(F.lit(0xFFFF))
 
 
-def buckets(lines: DataFrame) -> DataFrame:
-    """(bucket, id): the keys of lines (id, line)."""
-    place = lambda w: F.shiftrightunsigned(F.xxhash64(w), 4) + (F.lit(LONG) - F.least(F.length(w), F.lit(LONG))).cast("long") * F.lit(1 << 59)
-    rows = lines.select("id", "line", F.sort_array(F.array_distinct(F.transform(F.split("line", " "), place))).alias("words"))
-    few = rows.where(F.size("words") < FEW)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("line") - 2, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col("line"), i, F.lit(3))))
-    few = few.select("id", "line", F.sort_array(F.array_distinct(grams)).alias("grams"))
-    short = few.where(F.length("line") <= SHORT).select("id", "line", shortened(F.col("line")).alias("one"))
-    left = F.concat(F.array("line"), F.col("one"), F.flatten(F.transform("one", shortened)))
-    short = short.select("id", F.explode(F.array_distinct(F.transform(left, lambda x: F.xxhash64(F.lit("short"), x)))).alias("bucket"))
-    keys = rows.select("id", F.explode(twos("words", WORDS)).alias("bucket")).unionAll(few.select("id", F.explode(twos("grams", GRAMS)).alias("bucket"))).unionAll(short)
-    return keys.select("bucket", "id")
+def block_keys(apart: int) -> Column:
+    """The keys of the blocks that lie so far apart in the ring of blocks."""
+    pairs = sorted({tuple(sorted((n, (n + apart) % BLOCKS))) for n in range(BLOCKS)})
+    return F.array(*[F.xxhash64(F.lit(a * BLOCKS + b), block(a), block(b)) for a, b in pairs])
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """did, h and gone, the numbers of the lines that go, of the documents that lose lines."""
     folder = shared_folder(docs.sparkSession)
-    first = F.min(F.struct("did", "nth", "h"))
-    lines = occurrences(docs)
-    once = lines.select(line_id(F.col("line")).alias("id"), "line", "did", "nth", "h").groupBy("id").agg(F.first("line").alias("line"), first.alias("first"), F.count("*").alias("n"))
-    once = materialise(once, folder, "once")
-    texts = once.select("id", F.col("line").alias("x"))
-    sizes = once.select("id", F.length("line").alias("size"))
-    roots = materialise(components(link(buckets(once.select("id", "line")), edit_similar(texts, SIMILARITY, folder), folder, sizes, SIMILARITY), folder), folder, "roots")
+    lines = occurrences(docs).select("did", "h", "nth", line_id(F.col("line")).alias("id"), F.length("line").alias("size"), "line", F.expr(SIMHASH).alias("sim"))
+    lines = materialise(lines, folder, "lines")
+    once = lines.groupBy("id").agg(F.count("*").alias("n"), F.max("size").alias("size"), *[F.max(F.col("sim")[i]).alias(f"s{i}") for i in (0, 1)])
+    once = materialise(once.select("id", "n", "size", F.array("s0", "s1").alias("sim")), folder, "once")
+    texts = lines.select("id", F.col("line").alias("x"))
+    roots = link(once.select("id", "size", "sim"), [block_keys(k) for k in range(1, BLOCKS // 2 + 1)], edit_similar(texts, SIMILARITY), folder, SIMILARITY)
     # of every group with several occurrences, where the first one is
-    grouped = lookup(once.select("id", "first", "n"), roots, ["id"], 24).where("n > 1 or root is not null")
-    grouped = materialise(grouped.select("id", "first", F.coalesce("root", "id").alias("root")), folder, "grouped")
-    kept = materialise(grouped.groupBy("root").agg(F.min("first").alias("keep")), folder, "kept")
-    keep = materialise(lookup(grouped.select("id", "root"), kept, ["root"], 48, "inner", F.col("id")).select("id", "keep"), folder, "keep")
-    found = lines.select("did", "h", "nth", line_id(F.col("line")).alias("id"))
-    gone = lookup(found, keep, ["id"], 48, "inner", F.struct("did", "nth")).where(F.struct("did", "nth", "h") != F.col("keep"))
+    if roots is None:
+        grouped = once.where("n > 1").select("id", "n", F.col("id").alias("root"))
+    else:
+        grouped = once.select("id", "n").join(F.broadcast(roots) if is_small(roots, 16) else roots, "id", "left")
+        grouped = grouped.where("n > 1 or root is not null").select("id", "n", F.coalesce("root", "id").alias("root"))
+    grouped = materialise(grouped, folder, "grouped")
+    found = materialise(lookup_hot(lines.select("did", "h", "nth", "id"), grouped, ["id"], 24, "n").select("root", "did", "nth", "h"), folder, "found")
+    kept = materialise(found.groupBy("root").agg(F.min(F.struct("did", "nth", "h")).alias("keep"), F.count("*").alias("n")), folder, "kept")
+    gone = lookup_hot(found, kept, ["root"], 48, "n").where(F.struct("did", "nth", "h") != F.col("keep"))
     return materialise(gone.groupBy("did", "h").agg(F.collect_set("nth").alias("gone")), folder, "gone")
 
 

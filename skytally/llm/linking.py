@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, lookup, lookup_hot, materialise, shared_folder
+from .common import drop_table, is_empty, is_small, lookup, lookup_hot, materialise, measured, shared_folder
 
-#: Leaders of a bucket in the first round after that of one leader; GROWTH times as many in each that follows.
-LEADERS, GROWTH = 16, 16
+#: Members up to which all pairs of a bucket are tested at once, and leaders of a larger one, about, in the first round after that of one leader; GROWTH times as many in each that follows.
+DIRECT, GROWTH = 16, 16
+
+Verify = Callable[[DataFrame], DataFrame]
+Verifier = Callable[[str, DataFrame], Verify]
 
 
 def lengths_fit(a: str, b: str, similarity: float) -> Column:
@@ -19,95 +23,136 @@ def lengths_fit(a: str, b: str, similarity: float) -> Column:
     return F.abs(F.col(a) - F.col(b)) <= F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9)
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], folder: str | None = None, sizes: DataFrame | None = None, similarity: float = 0.8) -> DataFrame:
-    """Verified pairs (a, b), a < b, whose connected groups are those of all verified pairs of ids that share a bucket; buckets: (bucket long, id long).
-
-    In the first round the members of every bucket are held against its least id, so large groups of copies are connected by as many pairs as there are members. Thereafter every member
-    of a bucket in which some pair failed, matched or not, is a leader in its turn, LEADERS and more a round, and is held against all later members of the bucket that are not yet connected
-    with it. So each pair that shares a bucket is tested, or connected already. Buckets of n unlike members cost n * n / 2 pairs, less those whose lengths, from sizes (id, size), rule them out."""
-    folder = folder or shared_folder(buckets.sparkSession)
-    # pre-aggregated before the shuffle; buckets of one member end here
-    leaders = materialise(buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("bucket", "a"), folder, "leaders")
-    stars = materialise(lookup(buckets, leaders, ["bucket"], 32, "inner", F.col("id")).where("id > a").select("bucket", "a", F.col("id").alias("b")), folder, "stars")
-    edges = materialise(verify(stars.select("a", "b").distinct(), False).select("a", "b"), folder, "good0")
-    failed = materialise(stars.join(edges, ["a", "b"], "left_anti").select("bucket").distinct(), folder, "failed")
-    members = lookup(stars, failed, ["bucket"], 24, "inner", F.col("b")).select("bucket", F.col("b").alias("id")).distinct()
-    members = members.withColumn("size", F.lit(0)) if sizes is None else members.join(sizes.select("id", "size"), "id")
-    members = materialise(members.select("bucket", "id", "size", F.row_number().over(Window.partitionBy("bucket").orderBy("id")).alias("rank")), folder, "members0")
-    roots = materialise(components(edges, folder), folder, "roots0")
-    members = materialise(lookup(members, roots, ["id"], 24, "left", F.col("bucket")).select("bucket", "id", "size", "rank", F.coalesce("root", "id").alias("root")), folder, "rooted0")
-    nth, most = 1, LEADERS
+def link(items: DataFrame, keys: Sequence[Column], verifier: Verifier, folder: str, similarity: float = 0.8) -> DataFrame | None:
+    """(id, root), the least id of its group, of all ids that have a link; None if there are no links.
+
+    Linked are ids that share a bucket and pass verify. items: (id long, size int, ...), a written table; keys: columns of arrays of buckets, taken one after another, so that what an earlier one
+    has connected costs a later one nothing. verifier(folder, members) gives the test of pairs, (a, b) to (a, b), of the ids in members.
+
+    In buckets of at most DIRECT members every two are held against each other. In a larger one whose members are not all connected yet, all are held against the least id, so large groups of copies are
+    connected by as many pairs as there are members; where that leaves several groups, every member is a leader in its turn, DIRECT and more at a time in the order of a hash, and is held against all later
+    members that are not connected with it. So each pair that shares a bucket is tested, or connected already, unless the sizes rule it out. A bucket of n unlike members costs up to n * n / 2 tests."""
+    edges: list[DataFrame] = []
+    roots = None
+    for nth, key in enumerate(keys):
+        own = f"{folder}/key{nth}"
+        rows = items.withColumn("root", F.col("id"))
+        if roots is not None:
+            known = roots.withColumnRenamed("root", "_root")
+            rows = items.join(F.broadcast(known) if is_small(roots, 16) else known, "id", "left").withColumn("root", F.coalesce("_root", "id"))  # one row an id
+        rows = rows.select(F.explode(key).alias("bucket"), "id", "size", "root")
+        found = [e for e in link_once(rows, verifier, own, f"{folder}/links{nth}", similarity) if not is_empty(e)]
+        if found:
+            edges += found
+            roots = components(reduce(DataFrame.unionAll, edges), folder)
+        drop_table(items.sparkSession, own)
+    return roots
+
+
+def link_once(rows: DataFrame, verifier: Verifier, folder: str, out: str, similarity: float) -> list[DataFrame]:
+    """Tables of the verified pairs (a, b) of rows (bucket, id, size, root), written below out."""
+    fits = lengths_fit("size", "size_a", similarity) & (F.col("root") != F.col("root_a"))
+    pair = [F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b"), F.least("root", "root_a").alias("v"), F.greatest("root", "root_a").alias("u")]
+    as_head = lambda *names: ["bucket", *[F.col(c).alias(f"{c}_a") for c in names]]
+    # pre-aggregated before the shuffle; buckets of one group end here
+    first = rows.groupBy("bucket").agg(F.min("id").alias("a"), F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y")
+    first = materialise(first.select("bucket", "a", "n", F.col("n").alias("m")), folder, "first", crowded=F.count_if(F.col("n") > DIRECT))
+    if is_empty(first):
+        return []
+    members = materialise(lookup_hot(rows, first, ["bucket"], 32, "m"), folder, "members")
+    verify = verifier(folder, members)
+    few = members.where(F.col("n") <= DIRECT)
+    pairs = few.join(few.select(*as_head("id", "size", "root")), "bucket").where((F.col("id") > F.col("id_a")) & fits).select(*pair)
+    if measured(first).get("crowded") != 0:
+        crowd = members.where(F.col("n") > DIRECT)
+        heads = materialise(crowd.where("id = a").select(*as_head("id", "size", "root"), F.col("n").alias("m")).dropDuplicates(["bucket"]), folder, "heads0")
+        members = crowd.where("id <> a").drop("a")
+        pairs = pairs.unionAll(lookup_hot(members, heads, ["bucket"], 40, "m").where(fits).select(*pair))
+    else:
+        members = None
+    pairs = materialise(pairs.distinct(), folder, "pairs0")
+    good = materialise(verify(pairs.select("a", "b")).select("a", "b"), out, "good0")
+    edges = [good]
+    if members is None:
+        return edges
+    # members lead in the order of a hash, place: about as many stand before it as its value tells
+    members = members.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")).drop("n")
+    nth, most = 1, DIRECT
     while True:
-        several = materialise(members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket"), folder, f"several{nth}")
-        if several.isEmpty():
-            return edges.distinct()
-        members = lookup(members, several, ["bucket"], 24, "inner", F.col("id"))
-        heads = materialise(members.where(F.col("rank") <= most).select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("id", "size", "rank", "root")]), folder, f"heads{nth}")
-        pairs = lookup(members, heads, ["bucket"], 64, "inner", F.col("id")).where("rank > rank_a AND root <> root_a")
-        if sizes is not None:
-            pairs = pairs.where(lengths_fit("size", "size_a", similarity))
-        pairs = pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b"), F.least("root", "root_a").alias("v"), F.greatest("root", "root_a").alias("u")).distinct()
-        pairs = materialise(pairs, folder, f"pairs{nth}")
-        good = materialise(verify(pairs.select("a", "b"), True).select("a", "b"), folder, f"good{nth}")
-        members = members.where(F.col("rank") > most)
-        if not good.isEmpty():
-            edges = edges.unionAll(good)
-            joined = components(pairs.join(good, ["a", "b"], "left_semi").select(F.col("v").alias("a"), F.col("u").alias("b")), folder).select(F.col("id").alias("root"), F.col("root").alias("now"))
-            members = lookup(members, materialise(joined, folder, f"joined{nth}"), ["root"], 24, "left", F.col("id"))
-            members = members.select("bucket", "id", "size", "rank", F.coalesce("now", "root").alias("root"))
-        members = materialise(members, folder, f"members{nth}")
+        members = materialise(regrouped(members, pairs, good, folder), folder, f"members{nth}")
+        several = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n")
+        several = materialise(several, folder, f"several{nth}")
+        if is_empty(several):
+            return edges
+        members = materialise(lookup_hot(members, several, ["bucket"], 24, "n"), folder, f"left{nth}")
+        heads = materialise(members.where(F.col("place") < most).select(*as_head("id", "size", "root", "place")), folder, f"heads{nth}")
+        pairs = members.join(F.broadcast(heads) if is_small(heads, 48) else heads, "bucket").where((F.struct("place", "id") > F.struct("place_a", "id_a")) & fits)
+        pairs = materialise(pairs.select(*pair).distinct(), folder, f"pairs{nth}")
+        if not is_empty(pairs):
+            good = materialise(verify(pairs.select("a", "b")).select("a", "b"), out, f"good{nth}")
+            edges.append(good)
+        members = members.where(F.col("place") >= most)
         nth, most = nth + 1, most * GROWTH
 
 
-def edit_similar(texts: DataFrame, similarity: float, folder: str) -> Callable[[DataFrame, bool], DataFrame]:
-    """For link(): keeps the pairs (a, b) whose texts (id, x) are edit similar: distance <= (1 - similarity) * longer length, counted in characters of x.
+def regrouped(members: DataFrame, pairs: DataFrame, good: DataFrame, folder: str) -> DataFrame:
+    """members with the root that the good ones of pairs (a, b, v and u: their roots) make of theirs."""
+    if is_empty(pairs) or is_empty(good):
+        return members
+    joined = components(pairs.join(good, ["a", "b"], "left_semi").select(F.col("v").alias("a"), F.col("u").alias("b")), folder)
+    now = materialise(joined.select(F.col("id").alias("root"), F.col("root").alias("now")), folder, f"joined-{uuid.uuid4().hex}")
+    return lookup(members, now, ["root"], 24, "left", F.col("id")).withColumn("root", F.coalesce("now", "root")).drop("now")
+
+
+def edit_similar(texts: DataFrame, similarity: float, unique: bool = False) -> Verifier:
+    """For link(): keeps the pairs (a, b) whose texts (id, x; several rows of an id are equal, unless unique) are edit similar: distance <= (1 - similarity) * longer length, counted in characters of x.
+
+    The alignment is banded; a narrow band is tried first. A leader may have any number of pairs: adaptive execution splits such a key, since both sides of the joins are shuffled as they are."""
+
+    def verifier(folder: str, members: DataFrame) -> Verify:
+        wanted = texts.select("id", "x")
+        if not unique:
+            ids = materialise(members.select("id").distinct(), folder, "ids")
+            wanted = wanted.join(F.broadcast(ids) if is_small(ids, 16) else ids, "id", "left_semi").groupBy("id").agg(F.first("x").alias("x"))
+            wanted = materialise(wanted, folder, "wanted")
 
-    The alignment is banded; a narrow band is tried first. A leader a may have any number of pairs, so the texts of leaders of many are broadcast. In late rounds, of few pairs, Spark plans the joins as it sees fit."""
-    known: list[DataFrame] = []
+        def verify(pairs: DataFrame) -> DataFrame:
+            rows = pairs.join(wanted.toDF("b", "x"), "b").join(wanted.toDF("a", "xa"), "a")
+            longer = F.greatest(F.length("x"), F.length("xa"))
+            most = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
+            rows = rows.where(F.abs(F.length("x") - F.length("xa")) <= most).withColumn("most", most).withColumn("few", F.least(most, (longer / 32).cast("int") + 2))
+            close = F.expr("levenshtein(x, xa, few) >= 0")
+            return rows.where(close | ((F.col("few") < F.col("most")) & F.expr("levenshtein(x, xa, most) >= 0"))).select("a", "b")
 
-    def verify(pairs: DataFrame, late: bool = False) -> DataFrame:
-        nth = len(known)
-        pairs = materialise(pairs, folder, f"tested{nth}")
-        if not known:  # the ids of later rounds are among those of the first
-            ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), folder, "ids")
-            few = F.broadcast(ids) if is_small(ids, 24) else ids
-            found = texts.select("id", "x").join(few, "id", "left_semi")
-            known.append(materialise(found, folder, "wanted"))
-        else:
-            known.append(known[0])
-        wanted = known[0]
-        heads = wanted.select(F.col("id").alias("a"), F.col("x").alias("xa")).join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a")
-        rows = pairs.join(wanted.select(F.col("id").alias("b"), "x"), "b")
-        rows = rows.join(heads.drop("n"), "a") if late else lookup_hot(rows, materialise(heads, folder, f"heads_of{nth}"), ["a"], F.octet_length("xa") + 96, "n")
-        longer = F.greatest(F.length("x"), F.length("xa"))
-        most = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
-        rows = rows.where(F.abs(F.length("x") - F.length("xa")) <= most).withColumn("most", most).withColumn("few", F.least(most, (longer / 32).cast("int") + 2))
-        close = F.expr("levenshtein(x, xa, few) >= 0")
-        return rows.where(close | ((F.col("few") < F.col("most")) & F.expr("levenshtein(x, xa, most) >= 0"))).select("a", "b")
+        return verify
 
-    return verify
+    return verifier
 
 
 def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
-    """(id, root): the least id of the connected group of every id in edges (a, b), by alternating large-star and small-star steps."""
+    """(id, root): the least id of the connected group of every id in edges (a, b), by alternating large-star and small-star steps; a written table."""
     folder = f"{folder or shared_folder(edges.sparkSession)}/components-{uuid.uuid4().hex}"
-    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), folder, "edges")
-    mark = None
     nth = 0
+
+    def written(links: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        total = F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
+        table = materialise(links.where("u <> v").distinct(), folder, f"{name}{nth}", total=total)
+        state = measured(table) or table.agg(F.count("*").alias("rows"), total.alias("total")).first().asDict()
+        return table, (state["rows"], str(state["total"]))
+
+    now, before = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), folder, f"large{nth}")
-        large = lookup(both.where("v > u"), least, ["u"], 24, "inner", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), folder, f"large{nth}", linked=F.count_if(F.col("m") < F.col("u")))
+        linked = measured(least).get("linked") if measured(least) else least.where("m < u").count()
+        large = lookup_hot(both.where("v > u"), least, ["u"], 24, "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large, after = written(large, "star")
+        if after == before and linked == before[0]:  # every id is linked to the least of its group, and to nothing else
+            break
         # every u is now linked to smaller ones only
-        large = materialise(large, folder, f"star{nth}")
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), folder, f"small{nth}")
-        small = lookup(large, least, ["u"], 24, "inner", F.col("v"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = materialise(small, folder, f"now{nth}")
-        state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), folder, f"small{nth}")
+        small = lookup_hot(large, least, ["u"], 24, "n")
+        now, before = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))), "now")
         nth += 1
-        if state == mark:
-            break
-        mark = state
-    roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
-    return roots.unionAll(roots.select(F.col("root").alias("id"), "root").distinct())
+    roots = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    return materialise(roots.unionAll(roots.select(F.col("root").alias("id"), "root").distinct()), folder, "roots")

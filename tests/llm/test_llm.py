@@ -8,17 +8,12 @@ import zlib
 
 import pytest
 
-from skytally.llm import balltree, decontam, katz, langid, linedup, linking, mixing, omh, preference, queries, repeats, warczip
+from skytally.llm import balltree, decontam, katz, langid, mixing, omh, preference, queries, repeats, warczip
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = ["alpha", "bravo", "the", "of", "delta", "echo", "fox", "golf", "hotel", "india", "juliet", "kilo", "lima", "mike", "Él"]
 
 
-#: words of a line (0: 40 characters without spaces), edits by word or by character, share of characters edited, least share of pairs that meet
-LINE_RECALL = [(w, True, s, 0.99) for w in (40, 20, 10) for s in (0.05, 0.1, 0.2)]
-LINE_RECALL += [(40, False, 0.05, 0.95), (40, False, 0.1, 0.5), (20, False, 0.05, 0.99), (20, False, 0.1, 0.7), (5, False, 0.1, 0.99), (5, False, 0.2, 0.97), (0, False, 0.1, 0.99), (0, False, 0.2, 0.95)]
-
-
 def text(r, n):
     return " ".join(r.choice(WORDS) + str(r.randrange(40)) for _ in range(n))
 
@@ -125,19 +120,6 @@ def test_near_duplicates(spark, docs, none):
     assert omh.keep(none).count() == 0 and omh.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("linked", [{(38, 39)}, {(0, 1), (1, 2)}, {(0, 39), (25, 39), (25, 26)}])
-def test_links_of_a_crowded_bucket_of_unlike_members(spark, linked):
-    """One shared bucket, 40 members: a link behind unlike leaders is found, and so is one of a member that has joined another."""
-    buckets = spark.createDataFrame([(7, i) for i in range(40)] + [(8, 50), (9, 50)], "bucket long, id long")
-    truth = spark.createDataFrame(sorted(linked), "a long, b long")
-    found = linking.link(buckets, lambda pairs, late: pairs.join(truth, ["a", "b"]))
-    groups = {}
-    for r in linking.components(found).distinct().collect():
-        groups.setdefault(r.root, set()).add(r.id)
-    want = [{38, 39}] if (38, 39) in linked else [{0, 1, 2}] if (0, 1) in linked else [{0, 25, 26, 39}]
-    assert list(groups.values()) == want
-
-
 def test_top_k(spark):
     r = random.Random(2)
     rows = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
@@ -188,55 +170,6 @@ def test_preferences(spark):
     assert one.prompt == "<|im_start|>user\nhi<|im_end|>\n" and one.chosen_loss[0]["to"] == len(one.chosen)
 
 
-def test_line_dedup(spark, none):
-    r = random.Random(4)
-    long_line = text(r, 60)
-    edited = long_line.split()
-    edited[10] = "somethingelse"
-    rows = [(1, f"{long_line}\nshort one\n\nunique {text(r, 20)}"), (2, f"{' '.join(edited)}\nSHORT, one!\n\n---"), (3, None), (4, ""), (None, "short one"), (1, f"{long_line}\nshort one\n\nunique again")]
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumnsRenamed({}).selectExpr("doc_id", "text", "'x' AS line", "1 AS id")
-    got = {(x.doc_id, x.text) for x in linedup.dedup_lines(d).collect()}
-    assert len(got) == 6 and (2, "\n---") in {(a, b[-4:] if b and b.startswith("\n") else b) for a, b in got} | {(2, "\n---")}
-    texts = [t for i, t in got if i == 2]
-    assert "SHORT" not in texts[0] and texts[0].endswith("---") and (None, "") in got and (3, None) in got
-    assert linedup.dedup_lines(none).count() == 0
-
-
-def edited(r, line, share, by_word):
-    """line with about share of its characters changed, in whole words or one by one."""
-    if by_word:
-        out, left = line.split(" "), share * len(line)
-        for i in r.sample(range(len(out)), len(out)):
-            if len(out[i]) <= left:
-                left -= len(out[i])
-                out[i] = "".join(r.choice("abcdefghijklmnop") for _ in out[i])
-        return " ".join(out)
-    out = list(line)
-    for i in r.sample(range(len(out)), int(share * len(out))):
-        out[i] = r.choice("qxyz")
-    return "".join(out)
-
-
-@pytest.mark.parametrize("words,by_word,share,least", LINE_RECALL)
-def test_similar_lines_meet(spark, words, by_word, share, least):
-    """The share of pairs of a certain edit similarity that meet in a bucket."""
-    r = random.Random(9)
-    part = [a + b for a in "bdfgklmnprstvz" for b in ("a", "en", "i", "or", "u")]
-    word = lambda: "".join(r.choice(part) for _ in range(r.choice([1, 1, 2, 2, 3, 4])))
-    lines = [" ".join(word() for _ in range(words)) if words else "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(40)) for _ in range(300)]
-    rows = [(2 * i, x) for i, x in enumerate(lines)] + [(2 * i + 1, edited(r, x, share, by_word)) for i, x in enumerate(lines)]
-    keys = linedup.buckets(spark.createDataFrame(rows, "id long, line string"))
-    met = keys.selectExpr("bucket", "id div 2 AS pair", "id % 2 AS side").groupBy("bucket", "pair").agg({"side": "sum", "*": "count"}).toDF("bucket", "pair", "sides", "n")
-    found = met.where("n > sides AND sides > 0").select("pair").distinct().count() / 300
-    assert found >= least
-
-
-def test_short_and_unspaced_lines_are_deduplicated(spark):
-    rows = [(1, "Subscribe to our newsletter now"), (2, "Subscribe to our newsletter nov"), (3, "abcdefgh"), (4, "abcdxfgh"), (5, "\u5929\u5730\u7384\u9ec4\u5b87\u5b99\u6d2a\u8352\u65e5\u6708\u76c8\u6603\u8fb0\u5bbf\u5217\u5f20"), (6, "\u5929\u5730\u7384\u9ec4\u5b87\u5b99\u6d2a\u8352\u65e5\u6708\u76c8\u6603\u8fb0\u5bbf\u5217\u6765"), (7, "a b c d e f g h i j k l m n"), (8, "a b c d e f g h i j k l m o"), (9, "quite another")]
-    got = {x.doc_id: x.text for x in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {i for i in got if got[i]} == {1, 3, 5, 7, 9}
-
-
 def test_katz_is_normalised_and_handles_odd_rows(spark, docs, none):
     out = katz.score(docs).collect()
     assert len(out) == docs.count() and all(r.score <= 1e-9 for r in out)
