@@ -108,33 +108,37 @@ def test_language_of_odd_texts(spark, docs):
     assert out[5].lang_pred == "en" and all(r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, r in out.items())
 
 
-def test_near_duplicates(spark, docs, none):
-    out = omh.near_duplicates(docs).collect()
-    assert len(out) == docs.count()
-    classes = {}
-    for r in out:
-        classes.setdefault(r.class_id, []).append(r.doc_id)
-    assert set(classes[0]) == {0, 100, 101} and sorted(classes[2]) == [2, 2, 2] and set(classes[3]) == {3, None} and set(classes[102]) == {102, 103} and classes[104] == [104]
-    kept = omh.keep(docs).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(classes)
-    assert omh.keep(none).count() == 0 and omh.near_duplicates(none).count() == 0
+def top_by_brute_force(rows, k=5):
+    """Whole numbers of any size, row by row."""
+    import math
 
+    usable = [(n, i, [math.floor(256 * v) for v in x]) for n, (i, x) in enumerate(rows) if i is not None and x is not None and all(v is not None and math.isfinite(256 * v) for v in x)]
+    want = []
+    for n, i, q in usable:
+        if i % 50 == 0:
+            scores = [(-max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(q, p)))), j) for m, j, p in usable if m != n and len(p) == len(q)]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(scores)[:k])]
+    return sorted(want)
 
-def test_top_k(spark):
-    r = random.Random(2)
-    rows = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
-    rows += [(300 + i, rows[7][1]) for i in range(40)] + [(900, None), (901, [float("nan")] * 8), (902, [None] + [0.1] * 7), (None, [0.1] * 8), (50, rows[50][1])]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted(map(tuple, balltree.top_k(v, v["vec_id"] % 50 == 0, shard_rows=60, block_rows=4).select("query_id", "rank", "vec_id", "score").collect()))
+
+@pytest.mark.parametrize("large", [False, True])
+def test_top_k(spark, large):
     import numpy as np
 
-    points = {i: np.floor(256 * np.array(x, np.float32).astype(float)) for i, x in rows if i is not None and x and None not in x and not np.isnan(x[0])}
-    want = []
-    for q in (i for i in points if i % 50 == 0):
-        best = sorted((-int(points[q] @ points[i]), i) for i in points if i != q)[:5]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    assert got == sorted(want)
-    assert balltree.top_k(v.limit(0), v["vec_id"] % 50 == 0).count() == 0
+    r = random.Random(2)
+    short = lambda x: [float(np.float32(v)) for v in x]
+    rows = [(i, short(r.uniform(-1, 1) for _ in range(8))) for i in range(300)]
+    rows += [(300 + i, rows[7][1]) for i in range(40)] + [(900, None), (901, [float("nan")] * 8), (902, [None] + [0.1] * 7), (None, short([0.1] * 8)), (903, [float("inf")] * 8)]
+    rows += [rows[50], (50, rows[51][1]), (100, []), (101, []), (150, short([0.5] * 4)), (151, short([0.25] * 4)), (7, rows[7][1])]
+    if large:  # beyond doubles' exact range, and beyond a long
+        rows += [(1000 + i, short([r.uniform(-1, 1) * 1e6, *[r.uniform(-1, 1)] * 7])) for i in range(20)] + [(1100, short([1e20] * 8)), (1101, short([-1e20] * 8)), (1102, short([3e38] * 8))]
+    v = spark.createDataFrame([(i, x, "x", 1) for i, x in rows], "vec_id long, embedding array<float>, q string, number int")
+    got = balltree.top_k(v, v["vec_id"] % 50 == 0, shard_rows=60, block_rows=4)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, got.collect())) == top_by_brute_force(rows)
+    if not large:
+        assert sorted(map(tuple, balltree.top_k(v, v["vec_id"] % 50 == 0).collect())) == top_by_brute_force(rows)
+        assert balltree.top_k(v.limit(0), v["vec_id"] % 50 == 0).count() == 0
 
 
 def test_decontamination(spark, docs, none):
