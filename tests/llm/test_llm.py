@@ -231,15 +231,6 @@ def test_anchors_do_not_depend_on_the_size_of_the_data(monkeypatch):
     assert [list(small[k]) for k in ("lo", "at")] == [list(large[k][large["text"] == 0]) for k in ("lo", "at")]
 
 
-def test_pipeline(spark, docs, tmp_path):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, docs.where("doc_id = 7").first().text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    out = pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r.doc_id for r in out}
-    assert not ids & {102, 103, 104, 7} and {1, 5, 105} & ids and all(r.taken > 0 for r in out)
-
-
 def test_one_way_digest_of_kept_text(spark):
     r = queries.op10_repeats(spark, "/root/testdata/sf0.001").first()
     assert len(r.kept_sha256) == len(hashlib.sha256().hexdigest())
