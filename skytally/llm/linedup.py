@@ -6,7 +6,8 @@ two blocks equal (pigeonhole), and so do many that differ in more. Lines that sh
 So exactly those lines are linked that are edit similar and whose SimHashes agree in two blocks. Equal lines are one from the start.
 Of each connected group of lines the first occurrence, by (doc_id, line number), stays and all others go.
 
-SimHash without a row a bit: 8-bit counters of eight bits of a hash lie in one long, so that 8 sums hold the 64 counters of a hash; lines of more than 127 features take 32-bit counters.
+SimHash without a row a bit: 8-bit counters of eight bits of a hash lie in one long, so that 16 sums a line hold the 128 counters. A counter may not
+exceed 127, so a line is summed in runs of RUN features; the counters of several runs are added up in 32 bits.
 
 Defined results. Lines end with a line feed. Empty lines and lines without letters, digits and other characters than ASCII stay and are never linked. Null texts stay null. Texts and lines of any length are treated whole.
 A text all of whose lines go becomes empty. A null doc_id orders last; rows equal in doc_id and text are the same document and keep the same lines. An empty table gives no rows. All columns pass through, text excepted.
@@ -14,6 +15,8 @@ A text all of whose lines go becomes empty. A null doc_id orders last; rows equa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ from .common import is_small, lookup_hot, materialise, shared_folder
 from .linking import edit_similar, link
 
 #: FEATURE: characters of a word that counts for the SimHash; shorter ones are common to most lines.
-MIN_WORDS, SIMILARITY, FEATURE, BLOCKS = 5, 0.8, 4, 8
+MIN_WORDS, SIMILARITY, FEATURE, BLOCKS, RUN = 5, 0.8, 4, 8, 127
 #: Listed one by one: Java looks such a class up in a table.
 OTHER = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum() and chr(c) != "\n") + "]+"
 NULL_ID = 2**63 - 1
@@ -47,18 +50,46 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("did", "h", "nth", F.trim("raw").alias("line")).where("line <> ''")
 
 
-#: The sign of the sums of a hash's bits over an array f of n hashes, for at most 127 hashes and for any number. A counter is above half of n if adding 127 - n div 2 to it sets its highest bit.
-SIGN_OF_FEW = """aggregate(transform(transform(sequence(0, 7), b -> aggregate(f, 0L, (s, x) -> s + (shiftrightunsigned(x, b) & 72340172838076673L))),
- (s, b) -> shiftrightunsigned(((s & 2139062143L) + (127L - size(f) div 2) * 16843009L) & 2155905152L, 7 - b)
- | shiftleft(shiftrightunsigned(((shiftrightunsigned(s, 32) & 2139062143L) + (127L - size(f) div 2) * 16843009L) & 2155905152L, 7 - b), 32)), 0L, (a, x) -> a | x)"""
-SIGN_OF_MANY = """aggregate(transform(transform(sequence(0, 31), b -> aggregate(f, 0L, (s, x) -> s + (shiftrightunsigned(x, b) & 4294967297L))),
- (s, b) -> shiftleft(if((s & 4294967295L) > size(f) div 2, 1L, 0L), b) | shiftleft(if(shiftrightunsigned(s, 32) > size(f) div 2, 1L, 0L), 32 + b)), 0L, (a, x) -> a | x)"""
-SIGN = f"if(size(f) < 128, {SIGN_OF_FEW}, {SIGN_OF_MANY})"
-WORDS = f"transform(filter(split(line, ' '), w -> length(w) >= {FEATURE}), w -> xxhash64(w))"
-GRAMS = "transform(sequence(1, greatest(length(line) - 2, 1)), i -> xxhash64('gram', substring(line, i, 3)))"
-#: Names for values that are used several times are those of lambdas, so that each is computed once a line.
-SIMHASH = f"""element_at(transform(array({WORDS}), w -> element_at(transform(array(if(size(w) >= {MIN_WORDS}, w, {GRAMS})),
- f -> array({SIGN}, element_at(transform(array(transform(f, x -> xxhash64(1, x))), f -> {SIGN}), 1))), 1)), 1)"""
+LONG_WORDS = f"filter(split(line, ' '), w -> length(w) >= {FEATURE})"
+GRAMS = "transform(sequence(1, greatest(length(line) - 2, 1)), i -> substring(line, i, 3))"
+#: The name of a lambda stands for a value that is used twice and computed once.
+FEATURES = f"element_at(transform(array({LONG_WORDS}), w -> if(size(w) >= {MIN_WORDS}, w, {GRAMS})), 1)"
+
+
+def joined_bits(parts: list[Column]) -> Column:
+    return reduce(lambda x, y: x.bitwiseOR(y), parts)
+
+
+def simhashes(lines: DataFrame) -> DataFrame:
+    """(id, size, s0, s1) of each row of lines (row, id, size, line); s0 and s1 are the halves of its SimHash."""
+    f = lines.select("row", "id", "size", F.expr(FEATURES).alias("f")).select("row", "id", "size", F.size("f").alias("k"), F.posexplode("f").alias("at", "word"))
+    words = f.select("row", "id", "size", "k", F.expr(f"at div {RUN}").alias("run"), F.xxhash64("word").alias("h0")).withColumn("h1", F.xxhash64(F.lit(1), "h0"))
+    lane = F.lit(0x0101010101010101)
+    sums = [F.sum(F.shiftrightunsigned(f"h{i}", b).bitwiseAND(lane)).alias(f"s{i}_{b}") for i in (0, 1) for b in range(8)]
+    counted = words.groupBy("row", "id", "size", "k", "run").agg(F.count("*").alias("n"), *sums)
+    # a counter is above half of n if adding 127 - n div 2 to it sets its highest bit
+    lift = F.expr("(127L - n div 2) * 16843009L")
+
+    def of_one_run(i: int) -> Column:
+        halves = []
+        for half in (0, 1):
+            parts = [F.shiftrightunsigned(F.col(f"s{i}_{b}"), 32 * half).bitwiseAND(F.lit(0x7F7F7F7F)) for b in range(8)]
+            halves.append(joined_bits([F.shiftrightunsigned((p + lift).bitwiseAND(F.lit(0x80808080)), 7 - b) for b, p in enumerate(parts)]))
+        return halves[0].bitwiseOR(F.shiftleft(halves[1], 32)).alias(f"s{i}")
+
+    few = counted.where(F.col("k") <= RUN).select("id", "size", of_one_run(0), of_one_run(1))
+    # of more runs: two 32-bit counters in a long
+    wide = [F.sum(F.shiftrightunsigned(f"s{i}_{b}", 8 * j).bitwiseAND(F.lit(0x000000FF000000FF))).alias(f"t{i}_{b}_{j}") for i in (0, 1) for b in range(8) for j in range(4)]
+    many = counted.where(F.col("k") > RUN).groupBy("row", "id", "size").agg(F.expr("sum(n) div 2").alias("half"), *wide)
+
+    def of_more_runs(i: int) -> Column:
+        bit = lambda c, at: F.when(c > F.col("half"), F.shiftleft(F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long"))
+        t = lambda b, j: F.col(f"t{i}_{b}_{j}")
+        low = [bit(t(b, j).bitwiseAND(F.lit(0xFFFFFFFF)), b + 8 * j) for b in range(8) for j in range(4)]
+        high = [bit(F.shiftrightunsigned(t(b, j), 32), b + 8 * j + 32) for b in range(8) for j in range(4)]
+        return joined_bits(low + high).alias(f"s{i}")
+
+    return few.unionAll(many.select("id", "size", of_more_runs(0), of_more_runs(1)))
 
 
 def block(n: int) -> Column:
@@ -75,9 +106,9 @@ def block_keys(apart: int) -> Column:
 def removed(docs: DataFrame) -> DataFrame:
     """did, h and gone, the numbers of the lines that go, of the documents that lose lines."""
     folder = shared_folder(docs.sparkSession)
-    lines = occurrences(docs).select("did", "h", "nth", line_id(F.col("line")).alias("id"), F.length("line").alias("size"), "line", F.expr(SIMHASH).alias("sim"))
+    lines = occurrences(docs).select(F.monotonically_increasing_id().alias("row"), "did", "h", "nth", line_id(F.col("line")).alias("id"), F.length("line").alias("size"), "line")
     lines = materialise(lines, folder, "lines")
-    once = lines.groupBy("id").agg(F.count("*").alias("n"), F.max("size").alias("size"), *[F.max(F.col("sim")[i]).alias(f"s{i}") for i in (0, 1)])
+    once = simhashes(lines).groupBy("id").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("size", "s0", "s1")])
     once = materialise(once.select("id", "n", "size", F.array("s0", "s1").alias("sim")), folder, "once")
     texts = lines.select("id", F.col("line").alias("x"))
     roots = link(once.select("id", "size", "sim"), [block_keys(k) for k in range(1, BLOCKS // 2 + 1)], edit_similar(texts, SIMILARITY), folder, SIMILARITY)

@@ -45,7 +45,7 @@ def simhash(line):
     """The 8 blocks, feature by feature and bit by bit."""
     f = [hashed(w.encode()) for w in line.split(" ") if len(w) >= linedup.FEATURE]
     if len(f) < linedup.MIN_WORDS:
-        f = [hashed(line[i : i + 3].encode(), hashed(b"gram")) for i in range(max(1, len(line) - 2))]
+        f = [hashed(line[i : i + 3].encode()) for i in range(max(1, len(line) - 2))]
     out = []
     for hashes in (f, [hashed(struct.pack("<Q", x), hashed(struct.pack("<i", 1))) for x in f]):
         bits = [2 * sum(x >> b & 1 for x in hashes) > len(hashes) - len(hashes) % 2 for b in range(64)]
@@ -91,7 +91,7 @@ def brute(rows):
 
 def test_lines_by_brute_force(spark):
     r = random.Random(3)
-    base = [line_of(r, n) for n in [0, 1, 2, 4, 6, 9, 15, 15, 30, 30, 60, 140]]
+    base = [line_of(r, n) for n in [0, 1, 2, 4, 6, 9, 15, 15, 30, 30, 60, 140, 400]]
     rows = [(100, None), (101, ""), (102, "\n\n"), (103, "--- !!\n..."), (None, base[8] + "\nonly here " + line_of(r, 8))]
     for i in range(40):
         own = [edited(r, r.choice(base), share, r.random() < 0.5) if share else r.choice(base) for share in r.choices([0, 0.02, 0.05, 0.1, 0.3], k=4)]
