@@ -107,16 +107,21 @@ def iou(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2) -> Column:
     return both / F.nullif(area(ax1, ay1, ax2, ay2) + area(bx1, by1, bx2, by2) - both, F.lit(0.0))
 
 
-def ciou(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2) -> Column:
-    """IoU less the centres' squared distance over the squared diagonal of the hull, less the weighted difference of aspect ratios."""
+def ciou(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2, plain=None, turn=None) -> Column:
+    """IoU less the centres' squared distance over the squared diagonal of the hull, less the weighted difference of aspect ratios. plain and turn: the IoU and the difference of the boxes' angles, if known."""
     ax1, ay1, ax2, ay2, bx1, by1, bx2, by2 = (c(v).cast("double") for v in (ax1, ay1, ax2, ay2, bx1, by1, bx2, by2))
-    i = iou(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2)
+    i = iou(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2) if plain is None else c(plain)
     hull_w, hull_h = F.greatest(ax2, bx2) - F.least(ax1, bx1), F.greatest(ay2, by2) - F.least(ay1, by1)
     apart = (F.pow(ax1 + ax2 - bx1 - bx2, 2.0) + F.pow(ay1 + ay2 - by1 - by2, 2.0)) / 4.0
-    turn = F.atan((ax2 - ax1) / (ay2 - ay1)) - F.atan((bx2 - bx1) / (by2 - by1))
+    turn = angle(ax1, ay1, ax2, ay2) - angle(bx1, by1, bx2, by2) if turn is None else c(turn)
     v = F.pow(turn, 2.0) * 4.0 / (F.pi() * F.pi())
     return i - apart / (hull_w * hull_w + hull_h * hull_h) - v * v / F.greatest(F.lit(1e-12), 1.0 - i + v)
 
 
+def angle(x1, y1, x2, y2) -> Column:
+    """Of a box's diagonal, from its aspect ratio."""
+    return F.atan((c(x2) - c(x1)) / (c(y2) - c(y1)))
+
+
 IOU_SQL = """((greatest(0, least({a}x2, {b}x2) - greatest({a}x1, {b}x1)) * greatest(0, least({a}y2, {b}y2) - greatest({a}y1, {b}y1)))::DOUBLE
  / nullif(({a}x2 - {a}x1) * ({a}y2 - {a}y1) + ({b}x2 - {b}x1) * ({b}y2 - {b}y1) - greatest(0, least({a}x2, {b}x2) - greatest({a}x1, {b}x1)) * greatest(0, least({a}y2, {b}y2) - greatest({a}y1, {b}y1)), 0))"""

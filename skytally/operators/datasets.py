@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import overlap
+
 
 def dense_ids(rows: DataFrame, order: list, name: str = "new_id", start: int = 0) -> DataFrame:
     """Whole numbers without gaps in the given order, without sorting everything in one task: ranks within ranges of the order plus the counts of the ranges before."""
     ranged = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
     ranked = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    if rows.sparkSession.sparkContext.getCheckpointDir() or rows.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
-        ranked = ranked.checkpoint()  # the ranges are sampled; both uses below must see the same
+    ranked = overlap.written(ranked, "ranges")  # the ranges are sampled; both uses below must see the same
     sizes = ranked.groupBy("_p").agg(F.max("_n").alias("_size"))  # one row a range
     before = F.coalesce(F.sum("_size").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_p", before.alias("_before"))

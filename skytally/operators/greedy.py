@@ -1,97 +1,65 @@
-"""Order-dependent steps on the boxes of one image (or one connected group of images), in Arrow batches."""
+"""Order-dependent steps on the boxes of one image (or one connected group of images): one shuffle by image, then a fold over the image's boxes in their order, inside the JVM."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BOX = ["x1", "y1", "x2", "y2"]
+from ..functions.boxes import area, intersection, iou
 
+BOX = ["x1", "y1", "x2", "y2"]
 
-def pair_iou(a: np.ndarray, b: np.ndarray, smaller: bool = False) -> np.ndarray:
-    """IoU of all boxes of a with all of b, or their intersection over the smaller area."""
-    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
-    both = np.clip(w, 0, None) * np.clip(h, 0, None)
-    one, two = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1]), (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-    below = np.minimum(one[:, None], two[None, :]) if smaller else one[:, None] + two[None, :] - both
-    return np.where(below > 0, both / np.where(below > 0, below, 1), 0.0)
 
+def overlap_of(a: Column, b: Column, smaller: bool = False) -> Column:
+    """IoU of two box structs, or their intersection over the smaller area."""
+    one, two = [a[c] for c in BOX], [b[c] for c in BOX]
+    if smaller:
+        return intersection(*one, *two) / F.nullif(F.least(area(*one), area(*two)).cast("double"), F.lit(0.0))
+    return iou(*one, *two)
 
-def crowded_images(detections: DataFrame, threshold: float, smaller: bool, key: str) -> DataFrame:
-    """The images in which some two boxes overlap by more than the threshold; only these need a greedy pass, and Python."""
-    from ..functions.boxes import area, intersection, iou
 
-    a, b = (detections.select("image_id", *[F.col(c).alias(f"{s}{c}") for c in (key, *BOX)]) for s in "ab")
-    one, two = [f"a{c}" for c in BOX], [f"b{c}" for c in BOX]
-    share = intersection(*one, *two) / F.nullif(F.least(area(*one), area(*two)), F.lit(0)) if smaller else iou(*one, *two)
-    return a.join(b, "image_id").where((F.col(f"a{key}") < F.col(f"b{key}")) & (share > threshold)).select("image_id").distinct()
+def in_order(detections: DataFrame, key: str) -> DataFrame:
+    """image_id and l, its detections by falling confidence, null last, ties by key, each with its row in d and its box."""
+    one = F.struct(F.coalesce(-F.col("confidence"), F.lit(float("inf"))).alias("_s"), F.col(key).alias("_k"), *[F.col(c).cast("double").alias(c) for c in BOX], F.struct(*detections.columns).alias("d"))
+    return detections.groupBy("image_id").agg(F.sort_array(F.collect_list(one)).alias("l"))
 
 
 def nms(detections: DataFrame, threshold: float = 0.5, smaller: bool = False, key: str = "det_key") -> DataFrame:
     """Detections that no kept one of their image with a higher score overlaps by more than the threshold; ties go to the smaller key, classes don't matter."""
-
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values(["confidence", key], ascending=[False, True])
-        overlap, keep, gone = pair_iou(*[d[BOX].to_numpy(float)] * 2, smaller) > threshold, [], np.zeros(len(d), bool)
-        for i in range(len(d)):
-            if not gone[i]:
-                keep.append(i)
-                gone |= overlap[i]
-        return d.iloc[keep]
-
-    crowded = crowded_images(detections, threshold, smaller, key)
-    greedily = detections.join(crowded, "image_id", "left_semi").groupBy("image_id").applyInPandas(run, detections.schema)
-    return detections.join(crowded, "image_id", "left_anti").unionByName(greedily)
+    hit = lambda x: lambda k: overlap_of(k, x, smaller) > threshold
+    kept = F.aggregate("l", F.slice("l", 1, 0), lambda acc, x: F.when(F.exists(acc, hit(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    return in_order(detections, key).select(F.explode(kept).alias("k")).select("k.d.*")
 
 
 def nmm(detections: DataFrame, threshold: float = 0.5, key: str = "det_key") -> DataFrame:
     """Like nms(), but what a kept box suppresses is merged into it: the hull of the boxes, the highest score; merged counts them."""
+    rows = in_order(detections, key)
+    # a kept box with its hull so far
+    start = F.transform(F.slice("l", 1, 0), lambda x: F.struct(x.alias("box"), *[x[c].alias(c) for c in BOX], F.lit(1).cast("long").alias("merged")))
+    grown = lambda k, x: F.struct(k["box"].alias("box"), F.least(k["x1"], x["x1"]).alias("x1"), F.least(k["y1"], x["y1"]).alias("y1"), F.greatest(k["x2"], x["x2"]).alias("x2"), F.greatest(k["y2"], x["y2"]).alias("y2"), (k["merged"] + 1).alias("merged"))
+    fresh = lambda x: F.array(F.struct(x.alias("box"), *[x[c].alias(c) for c in BOX], F.lit(1).cast("long").alias("merged")))
+    first = lambda acc, x: F.array_position(F.transform(acc, lambda k: F.coalesce(overlap_of(k["box"], x) > threshold, F.lit(False))), F.lit(True))
 
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values(["confidence", key], ascending=[False, True]).reset_index(drop=True)
-        boxes = d[BOX].to_numpy(float)
-        overlap, gone, rows = pair_iou(boxes, boxes) > threshold, np.zeros(len(d), bool), []
-        for i in range(len(d)):
-            if not gone[i]:
-                own = np.flatnonzero(~gone & (overlap[i] | (np.arange(len(d)) == i)))
-                gone[own] = True
-                row = d.iloc[i].copy()
-                row["x1"], row["y1"], row["x2"], row["y2"], row["merged"] = *boxes[own, :2].min(0).astype(int), *boxes[own, 2:].max(0).astype(int), len(own)
-                rows.append(row)
-        return pd.DataFrame(rows, columns=[*d.columns, "merged"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in detections.schema.fields) + ", merged long"
-    crowded = crowded_images(detections, threshold, False, key)
-    merged = detections.join(crowded, "image_id", "left_semi").groupBy("image_id").applyInPandas(run, schema)
-    return detections.join(crowded, "image_id", "left_anti").withColumn("merged", F.lit(1).cast("long")).unionByName(merged)
-
+    def step(acc: Column, x: Column) -> Column:
+        into = lambda at: F.when(at == 0, F.concat(acc, fresh(x))).otherwise(F.transform(acc, lambda k, i: F.when(i + 1 == at, grown(k, x)).otherwise(k)))
+        return F.element_at(F.transform(F.array(first(acc, x)), into), 1)  # the place is a lambda's name, so it is looked for once
 
-def match(truth: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """One-to-one matches (image_id, gt_key, pred_key, iou): pairs by falling IoU, as long as both are free; ties by keys. Pairs below the threshold are left out before any row reaches Python."""
-    from ..functions.boxes import iou
+    out = rows.select(F.explode(F.aggregate("l", start, step)).alias("k"))
+    kinds = dict(detections.dtypes)
+    return out.select(*[F.col(f"k.{c}").cast(kinds[c]).alias(c) if c in BOX else F.col(f"k.box.d.{c}").alias(c) for c in detections.columns], "k.merged")
 
-    g = truth.select("image_id", F.col("det_key").alias("gt_key"), *[F.col(c).alias(f"g{c}") for c in BOX])
-    p = found.select("image_id", F.col("det_key").alias("pred_key"), *[F.col(c).alias(f"p{c}") for c in BOX])
-    pairs = g.join(p, "image_id").withColumn("iou", iou(*[f"g{c}" for c in BOX], *[f"p{c}" for c in BOX])).where(F.col("iou") >= threshold)
 
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values(["iou", "gt_key", "pred_key"], ascending=[False, True, True])
-        g, p, keep = set(), set(), []
-        for i, (a, b) in enumerate(zip(d["gt_key"], d["pred_key"], strict=True)):
-            if a not in g and b not in p:
-                g.add(a)
-                p.add(b)
-                keep.append(i)
-        return d.iloc[keep]
-
-    # pairs that compete with no other need no Python
-    pairs = pairs.select("image_id", "gt_key", "pred_key", "iou", F.count("*").over(Window.partitionBy("image_id", "gt_key")).alias("n"), F.count("*").over(Window.partitionBy("image_id", "pred_key")).alias("m"))
-    found = ["image_id", "gt_key", "pred_key", "iou"]
-    contested = pairs.where("n > 1 OR m > 1").select(*found).groupBy("image_id").applyInPandas(run, "image_id long, gt_key long, pred_key long, iou double")
-    return pairs.where("n = 1 AND m = 1").select(*found).unionByName(contested)
+def match(truth: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """One-to-one matches (image_id, gt_key, pred_key, iou): pairs by falling IoU, as long as both are free; ties by keys. Pairs below the threshold don't reach the fold."""
+    side = lambda df: df.groupBy("image_id").agg(F.collect_list(F.struct("det_key", *[F.col(c).cast("double").alias(c) for c in BOX])).alias("l"))
+    both = side(truth).withColumnRenamed("l", "g").join(side(found).withColumnRenamed("l", "p"), "image_id")
+    pair = lambda g: lambda p: F.struct((-overlap_of(g, p)).alias("s"), g["det_key"].alias("gt_key"), p["det_key"].alias("pred_key"))
+    pairs = F.flatten(F.transform("g", lambda g: F.filter(F.transform("p", pair(g)), lambda x: x["s"] <= -threshold)))
+    both = both.select("image_id", F.array_sort(pairs).alias("l")).where(F.size("l") > 0)
+    free = lambda x: lambda k: (k["gt_key"] == x["gt_key"]) | (k["pred_key"] == x["pred_key"])
+    taken = F.aggregate("l", F.slice("l", 1, 0), lambda acc, x: F.when(F.exists(acc, free(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    return both.select("image_id", F.explode(taken).alias("k")).select("image_id", "k.gt_key", "k.pred_key", (-F.col("k.s")).alias("iou"))
 
 
 def duel(candidates: DataFrame, order: DataFrame) -> DataFrame:

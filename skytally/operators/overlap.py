@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.boxes import ciou, intersection, iou
+from ..functions.boxes import angle, ciou, intersection, iou
 
 SIDES = ("west", "south", "east", "north")
 
@@ -17,28 +20,47 @@ def edges(footprints: DataFrame, threshold: float = 0.0, cell: float | None = No
     intersection. The cell is the mean footprint's longer side by default, so a footprint touches few cells."""
     if threshold < 0:
         raise ValueError("pairs that don't intersect aren't found on a grid")
-    f = footprints.select("image_id", "zone", *SIDES)
+    # the projection's series are computed once, and so is each footprint's angle
+    f = written(footprints.select("image_id", "zone", *SIDES, angle(*SIDES).alias("turn")), "footprints")
     if cell is None:
         cell = f.agg(F.greatest(F.avg(F.col("east") - F.col("west")), F.avg(F.col("north") - F.col("south")))).first()[0] or 1.0
     at = lambda c: F.floor(c / cell).cast("long")
     dealt = f.withColumn("gx", F.explode(F.sequence(at(F.col("west")), at(F.col("east"))))).withColumn("gy", F.explode(F.sequence(at(F.col("south")), at(F.col("north")))))
-    a, b = (dealt.select("zone", "gx", "gy", *[F.col(c).alias(f"{c}_{s}") for c in ("image_id", *SIDES)]) for s in "ab")
+    a, b = (dealt.select("zone", "gx", "gy", *[F.col(c).alias(f"{c}_{s}") for c in ("image_id", *SIDES, "turn")]) for s in "ab")
     pairs = a.join(b, ["zone", "gx", "gy"]).where("image_id_a > image_id_b")
     pairs = pairs.where((F.col("gx") == at(F.greatest("west_a", "west_b"))) & (F.col("gy") == at(F.greatest("south_a", "south_b"))))
     boxes = [f"{c}_{s}" for s in "ab" for c in SIDES]
-    pairs = pairs.withColumns({"overlap_m2": intersection(*boxes), "iou": iou(*boxes), "ciou": ciou(*boxes)})
-    return pairs.where(F.col("ciou") > threshold).select(F.col("image_id_a").alias("image_a"), F.col("image_id_b").alias("image_b"), "ciou", "iou", "overlap_m2")
+    # complete IoU is never above IoU, and most pairs end there
+    pairs = pairs.withColumn("iou", iou(*boxes)).where(F.col("iou") > threshold)
+    pairs = pairs.withColumn("ciou", ciou(*boxes, plain="iou", turn=F.col("turn_a") - F.col("turn_b"))).where(F.col("ciou") > threshold)
+    return pairs.select(F.col("image_id_a").alias("image_a"), F.col("image_id_b").alias("image_b"), "ciou", "iou", intersection(*boxes).alias("overlap_m2"))
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a Parquet table in the folder that the cluster shares, read again; on a local master without one, in a temporary folder."""
+    path = f"{shared_folder(rows.sparkSession)}/skytally-{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    fs_path = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs_path.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(fs_path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir or the session's checkpoint folder; set to a temporary one only where that is unset, on a local master."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skytally-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
 
 
 def groups(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
     """nodes (id) with group_id, the least id of their connected group; links (a, b).
 
     Every node takes the least group of its neighbours and then that group's own group, until nothing changes. Lineage is cut by checkpoints in the session's checkpoint folder."""
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None and not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skytally-"))
+    shared_folder(nodes.sparkSession)
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     now = nodes.select("id", F.col("id").alias("group_id")).checkpoint()
     for _ in range(rounds):
