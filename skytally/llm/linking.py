@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, is_empty, is_small, lookup, lookup_hot, materialise, measured, shared_folder
 
-#: Members up to which all pairs of a bucket are tested at once, and leaders of a larger one, about, in the first round after that of one leader; GROWTH times as many in each that follows.
-DIRECT, GROWTH = 16, 16
+#: Members up to which all pairs of a bucket are tested at once; leaders of a larger one, about, in the first round after that of one leader; GROWTH times as many in each that follows.
+DIRECT, LEADERS, GROWTH = 4, 16, 16
+#: Edits that the alignment allows for at first, before those that the similarity allows.
+BANDS = (16, 128, 1024)
 
 Verify = Callable[[DataFrame], DataFrame]
 Verifier = Callable[[str, DataFrame], Verify]
@@ -30,7 +32,7 @@ def link(items: DataFrame, keys: Sequence[Column], verifier: Verifier, folder: s
     has connected costs a later one nothing. verifier(folder, members) gives the test of pairs, (a, b) to (a, b), of the ids in members.
 
     In buckets of at most DIRECT members every two are held against each other. In a larger one whose members are not all connected yet, all are held against the least id, so large groups of copies are
-    connected by as many pairs as there are members; where that leaves several groups, every member is a leader in its turn, DIRECT and more at a time in the order of a hash, and is held against all later
+    connected by as many pairs as there are members; where that leaves several groups, every member is a leader in its turn, LEADERS and more at a time in the order of a hash, and is held against all later
     members that are not connected with it. So each pair that shares a bucket is tested, or connected already, unless the sizes rule it out. A bucket of n unlike members costs up to n * n / 2 tests."""
     edges: list[DataFrame] = []
     roots = None
@@ -77,7 +79,7 @@ def link_once(rows: DataFrame, verifier: Verifier, folder: str, out: str, simila
         return edges
     # members lead in the order of a hash, place: about as many stand before it as its value tells
     members = members.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")).drop("n")
-    nth, most = 1, DIRECT
+    nth, most = 1, LEADERS
     while True:
         members = materialise(regrouped(members, pairs, good, folder), folder, f"members{nth}")
         several = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n")
@@ -104,10 +106,11 @@ def regrouped(members: DataFrame, pairs: DataFrame, good: DataFrame, folder: str
     return lookup(members, now, ["root"], 24, "left", F.col("id")).withColumn("root", F.coalesce("now", "root")).drop("now")
 
 
-def edit_similar(texts: DataFrame, similarity: float, unique: bool = False) -> Verifier:
+def edit_similar(texts: DataFrame, similarity: float, unique: bool = False, kinds: bool = False) -> Verifier:
     """For link(): keeps the pairs (a, b) whose texts (id, x; several rows of an id are equal, unless unique) are edit similar: distance <= (1 - similarity) * longer length, counted in characters of x.
 
-    The alignment is banded; a narrow band is tried first. A leader may have any number of pairs: adaptive execution splits such a key, since both sides of the joins are shuffled as they are."""
+    The alignment is banded; narrow bands are tried first, so that its cost goes with the distance. kinds: before any alignment, the different characters that only one of the texts has are counted, since there can
+    be no more of them than edits; this pays where characters are words. A leader may have any number of pairs: adaptive execution splits such a key, since both sides of the joins are shuffled as they are."""
 
     def verifier(folder: str, members: DataFrame) -> Verify:
         wanted = texts.select("id", "x")
@@ -118,11 +121,16 @@ def edit_similar(texts: DataFrame, similarity: float, unique: bool = False) -> V
 
         def verify(pairs: DataFrame) -> DataFrame:
             rows = pairs.join(wanted.toDF("b", "x"), "b").join(wanted.toDF("a", "xa"), "a")
-            longer = F.greatest(F.length("x"), F.length("xa"))
-            most = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
-            rows = rows.where(F.abs(F.length("x") - F.length("xa")) <= most).withColumn("most", most).withColumn("few", F.least(most, (longer / 32).cast("int") + 2))
-            close = F.expr("levenshtein(x, xa, few) >= 0")
-            return rows.where(close | ((F.col("few") < F.col("most")) & F.expr("levenshtein(x, xa, most) >= 0"))).select("a", "b")
+            most = F.floor(F.greatest(F.length("x"), F.length("xa")) * (1 - similarity) + 1e-9).cast("int")
+            rows = rows.withColumn("most", most).where(F.abs(F.length("x") - F.length("xa")) <= F.col("most"))
+            if kinds:
+                one, two = F.split("x", ""), F.split("xa", "")
+                rows = rows.where((F.size(F.array_except(one, two)) <= F.col("most")) & (F.size(F.array_except(two, one)) <= F.col("most")))
+            close = F.lit(False)
+            for narrower, band in zip((-1, *BANDS), (*BANDS, None), strict=True):
+                near = F.expr(f"levenshtein(x, xa, {'most' if band is None else f'least(most, {band})'}) >= 0")
+                close = close | ((F.col("most") > narrower) & near)
+            return rows.where(close).select("a", "b")
 
         return verify
 

@@ -192,7 +192,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     found = docs.join(F.broadcast(wanted) if is_small(wanted, 32) else wanted, (did == wanted["_did"]) & (text_hash(docs) == wanted["_h"])).select(wanted["id"], docs["text"].cast("string").alias("text"))
     sequences = materialise(word_texts(found).dropDuplicates(["id"]), folder, "sequences")  # repeated rows
     keys = [F.filter(F.slice("buckets", sum(ROUNDS[:k]) + 1, n), lambda x: x != 0) for k, n in enumerate(ROUNDS)]
-    roots = link(items.select("id", "size", "buckets"), keys, edit_similar(sequences, SIMILARITY, unique=True), folder, SIMILARITY)
+    roots = link(items.select("id", "size", "buckets"), keys, edit_similar(sequences, SIMILARITY, unique=True, kinds=True), folder, SIMILARITY)
     if roots is None:
         least = texts.select("id", "n", "first")
     else:
