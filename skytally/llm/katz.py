@@ -365,6 +365,33 @@ def finishing(d: np.ndarray, total: int):
     return run
 
 
+def summed(rows: DataFrame, n: int) -> np.ndarray:
+    """The sum of the n statistics of all partitions; only the sums reach the driver."""
+
+    def read(stream):
+        import pyarrow as pa
+
+        for batch in stream:
+            total = sum((unpack(x.as_py())[0] for x in batch.column(0)), np.zeros(n, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(total)], names=["i", "v"])
+
+    found = rows.where(F.col("kind") == STATS).select("blob").mapInArrow(read, "i long, v long").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(n, np.int64)
+    for r in found:
+        out[r.i] = r.v
+    return out
+
+
+def numbers(stream):
+    """The statistics of contexts that lie in several partitions, out of their blobs."""
+    import pyarrow as pa
+
+    for batch in stream:
+        found = [unpack(x.as_py())[:2] for x in batch.column(1)]
+        stats = pa.array([[int(v) for v in x] for x, _ in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), stats, pa.array([float(x[0]) for _, x in found], pa.float64())], names=["context", "blob", "stats", "seen"])
+
+
 def score(docs: DataFrame, mod: int = 7, remainder: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (log10 probability under the model) of each document."""
     folder = shared_folder(docs.sparkSession)
@@ -373,22 +400,13 @@ def score(docs: DataFrame, mod: int = 7, remainder: int = 2) -> DataFrame:
     partitions = max(4, math.ceil(size / 5 / PARTITION_TOKENS))  # about so many tokens
     asked = rows.mapInArrow(asking(partitions), ROWS)
     answers = materialise(asked.groupBy("bucket").applyInArrow(answering, ROWS), folder, "unigrams")
-    stats = [unpack(r[0])[0] for r in answers.where(F.col("kind") == STATS).select("blob").collect()]  # one short row a partition
-    stats = sum(stats, np.zeros(CUT + 4, np.int64))
+    stats = summed(answers, CUT + 4)
     unigrams = Unigrams(stats[:-1], stats[-1])
     told = rows.mapInArrow(telling, ROWS).unionAll(answers.where(F.col("kind") == ANSWER))
     sent = told.groupBy("batch").applyInArrow(sending(unigrams, partitions, partitions), ROWS)
     parts = materialise(sent.groupBy("bucket").applyInArrow(counting(unigrams), ROWS), folder, "bigrams")
-    stats = sum((unpack(r[0])[0] for r in parts.where(F.col("kind") == STATS).select("blob").collect()), np.zeros(CUT + 3, np.int64))
-    d = discounts(stats)
-
-    @F.udf("struct<stats:array<long>,seen:double>")
-    def numbers(blob):
-        stats, seen = unpack(bytes(blob))[:2]
-        return [int(x) for x in stats], float(seen[0])
-
-    hot = parts.where(F.col("kind") == SPREAD).select(F.col("bucket").alias("context"), "blob", numbers("blob").alias("x"))
-    hot = materialise(hot.select("context", "blob", "x.stats", "x.seen"), folder, "hot")
+    d = discounts(summed(parts, CUT + 3))
+    hot = materialise(parts.where(F.col("kind") == SPREAD).select(F.col("bucket").alias("context"), "blob").mapInArrow(numbers, "context long, blob binary, stats array<long>, seen double"), folder, "hot")
     whole = hot.groupBy("context").agg(F.array(*[F.sum(F.col("stats")[i]) for i in range(CUT + 2)]).alias("stats"), F.sum("seen").alias("seen"))
     waiting = parts.where(F.col("kind") == OPEN).select("blob", F.lit(None).cast("array<long>").alias("stats"), F.lit(None).cast("double").alias("seen"))
     waiting = waiting.unionAll(lookup(hot.select("context", "blob"), materialise(whole, folder, "spread"), ["context"], 120, "inner", F.xxhash64("blob")).select("blob", "stats", "seen"))
