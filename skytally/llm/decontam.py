@@ -3,7 +3,7 @@
 The postings (document, position, term) of all test terms in all documents are stored as a written table. Each benchmark item is cut into windows of
 consecutive words; of each window the rarest terms by their corpus count (fewest postings) are looked up first. Their postings, less the term's
 offset in the item, give alignments of the item in a document; only where all of a window's rarest terms meet at one alignment are the lists of the other terms
-intersected. Runs of matching positions that are at least a window long are the exact phrase matches.
+intersected. Runs of matching positions that are at least a window long are the exact phrase matches. near() has the proximity matches: windows whose terms lie close together in any order, also with some missing.
 
 Defined results. Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. An item with fewer words than a window is one window, an item without words none. Null texts have no words.
 A null doc_id or item_id is a value of its own (in lists of items the text `null`). Items that share an id count as one. Repeated document rows each return a row.
@@ -66,18 +66,47 @@ def rarest(terms: DataFrame, window: int, rare: int) -> DataFrame:
     return picked.join(terms.select("item", "ipos", "term", "n"), ["item", "ipos"])
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = 10, rare: int = 3) -> DataFrame:
-    """A row a document: doc_id, did and h (see key()), n_words, n_hit (words inside any occurrence of a window), items (the sorted names of the items with occurring windows)."""
-    spark = docs.sparkSession
-    folder = shared_folder(spark)
+def indexed(docs: DataFrame, items: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The stored postings of the items' terms in docs, and the terms (item, name, ipos, n, term, count: their postings)."""
     terms = materialise(item_terms(items), folder, "items")
-    ends = spark.createDataFrame([(END, 0), (END_NULL, 1)], "word string, term long")
+    ends = docs.sparkSession.createDataFrame([(END, 0), (END_NULL, 1)], "word string, term long")
     vocabulary = materialise(terms.select("word").distinct().select("word", F.xxhash64("word").alias("term")).unionAll(ends), folder, "vocabulary")
     if vocabulary.agg((F.count_distinct("term") == F.count("*"))).first()[0] is False:
         raise ValueError("two test terms share a 64-bit number")
     postings = index(docs, vocabulary, folder)
     counts = postings.groupBy("term").agg(F.count("*").alias("count"))
-    terms = materialise(terms.withColumn("term", F.xxhash64("word")).drop("word").join(counts, "term", "left").na.fill(0, ["count"]), folder, "terms")
+    return postings, materialise(terms.withColumn("term", F.xxhash64("word")).drop("word").join(counts, "term", "left").na.fill(0, ["count"]), folder, "terms")
+
+
+def near(docs: DataFrame, items: DataFrame, window: int = 10, span: int = 15, missing: int = 1) -> DataFrame:
+    """Proximity matches: doc_id, did and h (see key()), name, pos of the stretches of span consecutive words that hold, in any order, all but missing of the different terms of some window of an item.
+
+    pos is the place of a term that such a stretch holds and that is among the missing + 1 rarest of the window, one of which every such stretch must hold: only there the other terms' lists are looked at.
+    A window of which fewer than two terms would be left has no proximity matches."""
+    folder = shared_folder(docs.sparkSession)
+    postings, terms = indexed(docs, items, folder)
+    by_item = W.partitionBy("item").orderBy("ipos").rowsBetween(0, window - 1)
+    held = F.array_sort(F.array_distinct(F.collect_list(F.struct("count", "term")).over(by_item)))
+    windows = terms.withColumn("held", held).where((F.col("ipos") <= F.col("n") - F.least(F.lit(window), F.col("n"))) & (F.size("held") - missing >= 2))
+    windows = materialise(windows.select("item", "name", F.transform("held", lambda x: x["term"]).alias("held")).distinct().withColumn("w", F.xxhash64("name", "held")), folder, "windows")
+    rare = windows.select("w", F.explode(F.slice("held", 1, missing + 1)).alias("term"))
+    anchors = postings.join(rare, "term").select("did", "h", "w", F.col("pos").alias("at"))
+    wanted = windows.select("w", F.size("held").alias("kinds"), F.explode("held").alias("term"))
+    # what lies within a span of an anchor: at most 2 * span - 1 postings
+    cell = F.floor(F.col("at") / span).cast("int")
+    close = anchors.join(wanted, "w").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    lists = postings.withColumn("cell", F.floor(F.col("pos") / span).cast("int")).join(close, ["did", "h", "cell", "term"]).where(F.abs(F.col("pos") - F.col("at")) < span)
+    found = lists.groupBy("did", "h", "w", "at").agg(F.first("kinds").alias("kinds"), F.collect_set(F.struct("pos", "term")).alias("l"))
+    within = lambda s: F.size(F.array_distinct(F.transform(F.filter("l", lambda x: (x["pos"] >= s["pos"]) & (x["pos"] < s["pos"] + span)), lambda x: x["term"])))
+    found = found.where(F.exists("l", lambda s: (s["pos"] <= F.col("at")) & (F.col("at") < s["pos"] + span) & (within(s) >= F.col("kinds") - missing)))
+    lengths = postings.where("term in (0, 1)").select("did", "h", F.when(F.col("term") == 0, F.col("did")).alias("doc_id")).distinct()
+    return found.join(windows.select("w", "name"), "w").select("did", "h", "name", F.col("at").alias("pos")).distinct().join(lengths, ["did", "h"]).select("doc_id", "did", "h", "name", "pos")
+
+
+def find(docs: DataFrame, items: DataFrame, window: int = 10, rare: int = 3) -> DataFrame:
+    """A row a document: doc_id, did and h (see key()), n_words, n_hit (words inside any occurrence of a window), items (the sorted names of the items with occurring windows)."""
+    folder = shared_folder(docs.sparkSession)
+    postings, terms = indexed(docs, items, folder)
     seeds = materialise(rarest(terms, window, rare), folder, "seeds")
 
     at = ["did", "h", "item", "start"]  # start: where in the document the item's first word would be
