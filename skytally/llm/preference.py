@@ -54,7 +54,9 @@ def assemble(rows: DataFrame) -> DataFrame:
     at = F.coalesce(F.sum(F.length("rendered")).over(order), F.lit(0))
     rows = rows.withColumn("at", at).withColumn("nth", F.count("*").over(order))
     one = F.sort_array(F.collect_list(F.struct("nth", "rendered", "at", "loss")))
-    parts = rows.groupBy("pair_id", "part").agg(one.alias("x")).select("pair_id", "part", F.concat_ws("", "x.rendered").alias("text"), F.transform(F.filter("x", lambda y: y.loss), lambda y: F.struct(y["at"].alias("from"), (y["at"] + F.length(y["rendered"])).alias("to"))).alias("spans"))
+    parts = rows.groupBy("pair_id", "part").agg(one.alias("x"), F.first("paired").alias("paired")).select("pair_id", "part", "paired", F.concat_ws("", "x.rendered").alias("text"), F.transform(F.filter("x", lambda y: y.loss), lambda y: F.struct(y["at"].alias("from"), (y["at"] + F.length(y["rendered"])).alias("to"))).alias("spans"))
     pick = lambda part, column: F.first(F.when(F.col("part") == part, F.col(column)), ignorenulls=True)
     texts = [F.coalesce(pick(p, "text"), F.lit("")).alias(p) for p in ("prompt", "chosen", "rejected")]
-    return parts.groupBy("pair_id").agg(*texts, pick("chosen", "spans").alias("chosen_loss"), pick("rejected", "spans").alias("rejected_loss"))
+    none = F.array().cast("array<struct<from:bigint,to:bigint>>")
+    spans = [F.coalesce(pick(p, "spans").cast("array<struct<from:bigint,to:bigint>>"), none).alias(f"{p}_loss") for p in ("chosen", "rejected")]
+    return parts.groupBy("pair_id").agg(F.first("paired").alias("paired"), *texts, *spans)

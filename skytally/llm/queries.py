@@ -14,7 +14,7 @@ from .langid import identify
 from .linedup import dedup_lines
 from .mixing import mix
 from .omh import near_duplicates
-from .preference import segments
+from .preference import assemble, segments
 from .repeats import drop_repeats
 from .warczip import read_archives, write_archives
 
@@ -75,9 +75,11 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) form pair k."""
+    """Conversations 2k (chosen) and 2k + 1 (rejected) form pair k; a row a pair, with the spans of the completions that carry the loss as text."""
     turns = table(spark, sf_dir, "conversations")
-    return segments(turns, F.floor(turns["conv_id"] / 2).cast("long"), F.pmod(turns["conv_id"], F.lit(2)) == 0)
+    pairs = assemble(segments(turns, F.floor(turns["conv_id"] / 2).cast("long"), F.pmod(turns["conv_id"], F.lit(2)) == 0))
+    spans = [F.array_join(F.transform(f"{p}_loss", lambda x: F.concat_ws("-", x["from"].cast("string"), x["to"].cast("string"))), ",").alias(f"{p}_loss") for p in ("chosen", "rejected")]
+    return pairs.select("pair_id", "paired", "prompt", "chosen", "rejected", *spans)
 
 
 OP6_SQL = r"""
@@ -85,9 +87,15 @@ WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS good, turn, coales
 s AS (SELECT pair_id, turn, list_sort(list(role || chr(10) || text) FILTER (good)) IS DISTINCT FROM list_sort(list(role || chr(10) || text) FILTER (NOT good)) AS differs FROM t GROUP BY 1, 2),
 c AS (SELECT pair_id, min(turn) FILTER (differs) AS cut FROM s GROUP BY 1),
 b AS (SELECT pair_id, count(DISTINCT good) = 2 AS paired FROM t GROUP BY 1),
-r AS (SELECT t.*, paired, paired AND (cut IS NULL OR turn < cut) AS common FROM t JOIN c USING (pair_id) JOIN b USING (pair_id))
-SELECT pair_id, paired, CASE WHEN common THEN 'prompt' WHEN good THEN 'chosen' ELSE 'rejected' END AS part, turn, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered, NOT common AND role = 'assistant' AS loss
-FROM r WHERE NOT common OR good
+r AS (SELECT t.*, paired, paired AND (cut IS NULL OR turn < cut) AS common FROM t JOIN c USING (pair_id) JOIN b USING (pair_id)),
+o AS (SELECT pair_id, paired, CASE WHEN common THEN 'prompt' WHEN good THEN 'chosen' ELSE 'rejected' END AS part, turn, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered, NOT common AND role = 'assistant' AS loss
+      FROM r WHERE NOT common OR good),
+p AS (SELECT *, coalesce(sum(length(rendered)) OVER w, 0)::BIGINT AS at, row_number() OVER (PARTITION BY pair_id, part ORDER BY turn, role, rendered) AS nth
+      FROM o WINDOW w AS (PARTITION BY pair_id, part ORDER BY turn, role, rendered ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT pair_id, bool_or(paired) AS paired, coalesce(string_agg(rendered, '' ORDER BY nth) FILTER (part = 'prompt'), '') AS prompt, coalesce(string_agg(rendered, '' ORDER BY nth) FILTER (part = 'chosen'), '') AS chosen,
+       coalesce(string_agg(rendered, '' ORDER BY nth) FILTER (part = 'rejected'), '') AS rejected, coalesce(string_agg(at || '-' || (at + length(rendered)), ',' ORDER BY nth) FILTER (part = 'chosen' AND loss), '') AS chosen_loss,
+       coalesce(string_agg(at || '-' || (at + length(rendered)), ',' ORDER BY nth) FILTER (part = 'rejected' AND loss), '') AS rejected_loss
+FROM p GROUP BY pair_id
 """
 
 def op4_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
