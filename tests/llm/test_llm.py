@@ -164,6 +164,23 @@ def test_decontamination(spark, docs, none):
     assert decontam.find(none, items).count() == 0 and decontam.clean(docs, items.limit(0)).count() == docs.count()
 
 
+def test_proximity_matches(spark):
+    r = random.Random(4)
+    terms = [f"t{i}" for i in range(10)]
+    noise = lambda n: [f"n{r.randrange(200)}" for _ in range(n)]
+    mixed = r.sample(terms, 10)
+    rows = [(1, noise(20) + mixed[:5] + noise(3) + mixed[5:] + noise(20)), (2, noise(5) + mixed[:9] + noise(30)), (3, noise(5) + mixed[:8] + noise(30)), (4, mixed[:5] + noise(30) + mixed[5:]), (5, noise(40)), (None, mixed)]
+    d = spark.createDataFrame([(i, " ".join(w), "x", 0) for i, w in rows] + [(6, None, "x", 0)], "doc_id long, text string, item string, pos int")
+    items = spark.createDataFrame([(1, " ".join(terms)), (2, None)], "item_id long, text string")
+    got = {(x.doc_id, x.name) for x in decontam.near(d, items).collect()}
+    assert got == {(1, "1"), (2, "1"), (None, "1")}
+    for x in decontam.near(d, items, missing=0).collect():
+        words = dict((str(i), w) for i, w in rows)[str(x.doc_id)]
+        assert any(set(terms) <= set(words[s : s + 15]) for s in range(max(0, x.pos - 14), x.pos + 1))
+    assert {x.doc_id for x in decontam.near(d, items, missing=0).collect()} == {1, None}
+    assert decontam.near(d.limit(0), items).count() == 0 and decontam.near(d, items.limit(0)).count() == 0
+
+
 def test_preferences(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, "user", "a"), (3, 0, "user", "a"), (4, 0, "user", "alone"), (None, 0, None, None), (6, None, "user", "x"), (7, None, "user", "y")]
     t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -174,11 +191,77 @@ def test_preferences(spark):
     assert one.prompt == "<|im_start|>user\nhi<|im_end|>\n" and one.chosen_loss[0]["to"] == len(one.chosen)
 
 
-def test_katz_is_normalised_and_handles_odd_rows(spark, docs, none):
-    out = katz.score(docs).collect()
-    assert len(out) == docs.count() and all(r.score <= 1e-9 for r in out)
-    assert {r.n_tokens for r in out if r.doc_id in (102, 103)} == {1}
-    assert katz.score(none).count() == 0
+class Katz:
+    """The model of the docstring, word by word."""
+
+    def __init__(self, texts):
+        import collections
+
+        lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        self.cut = lambda x: re.findall(r"[^\x20\x09-\x0D]+", (x or "").translate(lower)) + [None]  # None: the end
+        self.one, self.two = collections.Counter(), collections.defaultdict(collections.Counter)
+        for x in texts:
+            before = ""
+            for w in self.cut(x):
+                self.one[w] += 1
+                self.two[before][w] += 1
+                before = w
+        self.total = sum(self.one.values())
+        self.d1, self.d2 = self.discounts(self.one.values()), self.discounts([c for x in self.two.values() for c in x.values()])
+
+    @staticmethod
+    def discounts(counts):
+        n = [sum(c == r for c in counts) for r in range(7)]
+        q = 6 * n[6] / n[1] if n[1] else 1.0
+        d = {}
+        for r in range(1, 6):
+            x = ((r + 1) * n[r + 1] / (n[r] * r) - q) / (1 - q) if n[r] and q < 1 else 0
+            d[r] = x if 0 < x < 1 else (r - 0.5) / r
+        return lambda r: d.get(r, 1.0)
+
+    def unigram(self, w):
+        kept = sum(self.d1(c) * c for c in self.one.values())
+        below = self.total if kept < self.total else self.total + 1
+        return self.d1(self.one[w]) * self.one[w] / below if self.one[w] else 1 - kept / below if self.total else 1.0
+
+    def prob(self, h, w):
+        seen = self.two.get(h)
+        if not seen:
+            return self.unigram(w)
+        size, kept = sum(seen.values()), sum(self.d2(c) * c for c in seen.values())
+        below = size if min(seen.values()) <= 5 else size + 1
+        if w in seen:
+            return self.d2(seen[w]) * seen[w] / below
+        return (1 - kept / below) / (1 - sum(self.unigram(v) for v in seen)) * self.unigram(w)
+
+    def score(self, x):
+        import math
+
+        out, before = 0.0, ""
+        for w in self.cut(x):
+            out, before = out + math.log10(self.prob(before, w)), w
+        return out
+
+
+@pytest.mark.parametrize("hot", [300_000, 20])
+def test_katz_by_brute_force(spark, docs, none, hot, monkeypatch):
+    monkeypatch.setattr(katz, "HOT", hot)
+    monkeypatch.setattr(katz, "PARTITION_TOKENS", 300)
+    monkeypatch.setattr(katz, "BATCH_BYTES", 4000)
+    r = random.Random(5)
+    kinds = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(r.choices(kinds, [1 / (k + 1) for k in range(60)], k=r.randrange(0, 60))).replace("w1 ", "W1\n")) for i in range(120)]
+    rows += [(200, None), (201, ""), (None, "w1 w2 never"), (202, "unseen words only"), rows[3], rows[3], (203, " ".join(r.choices(kinds, k=4000)))]
+    d = spark.createDataFrame([(i, x, "x", 1.0) for i, x in rows], "doc_id long, text string, bucket string, score double")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    model = Katz([x for i, x in rows if not held(i)])
+    for h in ("", "w0", "w5", "w59", "w30"):  # every context sums to one over all words, the end and the unknown class
+        assert abs(sum(model.prob(h, w) for w in [*model.one, "an unknown word"]) - 1) < 1e-9
+    got = sorted(((str(x.doc_id), x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.score, 7)) for x in katz.score(d).collect()))
+    want = sorted((str(i), held(i), len(model.cut(x)), sum(model.one[w] > 0 for w in model.cut(x)), model.total, round(model.score(x), 7)) for i, x in rows)
+    assert got == want
+    if hot > 20:
+        assert katz.score(none).count() == 0 and katz.score(docs).count() == docs.count()
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -188,17 +271,52 @@ def test_warc_round_trip(spark, tmp_path):
     sha = lambda t: warczip.base32_sha1(t.encode())
     assert got == [(1, "revisit", 2, 4, sha("same")), (2, "response", None, 4, sha("same")), (3, "revisit", 4, 0, sha("")), (4, "response", None, 0, sha("")), (5, "response", None, 10000, sha("é" * 5000)), (5, "response", None, 10000, sha("é" * 5000))]
     for row in manifest.select("path").distinct().collect():
-        with zipfile.ZipFile(row.path.replace("file:", "")) as z:
+        path = row.path.replace("file:", "")
+        with zipfile.ZipFile(path) as z:
             file, ours = warczip.open_archive(row.path)
-            assert set(z.namelist()) == {warczip.DATA, warczip.INDEX} == set(ours.members)
+            assert set(z.namelist()) == {warczip.DATA, warczip.INDEX} == set(ours.members) and z.testzip() is None
             start, length = ours.where(warczip.INDEX)
             file.close()
-            with open(row.path.replace("file:", ""), "rb") as f:
-                f.seek(start)
-                assert f.read(length) == z.read(warczip.INDEX)
+            with open(path, "rb") as f:
+                raw = f.read()
+            assert raw[start : start + length] == z.read(warczip.INDEX)
+            assert b"PK\x06\x06" in raw[-140:] and b"PK\x06\x07" in raw[-50:]  # the ZIP64 end record and its locator
+            assert raw[-12:-2] == b"\xff" * 8 + b"\xff\xff" or raw[-6:-2] == b"\xff" * 4  # the plain record points to them
     assert warczip.read_archives(warczip.write_archives(pages.limit(0))).count() == 0
 
 
+def test_many_archives_and_slices(spark, tmp_path, monkeypatch):
+    """Archives end after so many bytes, indexes are read in parts; a null page_id, and columns of clashing names."""
+    monkeypatch.setattr(warczip, "SLICE", 7)
+    rows = [(None if i == 5 else i, f"http://h/{i}", f"text {i % 50} " * 40) for i in range(120)]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, path string, kind int").repartition(2)
+    manifest = warczip.write_archives(pages, f"{tmp_path}/many", archive_bytes=3000)
+    assert manifest.select("path").distinct().count() > 4 and manifest.count() > 8
+    got = sorted(((str(r.page_id), r.url, r.record_type, r.refers_to, r.payload_bytes) for r in warczip.read_archives(manifest).collect()))
+    largest = {}
+    for i, _, x in rows:
+        largest[x] = max(largest.get(x, -1), -1 if i is None else i)
+    want = [(str(i), u, "response" if i == largest[x] else "revisit", None if i == largest[x] else largest[x], len(x)) for i, u, x in rows]
+    assert got == sorted(want)
+
+
+def test_archives_of_other_writers(tmp_path):
+    """Without ZIP64 records, with a comment, and with a name that needs them."""
+    import io
+
+    for comment in (b"", b"PK\x05\x06 a comment"):
+        with zipfile.ZipFile(out := io.BytesIO(), "w", zipfile.ZIP_STORED) as z:
+            z.comment = comment
+            z.writestr("one", b"1" * 100)
+            z.writestr("two", b"22")
+        raw = out.getvalue()
+        ours = warczip.ZipReader(lambda at, n, raw=raw: raw[at : at + n], len(raw))
+        at, n = ours.where("two")
+        assert raw[at : at + n] == b"22" and set(ours.members) == {"one", "two"}
+    with pytest.raises(ValueError):
+        warczip.ZipReader(lambda at, n: b"x" * n, 100)
+
+
 @pytest.mark.parametrize("most", [50_000, 1])
 def test_repeats_by_brute_force(spark, docs, none, most, monkeypatch):
     monkeypatch.setattr(repeats, "COLLECTION", most)
