@@ -69,6 +69,18 @@ def gsd_sql(flight_m: str, sensor_mm: str, focal_mm: str, height_px: str) -> str
     return f"round(({flight_m} * 1e2 * ({sensor_mm} * 0.1e0)) / ({focal_mm} * 0.1e0 * {height_px}), 3)"
 
 
+# Sensor heights in mm by camera model, and that of an unnamed one.
+SENSOR_HEIGHTS = {"FC7303": 24.0, "FC6310": 24.0, "FC220": 24.0, "FC330": 24.0, "default": 24.0, "ZenmuseP1": 24.0}
+
+
+def gsd_of_camera(flight_m: Column, height_px: Column, model: Column, focal_mm: Column, sensor_mm: Column | None = None, own_focal_mm: Column | None = None) -> Column:
+    """Ground sample distance in cm a pixel: the specified focal length and sensor height, else those of the image (its focal length, and its model's sensor); null where neither is known."""
+    table = F.create_map(*[F.lit(x) for k, v in SENSOR_HEIGHTS.items() for x in (k, v)])
+    sensor = F.coalesce(*([sensor_mm] if sensor_mm is not None else []), F.try_element_at(table, model))
+    focal = F.coalesce(focal_mm, *([own_focal_mm] if own_focal_mm is not None else []))
+    return F.round(F.try_divide(flight_m * 100.0 * (sensor * 0.1), focal * 0.1 * height_px), 3)
+
+
 def footprint_sql(lat: str, lon: str, width: str, height: str, gsd: str) -> dict[str, str]:
     """West, south, east and north of an image in metres."""
     e, n = utm_sql(lat, lon)

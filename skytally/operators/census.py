@@ -37,3 +37,11 @@ def report(images: DataFrame, detections: DataFrame) -> DataFrame:
     """One row: images, detections, density and the statistics of bounds()."""
     d = detections.agg(F.count("*").alias("detections"), F.count_distinct("image_id").alias("images_with_detections"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_confidence"))
     return bounds(images).crossJoin(d).withColumn("per_image", F.col("detections") / F.col("images"))  # one row each
+
+
+def removal_by_class(before: DataFrame, after: DataFrame, key: str = "det_key") -> DataFrame:
+    """Per class the detections before and after a removal of duplicates, those removed, their share, and the mean confidence of what stays."""
+    left = after.select(key, F.lit(1).alias("_stays"))
+    rows = before.join(left, key, "left").groupBy("class_name")
+    out = rows.agg(F.count("*").alias("total"), F.count("_stays").alias("kept"), F.avg(F.when(F.col("_stays").isNotNull(), F.col("confidence"))).alias("mean_confidence"))
+    return out.withColumns({"removed": F.col("total") - F.col("kept"), "share": (F.col("total") - F.col("kept")) / F.col("total")})

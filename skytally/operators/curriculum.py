@@ -34,3 +34,15 @@ def included(images: DataFrame, allowed: float, margin: float = 0.1) -> DataFram
     fits = F.col("difficulty") <= allowed + margin
     some = images.agg(F.coalesce(F.bool_or(fits), F.lit(False)).alias("_some"))
     return images.crossJoin(F.broadcast(some)).where(fits | ~F.col("_some")).drop("_some")  # one row
+
+
+def crops_of(crops: DataFrame, classes: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """Crops (class_name, kind) of the classes and kinds asked for; all of either if none are."""
+    for column, wanted in (("class_name", classes), ("kind", kinds)):
+        crops = crops if wanted is None else crops.where(F.col(column).isin(wanted))
+    return crops
+
+
+def crops_to_images(crops: DataFrame, annotations: DataFrame) -> DataFrame:
+    """The annotations that the crops (crop_id, annotation_id) kept by a filter came from, each once, with the number of its crops."""
+    return annotations.join(crops.groupBy(F.col("annotation_id").alias("id")).agg(F.count("*").alias("crops")), "id")

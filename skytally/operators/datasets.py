@@ -44,3 +44,17 @@ def split_counts(rows: DataFrame, splits: tuple[str, ...] = ("train", "val", "te
     """Counts of the three splits, also of missing ones."""
     names = rows.sparkSession.createDataFrame([(s,) for s in splits], "split string")
     return names.join(rows.groupBy("split").agg(F.count("*").alias("n")), "split", "left").select("split", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def merge_configs(paths: DataFrame, names: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Data configurations as one: paths (config, split, path) and names (config, class_id, name) to the different paths of each split, and to names for 0 ... most classes - 1.
+
+    Configurations that name a class differently are refused, unless forced: then all classes get made-up names."""
+    every = names.groupBy("class_id").agg(F.count_distinct("name").alias("kinds"), F.min("name").alias("name"))  # one row a class
+    most = names.groupBy("config").agg(F.count_distinct("class_id").alias("nc")).agg(F.max("nc").alias("nc"))
+    if not force and not every.where("kinds > 1").isEmpty():
+        raise ValueError("the configurations name classes differently")
+    numbers = most.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("nc") - 1)).alias("class_id"))
+    label = F.concat(F.lit("class_"), F.col("class_id").cast("string"))
+    merged = numbers.join(every.select(F.col("class_id").cast("long").alias("class_id"), "name"), "class_id", "left").select("class_id", (label if force else F.coalesce("name", label)).alias("name"))
+    return paths.select("split", "path").distinct(), merged

@@ -64,3 +64,36 @@ def path_metrics(images: DataFrame, by: str = "camp_id", order: str = "coords")
         F.count("*").alias("waypoints"), F.coalesce(F.sum("km"), F.lit(0.0)).alias("total_km"), F.coalesce(F.avg("km"), F.lit(0.0)).alias("mean_km"), F.coalesce(F.max("km"), F.lit(0.0)).alias("max_km"), F.coalesce(F.min("km"), F.lit(0.0)).alias("min_km"),
         F.avg(high).alias("mean_altitude"), F.min(high).alias("min_altitude"), F.max(high).alias("max_altitude"), hours.alias("hours"),
     )
+
+
+def detection_boxes(detections: DataFrame, images: DataFrame) -> DataFrame:
+    """Detections with their box on the ground: zone, west, south, east, north in metres."""
+    one = located(images).select("image_id", "width", "height", "gsd", "zone", "e0", "n0")
+    rows = detections.join(one, "image_id")
+    at = {"west": G.pixel_utm_sql("x1", "y2", "width", "height", "gsd", "e0", "n0"), "east": G.pixel_utm_sql("x2", "y1", "width", "height", "gsd", "e0", "n0")}
+    sides = {"west": at["west"][0], "south": at["west"][1], "east": at["east"][0], "north": at["east"][1]}
+    return rows.select(*detections.columns, "zone", *[F.expr(v).alias(k) for k, v in sides.items()])
+
+
+def duplicate_boxes(detections: DataFrame, images: DataFrame, image_threshold: float, box_threshold: float) -> DataFrame:
+    """det_a > det_b and ciou of detections of one class in overlapping images whose boxes on the ground have a complete IoU above the threshold.
+
+    Boxes meet on a grid of their own size, apart by zone and class, so no image's detections are paired with all of another's."""
+    from . import overlap
+
+    boxes = detection_boxes(detections, images)
+    near = overlap.edges(boxes.select(F.col("det_key").alias("image_id"), F.concat_ws("|", F.col("zone").cast("string"), "class_name").alias("zone"), *overlap.SIDES), box_threshold)
+    of = lambda s: boxes.select(F.col("det_key").alias(f"image_{s}"), F.col("image_id").alias(f"in_{s}"))
+    pairs = near.select("image_a", "image_b", "ciou").join(of("a"), "image_a").join(of("b"), "image_b")
+    links = overlap.edges(footprints(images), image_threshold).select(F.col("image_a").alias("hi"), F.col("image_b").alias("lo"))
+    pairs = pairs.withColumns({"hi": F.greatest("in_a", "in_b"), "lo": F.least("in_a", "in_b")}).join(links, ["hi", "lo"])
+    return pairs.select(F.col("image_a").alias("det_a"), F.col("image_b").alias("det_b"), "ciou")
+
+
+def tile_centres(tiles: DataFrame, images: DataFrame, border: int = 0) -> DataFrame:
+    """Tiles (image_id, x0, y0, x1, y1) with the position of their centre, for images whose border of so many pixels was cut away before they were tiled."""
+    one = located(images).select("image_id", "latitude", "width", "height", "gsd", "zone", "e0", "n0")
+    px = G.pixel_utm_sql(f"((x0 + x1) / 2e0 + {border})", f"((y0 + y1) / 2e0 + {border})", "width", "height", "gsd", "e0", "n0")
+    rows = tiles.join(one, "image_id").withColumns({"east_at": F.expr(px[0]), "north_at": F.expr(px[1])})
+    lat, lon = G.latlon_sql("east_at", "north_at", "zone", "latitude < 0")
+    return rows.withColumns({"lat": F.expr(lat), "lon": F.expr(lon)}).select(*tiles.columns, "lat", "lon")

@@ -81,3 +81,20 @@ def negative_tiles(tiles: DataFrame, ratio: float, most_if_none: int, seed: int
     limit = F.when(F.count_if("has_annotation").over(w) > 0, (F.count_if("has_annotation").over(w) * ratio).cast("long")).otherwise(F.lit(most_if_none))
     rows = tiles.withColumn("_limit", limit).withColumn("_nth", F.row_number().over(W.partitionBy("image_id", "has_annotation").orderBy(shuffle_key("image_id", "tile", seed=seed))))
     return rows.where("has_annotation OR _nth <= _limit").drop("_limit", "_nth")
+
+
+def clusters(rows: DataFrame, features: str, ks: tuple[int, ...] = (3, 5, 7, 9), seed: int = 42) -> DataFrame:
+    """rows with cluster and k: of k-means for each k, that with the best silhouette; features: a column of arrays of numbers. Rows with a null in them have no cluster."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    usable = F.col(features).isNotNull() & F.forall(features, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
+    data = rows.where(usable).withColumn("_v", array_to_vector(F.col(features).cast("array<double>")))
+    best = None
+    for k in ks:
+        found = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(data).transform(data)
+        score = ClusteringEvaluator(featuresCol="_v", predictionCol="cluster").evaluate(found) if found.select("cluster").distinct().count() > 1 else -1.0
+        if best is None or score > best[0]:
+            best = (score, found.withColumn("k", F.lit(k)))
+    return best[1].drop("_v")

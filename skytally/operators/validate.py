@@ -47,3 +47,11 @@ def label_format(line: Column) -> Column:
     """yolo for five values, obb for nine, else unknown."""
     n = F.size(F.split(F.trim(line), r"\s+"))
     return F.when(n == 5, "yolo").when(n == 9, "obb").otherwise("unknown")
+
+
+def yolo_structure(images: DataFrame, labels: DataFrame, classes: int) -> DataFrame:
+    """split, stem and problem: images (split, stem) without label lines, lines (split, stem, class_id) without an image, and lines of classes that the configuration lacks."""
+    lines = labels.groupBy("split", "stem").agg(F.count_if((F.col("class_id") < 0) | (F.col("class_id") >= classes) | F.col("class_id").isNull()).alias("bad"))
+    both = images.select("split", "stem", F.lit(True).alias("image")).join(lines, ["split", "stem"], "full")
+    problems = F.array_compact(F.array(F.when(F.col("bad").isNull(), F.lit("no labels")), F.when(F.col("image").isNull(), F.lit("no image")), F.when(F.col("bad") > 0, F.lit("unknown class"))))
+    return both.select("split", "stem", F.explode(problems).alias("problem"))

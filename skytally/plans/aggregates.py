@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo as G
 from ..operators import census, datasets, flight, labelstudio, metrics, sampling
 from .book import Book
 from .filters import LS
@@ -14,6 +15,30 @@ book = Book()
 QUERIES, SQL = book.queries, book.sql
 
 
+def flight_metrics_sql(steps: int = 6) -> str:
+    """Legs by position and Vincenty's inverse formula, one common table expression a step."""
+    big, flat = f"{G.A!r}::DOUBLE", f"{G.FLATTENING!r}::DOUBLE"
+    parts = [
+        "p AS (SELECT camp_id, altitude, ts, latitude AS lat, longitude AS lon, lag(latitude) OVER w AS lat0, lag(longitude) OVER w AS lon0 FROM images WHERE latitude IS NOT NULL WINDOW w AS (PARTITION BY camp_id ORDER BY latitude, longitude, altitude, file_name))",
+        f"u AS (SELECT *, atan((1 - {flat}) * tan(radians(lat0))) AS u1, atan((1 - {flat}) * tan(radians(lat))) AS u2, radians(lon - lon0) AS l FROM p)",
+        "l0 AS (SELECT *, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2, l AS lam FROM u)",
+    ]
+    for k in range(steps + 1):
+        parts.append(f"a{k} AS (SELECT *, sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM l{k})")
+        parts.append(f"b{k} AS (SELECT *, CASE WHEN ss = 0 THEN 0 ELSE c1 * c2 * sin(lam) / ss END AS sa FROM a{k})")
+        parts.append(f"c{k} AS (SELECT *, 1 - sa * sa AS ca FROM b{k})")
+        parts.append(f"d{k} AS (SELECT *, cs - CASE WHEN ca = 0 THEN 0 ELSE 2 * s1 * s2 / ca END AS cm, {flat} / 16 * ca * (4 + {flat} * (4 - 3 * ca)) AS cc FROM c{k})")
+        parts.append(f"l{k + 1} AS (SELECT * EXCLUDE (lam, ss, cs, sa, ca, cm, cc), l + (1 - cc) * {flat} * sa * (atan2(ss, cs) + cc * ss * (cm + cc * cs * (2 * cm * cm - 1))) AS lam FROM d{k})")
+    b = f"({big} * (1 - {flat}))"
+    parts.append(f"e AS (SELECT *, ca * ({big} * {big} - {b} * {b}) / ({b} * {b}) AS usq FROM d{steps})")
+    parts.append("f AS (SELECT *, 1 + usq / 16384 * (4096 + usq * (-768 + usq * (320 - 175 * usq))) AS aa, usq / 1024 * (256 + usq * (-128 + usq * (74 - 47 * usq))) AS bb FROM e)")
+    parts.append(f"g AS (SELECT *, {b} * aa * (atan2(ss, cs) - bb * ss * (cm + bb / 4 * (cs * (2 * cm * cm - 1) - bb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) / 1000 AS km FROM f)")
+    high = "CASE WHEN altitude > 0 THEN altitude END"
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT camp_id, count(*) AS waypoints, round(coalesce(sum(km), 0), 6) AS total_km, round(coalesce(avg(km), 0), 6) AS mean_km, round(coalesce(max(km), 0), 6) AS max_km, round(coalesce(min(km), 0), 6) AS min_km,
+ round(avg({high}), 6) AS mean_altitude, round(min({high}), 6) AS min_altitude, round(max({high}), 6) AS max_altitude, round((epoch_us(max(ts)::TIMESTAMP) - epoch_us(min(ts)::TIMESTAMP)) / 3.6e9, 6) AS hours FROM g GROUP BY camp_id"""
+
+
 @book.query(
     "images detections",
     """SELECT dataset, class_name, count(*) AS detections, count(DISTINCT image_id) AS images, round(avg(confidence), 6) AS mean_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence
@@ -41,7 +66,7 @@ def a06_footprint_counts(images: DataFrame, d: DataFrame) -> DataFrame:
     return rows.groupBy("dataset").agg(F.count_if(F.col("latitude").isNotNull()).alias("with_footprint"), F.count_if(F.col("latitude").isNull()).alias("without"), F.coalesce(F.sum("n"), F.lit(0)).alias("detections"))
 
 
-@book.query("images", None)
+@book.query("images", flight_metrics_sql())
 def a08_w01_w11_flight_metrics(images: DataFrame) -> DataFrame:
     out = flight.path_metrics(images)
     return out.select("camp_id", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes if c != "camp_id"])
@@ -132,14 +157,28 @@ def a24_x10_threshold_grid(g: DataFrame) -> DataFrame:
     return metrics.grid(g, [0.5, 0.6, 0.7, 0.8, 0.9]).select("threshold", "tp", "fp", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
-@book.query("gt_pred", None)
+@book.query(
+    "gt_pred",
+    f"""WITH RECURSIVE {MATCH_SQL}, t AS (SELECT unnest([0.5e0, 0.6e0, 0.7e0, 0.8e0, 0.9e0]) AS threshold), s AS (SELECT p.score, z.pred_key IS NOT NULL AS hit FROM p LEFT JOIN z ON z.pred_key = p.det_key),
+n AS (SELECT threshold, count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit) AS fp FROM t JOIN s ON score >= threshold GROUP BY 1), k AS (SELECT count(*) AS gts FROM g),
+q AS (SELECT threshold, tp, fp, tp / (tp + fp + 1e-6) AS precision, tp / (gts + 1e-6) AS recall FROM n, k), b AS (SELECT *, 2 * precision * recall / (precision + recall + 1e-6) AS f1 FROM q)
+SELECT threshold, tp, fp, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM b ORDER BY b.f1 DESC, threshold LIMIT 1""",
+)
 def w08_best_threshold(g: DataFrame) -> DataFrame:
-    return metrics.best_threshold(metrics.grid(g, [0.5, 0.6, 0.7, 0.8, 0.9]))
+    best = metrics.best_threshold(metrics.grid(g, [0.5, 0.6, 0.7, 0.8, 0.9]))
+    return best.select("threshold", "tp", "fp", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@book.query("gt_pred", None)
+@book.query(
+    "gt_pred",
+    f"""WITH RECURSIVE {MATCH_SQL}, s AS (SELECT p.class_name, p.score, count(*) AS n, count(z.pred_key) AS hits FROM p LEFT JOIN z ON z.pred_key = p.det_key GROUP BY 1, 2),
+r AS (SELECT *, (sum(hits) OVER w)::DOUBLE / sum(n) OVER w AS precision FROM s WINDOW w AS (PARTITION BY class_name ORDER BY score DESC)),
+b AS (SELECT *, max(precision) OVER (PARTITION BY class_name ORDER BY score DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM r),
+k AS (SELECT class_name, count(*) AS gts FROM g GROUP BY 1)
+SELECT class_name, round(sum(hits * best) / any_value(gts), 9) AS ap FROM b JOIN k USING (class_name) GROUP BY class_name""",
+)
 def a25_a35_average_precision(g: DataFrame) -> DataFrame:
-    return metrics.average_precision(g)
+    return metrics.average_precision(g).select("class_name", F.round("ap", 9).alias("ap"))
 
 
 @book.query(

@@ -213,7 +213,7 @@ def j18_a28_duplicate_distances(d: DataFrame) -> DataFrame:
     return pairs.groupBy("grp").agg(F.count("*").alias("pairs"), *[F.round(f("dist"), 6).alias(n) for f, n in ((F.avg, "mean"), (F.max, "max"), (F.min, "min"), (F.stddev_pop, "std"))])
 
 
-@book.query("gt_pred", "SELECT g.det_key, g.class_name, round(p.score, 6) AS score FROM gt_pred g JOIN gt_pred p USING (det_key) WHERE g.role = 'gt' AND p.role = 'pred'")
+@book.query("gt_pred", "SELECT det_key, max(class_name) FILTER (role = 'gt') AS class_name, round(max(score) FILTER (role = 'pred'), 6) AS score FROM gt_pred GROUP BY det_key HAVING count(*) = 2")
 def j19_results_by_id(g: DataFrame) -> DataFrame:
     p = g.where("role = 'pred'").select("det_key", F.round("score", 6).alias("score"))
     return g.where("role = 'gt'").select("det_key", "class_name").join(p, "det_key")

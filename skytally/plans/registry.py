@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import aggregates, filters, joins, projections, windows
+from . import aggregates, files, filters, joins, more, projections, windows
 
-MODULES = (projections, filters, joins, aggregates, windows)
+MODULES = (projections, filters, joins, aggregates, windows, more, files)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}

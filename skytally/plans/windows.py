@@ -32,7 +32,15 @@ def w02_nms(d: DataFrame) -> DataFrame:
     return greedy.nms(d, 0.5).select("image_id", "det_key")
 
 
-@book.query("dense", None)
+BOX_TYPE = "STRUCT(k BIGINT, x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT, hx1 BIGINT, hy1 BIGINT, hx2 BIGINT, hy2 BIGINT, merged BIGINT)"
+NMM_SQL = f"""o AS (SELECT image_id, list(struct_pack(k := det_key, x1 := x1, y1 := y1, x2 := x2, y2 := y2) ORDER BY confidence DESC, det_key) AS l FROM dense GROUP BY 1),
+m AS (SELECT image_id, l, 1 AS i, []::{BOX_TYPE}[] AS kept FROM o UNION ALL
+ SELECT image_id, l, i + 1, CASE WHEN coalesce(place, 0) = 0 THEN list_append(kept, struct_pack(k := l[i].k, x1 := l[i].x1, y1 := l[i].y1, x2 := l[i].x2, y2 := l[i].y2, hx1 := l[i].x1, hy1 := l[i].y1, hx2 := l[i].x2, hy2 := l[i].y2, merged := 1::BIGINT))
+  ELSE list_transform(kept, lambda b, j: CASE WHEN j = place THEN struct_pack(k := b.k, x1 := b.x1, y1 := b.y1, x2 := b.x2, y2 := b.y2, hx1 := least(b.hx1, l[i].x1), hy1 := least(b.hy1, l[i].y1), hx2 := greatest(b.hx2, l[i].x2), hy2 := greatest(b.hy2, l[i].y2), merged := b.merged + 1) ELSE b END) END
+ FROM (SELECT *, list_position(list_transform(kept, lambda b: {IOU_SQL.format(a='b.', b='l[i].')} > 0.5), true) AS place FROM m WHERE i <= len(l)))"""
+
+
+@book.query("dense", f"WITH RECURSIVE {NMM_SQL} SELECT image_id, b.k AS det_key, b.hx1 AS x1, b.hy1 AS y1, b.hx2 AS x2, b.hy2 AS y2, b.merged AS merged FROM (SELECT image_id, unnest(kept) AS b FROM m WHERE i = len(l) + 1)")
 def w02b_nmm(d: DataFrame) -> DataFrame:
     return greedy.nmm(d, 0.5).select("image_id", "det_key", "x1", "y1", "x2", "y2", "merged")
 

@@ -21,23 +21,31 @@ def images(spark: SparkSession, folder: str, extensions: tuple[str, ...] = schem
     return found
 
 
+def matching(spark: SparkSession, folder: str, patterns: tuple[str, ...]) -> DataFrame:
+    """path of the files below a folder whose names match one of the patterns (with * and ?) in lower or upper case; each once."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    any_of = "|".join(re.escape(p.lower()).replace(r"\*", ".*").replace(r"\?", ".") for p in patterns)
+    return files.where(F.lower(F.regexp_extract("path", r"([^/]+)$", 1)).rlike(f"^(?:{any_of})$")).distinct()
+
+
 def coco(spark: SparkSession, path: str, split: str | None = None) -> dict[str, DataFrame]:
     """images, annotations (with x, y, w, h) and categories of COCO files, each with its file and split."""
     raw = spark.read.schema(schemas.COCO).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
-    name = F.lit(split) if split else F.regexp_extract("file", r"(train|val|test)[^/]*$", 1)
+    found = [F.nullif(F.regexp_extract("file", p, 1), F.lit("")) for p in (r"(train|val|test)[^/]*$", r"(train|val|test)[^/]*/[^/]*$")]  # of the file's name, else of its folder's
+    name = F.lit(split) if split else F.coalesce(*found, F.lit(""))
     part = lambda c: raw.select("file", name.alias("split"), F.explode(c).alias("r")).select("file", "split", "r.*")
     a = part("annotations")
     return {"images": part("images"), "annotations": a.select("*", *[F.get("bbox", F.lit(i)).alias(k) for i, k in enumerate("xywh")]), "categories": part("categories")}
 
 
 def yolo(spark: SparkSession, folder: str) -> DataFrame:
-    """stem, split, line, class_id, cx, cy, w, h, polygon and raw of the label lines below a folder (labels/split/stem.txt)."""
+    """stem, split, class_id, cx, cy, w, h, polygon and raw of the label lines below a folder: labels/split/stem.txt, or files of many images below labels/split=..., in which the stem and a tab precede each line."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder).withColumn("file", F.col("_metadata.file_path"))
-    raw = raw.where(F.trim("value") != "")
+    raw = raw.where(F.trim("value") != "").withColumn("own", F.regexp_extract("value", r"^([^\t]*)\t", 1)).withColumn("value", F.regexp_replace("value", r"^[^\t]*\t", ""))
     t = F.split(F.trim("value"), r"\s+")
     numbers = F.transform(F.slice(t, 2, F.size(t)), lambda x: x.try_cast("double"))
     return raw.select(
-        F.regexp_extract("file", r"([^/]+)\.txt$", 1).alias("stem"), F.regexp_extract("file", r"/labels/(?:(.+)/)?[^/]+$", 1).alias("split"), F.get(t, 0).try_cast("int").alias("class_id"),
+        F.coalesce(F.nullif("own", F.lit("")), F.regexp_extract("file", r"([^/]+)\.txt$", 1)).alias("stem"), F.regexp_extract("file", r"/labels/(?:(?:split=)?(.+)/)?[^/]+$", 1).alias("split"), F.get(t, 0).try_cast("int").alias("class_id"),
         *[F.get(numbers, F.lit(i)).alias(k) for i, k in enumerate(("cx", "cy", "w", "h"))], F.when(F.size(t) > 5, numbers).alias("polygon"), F.col("value").alias("raw"),
     )
 
@@ -83,9 +91,9 @@ def label_map(spark: SparkSession, config: str) -> DataFrame:
     return spark.createDataFrame([(i, n) for i, n in enumerate(names, 1)], "category_id long, name string")
 
 
-def results(spark: SparkSession, path: str) -> DataFrame:
-    """Per-image results, as lines or as one array."""
-    return spark.read.schema(schemas.DETECTIONS).option("multiLine", True).json(path)
+def results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Per-image results, as one array or, which Spark can split, as lines."""
+    return spark.read.schema(schemas.DETECTIONS).option("multiLine", not lines).json(path)
 
 
 def duplicates(spark: SparkSession, path: str) -> DataFrame:
@@ -94,8 +102,8 @@ def duplicates(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumnsRenamed({"image": "task_id", "bounding box": "bbox_id"}).select("duplicate", "bbox_id", "task_id", "species")
 
 
-def roi_labels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.ROI_LABELS).option("multiLine", True).json(path)
+def roi_labels(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return spark.read.schema(schemas.ROI_LABELS).option("multiLine", not lines).json(path)
 
 
 def tile_positions(spark: SparkSession, path: str) -> DataFrame:

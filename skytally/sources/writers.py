@@ -33,9 +33,36 @@ def coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path:
 
 
 def yolo(annotations: DataFrame, images: DataFrame, path: str) -> None:
-    """Label lines in folders split=.../stem=...; annotations (image_id, class_id, x, y, w, h), images (image_id, split, stem, width, height)."""
+    """Label lines in folders labels/split=..., each line after its image's stem and a tab: many images share a file, since a file an image would make as many files as images.
+
+    annotations (image_id, class_id, x, y, w, h), images (image_id, split, stem, width, height)."""
     rows = annotations.join(images, "image_id")
-    rows.select("split", "stem", yolo_line("class_id", "x", "y", "w", "h", "width", "height").alias("value")).repartition("split", "stem").write.mode("overwrite").partitionBy("split", "stem").text(path)
+    line = F.concat_ws("\t", "stem", yolo_line("class_id", "x", "y", "w", "h", "width", "height"))
+    rows.select("split", "stem", line.alias("value")).repartitionByRange("split", "stem").sortWithinPartitions("split", "stem").select("split", "value").write.mode("overwrite").partitionBy("split").text(f"{path}/labels")
+
+
+def data_config(names: dict[int, str], splits: dict[str, list[str]]) -> str:
+    """The text of a data.yaml: the paths of each split, the number of classes and their names."""
+    lines = [f"{k}: [{', '.join(repr(p) for p in v)}]" for k, v in splits.items()]
+    return "\n".join([*lines, f"nc: {len(names)}", "names:", *[f"  {i}: {n}" for i, n in sorted(names.items())]]) + "\n"
+
+
+def detection_report(detections: DataFrame, images: DataFrame, path: str) -> None:
+    """latitude, longitude, altitude, image_path and class_name of each detection, as CSV with a header."""
+    rows = detections.join(images.select("image_id", "file_name", "latitude", "longitude", "altitude"), "image_id")
+    rows.select("latitude", "longitude", "altitude", F.col("file_name").alias("image_path"), "class_name").write.mode("overwrite").csv(path, header=True)
+
+
+def roi_files(rois: DataFrame, path: str) -> None:
+    """labels (a row a region), class_map and statistics (regions a class) below path, as JSON lines."""
+    json_lines(rois.select("roi_id", "class_id", "class_name", "original_annotation_id", "file_name"), f"{path}/labels")
+    json_lines(rois.select("class_id", "class_name").distinct(), f"{path}/class_map")
+    json_lines(rois.groupBy("class_name").agg(F.count("*").alias("n")), f"{path}/statistics")
+
+
+def tile_positions(tiles: DataFrame, path: str) -> None:
+    """image_id, x0, y0, x1, y1, lat and lon of each tile, as CSV with a header."""
+    tiles.select("image_id", "x0", "y0", "x1", "y1", "lat", "lon").write.mode("overwrite").csv(path, header=True)
 
 
 def geojson(points: DataFrame, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,3 +25,14 @@ def window_counts(events: DataFrame, length: str = "1 day", late: str = "2 days"
         events = events.withWatermark("ts", late)
     out = events.groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "mean")
+
+
+def status(query: StreamingQuery) -> dict:
+    """A stream's state for whoever polls it: its id, whether it runs, batches and rows done, and what stopped it."""
+    done = query.recentProgress
+    return {"id": str(query.id), "active": query.isActive, "batches": len(done), "rows": sum(p["numInputRows"] for p in done), "message": query.status["message"], "error": str(query.exception() or "")}
+
+
+def infer(rows: DataFrame, predict: Callable, schema: str) -> DataFrame:
+    """predict over a table or stream in Arrow batches: it gets an iterator of pandas frames, in which it may keep a model, and yields frames of schema. Spark bounds what waits between the steps."""
+    return rows.mapInPandas(predict, schema)

@@ -128,3 +128,60 @@ def test_flight_path_of_one_image(spark):
     one = frame(spark, [(1, "f", 10, 10, 1.0, 2.0, 50.0, "c", "d")], "image_id long, file_name string, width int, height int, latitude double, longitude double, altitude double, camp_id string, dataset string").withColumn("ts", F.current_timestamp())
     r = flight.path_metrics(one).first()
     assert r.total_km == 0.0 and r.waypoints == 1
+
+
+def test_merged_configurations(spark):
+    paths = frame(spark, [("a", "train", "x"), ("b", "train", "x"), ("b", "val", "y")], "config string, split string, path string")
+    names = frame(spark, [("a", 0, "deer"), ("b", 0, "deer"), ("b", 2, "elk"), ("b", 1, "fox")], "config string, class_id int, name string")
+    one, two = datasets.merge_configs(paths, names)
+    assert sorted(map(tuple, one.collect())) == [("train", "x"), ("val", "y")] and sorted(map(tuple, two.collect())) == [(0, "deer"), (1, "fox"), (2, "elk")]
+    other = names.unionByName(frame(spark, [("c", 0, "hare")], "config string, class_id int, name string"))
+    with pytest.raises(ValueError):
+        datasets.merge_configs(paths, other)
+    assert sorted(map(tuple, datasets.merge_configs(paths, other, force=True)[1].collect())) == [(0, "class_0"), (1, "class_1"), (2, "class_2")]
+
+
+def test_clusters_of_separate_points(spark):
+    rows = [(i, [10.0 * (i % 3) + 0.01 * i, 0.0]) for i in range(30)] + [(99, None), (98, [None, 1.0])]
+    out = sampling.clusters(frame(spark, rows, "id long, v array<double>"), "v", (2, 3, 5)).collect()
+    assert {r.k for r in out} == {3} and len(out) == 30 and len({(r.id % 3, r.cluster) for r in out}) == 3
+
+
+def test_duplicate_boxes_meet_across_images(spark):
+    images = frame(spark, [(1, 4000, 3000, -24.0, 31.5), (2, 4000, 3000, -24.0, 31.5001), (3, 4000, 3000, -24.2, 31.5)], "image_id long, width int, height int, latitude double, longitude double")
+    e = {r.image_id: r.e0 for r in flight.located(images).collect()}
+    gsd = flight.located(images).first().gsd * 0.01
+    shift = round((e[2] - e[1]) / gsd)
+    d = frame(spark, [(1, 1, 2000, 500, 2100, 600, "a"), (2, 2, 2000 - shift, 500, 2100 - shift, 600, "a"), (2, 3, 2000 - shift, 500, 2100 - shift, 600, "b"), (3, 4, 2000, 500, 2100, 600, "a"), (1, 5, 2000, 500, 2100, 600, "a")], "image_id long, det_key long, x1 long, y1 long, x2 long, y2 long, class_name string")
+    got = {(r.det_a, r.det_b) for r in flight.duplicate_boxes(d, images, 0.2, 0.5).collect()}
+    assert got == {(2, 1), (5, 2)}
+
+
+def test_extension_points(spark):
+    from skytally import extension
+
+    rows = frame(spark, [(i % 3, i, i * 100 % 7, 0, 50, 50, i / 9, "a") for i in range(9)], BOXES)
+    p = extension.Pipeline().add("drop", lambda df: df.where("det_key > 0")).add("mark", lambda df: df.withColumn("kept", F.lit(True))).add("first", lambda df: df.limit(4), before="mark")
+    assert p(rows).columns[-1] == "kept" and [n for n, _ in p.history[0]] == ["drop", "first", "mark"]
+    p.remove("first")
+    assert p(rows).count() == 8 and len(p.history) == 2
+    with pytest.raises(ValueError):
+        p.add("mark", lambda df: df)
+    assert extension.samplers["random"](rows, 3).count() == 3 and "nms" in extension.removals and extension.removals["nms"](rows, 0.5).count() >= 1
+    with pytest.raises(KeyError):
+        extension.overlaps["unknown"]
+
+    @extension.converters.register("nothing")
+    def nothing(spark, path):
+        return {}
+
+    with pytest.raises(ValueError):
+        extension.converters.register("nothing")(nothing)
+    assert extension.converters["nothing"](spark, "") == {}
+
+
+def test_sensor_of_the_model(spark):
+    rows = frame(spark, [("FC330", 10.0), ("unknown", 10.0), (None, 10.0), ("FC330", None)], "model string, own double")
+    got = [r[0] for r in rows.select(G.gsd_of_camera(F.lit(100.0), F.lit(1000), F.col("model"), F.lit(None).cast("double"), None, F.col("own"))).collect()]
+    assert got == [24.0, None, None, None]
+

@@ -61,3 +61,36 @@ def test_stream(spark, tmp_path):
     ingest.append(s, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     r = ingest.window_counts(spark.read.parquet(f"{tmp_path}/out")).first()
     assert (r.n, r["mean"]) == (2, 2.0) and schemas.GPS
+
+
+def test_yolo_files_of_many_images(spark, tmp_path):
+    images = spark.createDataFrame([(i, "train" if i else "val", f"img {i}", 100, 100) for i in range(5)], "image_id long, split string, stem string, width int, height int")
+    a = spark.createDataFrame([(i, 2, 10 * k, 10, 20, 20) for i in range(5) for k in range(2)], "image_id long, class_id long, x int, y int, w int, h int")
+    writers.yolo(a, images, f"{tmp_path}/set")
+    got = sorted((r.stem, r.split, r.class_id, round(r.cx, 6), r.polygon) for r in readers.yolo(spark, f"{tmp_path}/set").collect())
+    assert got == [(f"img {i}", "train" if i else "val", 2, round(0.2 + 0.1 * k, 6), None) for i in range(5) for k in range(2)]
+    assert readers.yolo_names(writers.data_config({0: "deer", 1: "elk"}, {"train": ["a"]})) == {0: "deer", 1: "elk"}
+
+
+def test_patterns_in_either_case(spark, tmp_path):
+    for name in ("a.jpg", "b.JPG", "c.png", "d.txt", "ajpg"):
+        (tmp_path / name).write_bytes(b"x")
+    got = {r.path.rsplit("/", 1)[-1] for r in readers.matching(spark, str(tmp_path), ("*.jpg", "?.PNG")).collect()}
+    assert got == {"a.jpg", "b.JPG", "c.png"}
+
+
+def test_status_and_inference_of_a_stream(spark, tmp_path):
+    writers.json_lines(spark.createDataFrame([(i,) for i in range(6)], "v int"), f"{tmp_path}/in")
+
+    def twice(frames):
+        for f in frames:
+            f["v"] *= 2
+            yield f
+
+    stream = ingest.infer(ingest.follow(spark, f"{tmp_path}/in", "v int"), twice, "v int")
+    query = ingest.append(stream, f"{tmp_path}/out", f"{tmp_path}/check")
+    query.awaitTermination()
+    told = ingest.status(query)
+    assert not told["active"] and told["rows"] == 6 and told["error"] == ""
+    assert sorted(r.v for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 2, 4, 6, 8, 10]
+
