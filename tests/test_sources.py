@@ -68,7 +68,7 @@ def test_yolo_files_of_many_images(spark, tmp_path):
     a = spark.createDataFrame([(i, 2, 10 * k, 10, 20, 20) for i in range(5) for k in range(2)], "image_id long, class_id long, x int, y int, w int, h int")
     writers.yolo(a, images, f"{tmp_path}/set")
     got = sorted((r.stem, r.split, r.class_id, round(r.cx, 6), r.polygon) for r in readers.yolo(spark, f"{tmp_path}/set").collect())
-    assert got == [(f"img {i}", "train" if i else "val", 2, round(0.2 + 0.1 * k, 6), None) for i in range(5) for k in range(2)]
+    assert got == [(f"img {i}", "train" if i else "val", 2, round(0.1 + 0.1 * k, 6), None) for i in range(5) for k in range(2)]
     assert readers.yolo_names(writers.data_config({0: "deer", 1: "elk"}, {"train": ["a"]})) == {0: "deer", 1: "elk"}
 
 
