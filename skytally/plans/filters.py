@@ -128,10 +128,16 @@ def f22_loss_sampling(d: DataFrame) -> DataFrame:
     return sampling.cascade(d, [F.expr("(x2 - x1) * (y2 - y1) >= 5000"), F.col("confidence").between(0.6, 0.8)], "image_id", 2).select("det_key", "nth")
 
 
-@book.query("events", "SELECT event_id, user_id, event_type AS status FROM events WHERE event_type = 'click' AND user_id % 5 = 0 ORDER BY ts DESC, event_id LIMIT 50 OFFSET 10")
+@book.query("events", "SELECT event_id, user_id, event_type AS status FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 10")
 def f24_o02_jobs(e: DataFrame) -> DataFrame:
     """A page of the newest jobs of a status."""
-    return e.where("event_type = 'click' AND user_id % 5 = 0").orderBy(F.desc("ts"), "event_id").offset(10).limit(50).select("event_id", "user_id", F.col("event_type").alias("status"))
+    return e.where("event_type = 'click'").orderBy(F.desc("ts"), "event_id").offset(10).limit(50).select("event_id", "user_id", F.col("event_type").alias("status"))
+
+
+@book.query("events", "SELECT event_id, event_type AS status FROM events WHERE user_id = 7")
+def f24_jobs_of_user(e: DataFrame) -> DataFrame:
+    """All jobs of one user."""
+    return e.where(F.col("user_id") == 7).select("event_id", F.col("event_type").alias("status"))
 
 
 @book.query("events", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'cancelled' ELSE event_type END AS status FROM events WHERE NOT (event_type = 'purchase' AND ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY)")

@@ -197,20 +197,19 @@ def j17_a21_label_histogram(images: DataFrame, d: DataFrame) -> DataFrame:
     return per.join(images.select("image_id", "camp_id"), "image_id").groupBy("camp_id", "class_name").agg(F.sum("n").alias("n"))
 
 
-DUPLICATES = "(SELECT det_key % 500 AS grp, det_key, (x1 + x2) / 2e0 AS cx, (y1 + y2) / 2e0 AS cy FROM detections WHERE det_key % 500 < 40 AND det_key % 7 = 0)"
-
-
 @book.query(
     "detections",
-    f"""WITH b AS {DUPLICATES}, p AS (SELECT a.grp, sqrt(pow(a.cx - c.cx, 2) + pow(a.cy - c.cy, 2)) AS dist FROM b a JOIN b c ON a.grp = c.grp AND a.det_key < c.det_key)
-SELECT grp, count(*) AS pairs, round(avg(dist), 6) AS mean, round(max(dist), 6) AS max, round(min(dist), 6) AS min, round(stddev_pop(dist), 6) AS std FROM p GROUP BY 1""",
+    """WITH b AS (SELECT image_id, class_name, det_key, (x1 + x2) / 2e0 AS cx, (y1 + y2) / 2e0 AS cy FROM detections),
+p AS (SELECT a.image_id, a.class_name, sqrt(pow(a.cx - c.cx, 2) + pow(a.cy - c.cy, 2)) AS dist FROM b a JOIN b c ON a.image_id = c.image_id AND a.class_name = c.class_name AND a.det_key < c.det_key)
+SELECT image_id, class_name, count(*) AS pairs, round(avg(dist), 6) AS mean, round(max(dist), 6) AS max, round(min(dist), 6) AS min, round(stddev_pop(dist), 6) AS std FROM p GROUP BY 1, 2""",
 )
 def j18_a28_duplicate_distances(d: DataFrame) -> DataFrame:
-    b = d.where("det_key % 500 < 40 AND det_key % 7 = 0").select(F.expr("det_key % 500").alias("grp"), "det_key", F.expr("(x1 + x2) / 2e0").alias("cx"), F.expr("(y1 + y2) / 2e0").alias("cy"))
-    c = b.toDF("grp", "other", "ox", "oy")
+    """Distances within groups of duplicates: all detections of one class in one image."""
+    b = d.select("image_id", "class_name", "det_key", F.expr("(x1 + x2) / 2e0").alias("cx"), F.expr("(y1 + y2) / 2e0").alias("cy"))
+    c = b.toDF("image_id", "class_name", "other", "ox", "oy")
     dist = F.sqrt(F.pow(F.col("cx") - F.col("ox"), 2.0) + F.pow(F.col("cy") - F.col("oy"), 2.0))
-    pairs = b.join(c, "grp").where("det_key < other").select("grp", dist.alias("dist"))
-    return pairs.groupBy("grp").agg(F.count("*").alias("pairs"), *[F.round(f("dist"), 6).alias(n) for f, n in ((F.avg, "mean"), (F.max, "max"), (F.min, "min"), (F.stddev_pop, "std"))])
+    pairs = b.join(c, ["image_id", "class_name"]).where("det_key < other").select("image_id", "class_name", dist.alias("dist"))
+    return pairs.groupBy("image_id", "class_name").agg(F.count("*").alias("pairs"), *[F.round(f("dist"), 6).alias(n) for f, n in ((F.avg, "mean"), (F.max, "max"), (F.min, "min"), (F.stddev_pop, "std"))])
 
 
 @book.query("gt_pred", "SELECT det_key, max(class_name) FILTER (role = 'gt') AS class_name, round(max(score) FILTER (role = 'pred'), 6) AS score FROM gt_pred GROUP BY det_key HAVING count(*) = 2")
