@@ -7,7 +7,7 @@ The statistics are frozen after training. A text's language is the one with the
 
 Because the statistics are frozen, the code lengths are a table (context, byte) -> bits per language, which is built once in each Python worker from the counts and applied to
 whole Arrow buffers. Training takes whole documents whose hash is below a threshold per language, SAMPLE_BYTES of all languages together on average, never more than twice that;
-nothing else depends on the size of the corpus.
+nothing else depends on the size of the corpus. A document longer than its language's share is not a training document; a language all of whose documents are that long is not learned.
 
 Defined results. A null text or one without a letter is `und` with score 0; so is every text if there is nothing to learn from. A null lang is not learned from. A null doc_id is not held out. Ties go
 to the language first by code point. Repeated rows each return a row. Columns of other names are ignored.

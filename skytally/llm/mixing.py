@@ -6,7 +6,7 @@ give each document's position in its source without any task holding a source. A
 is repeated in whole epochs; the last epoch is cut at the exact budget.
 
 Defined results. A null text or one without words has size 0 and is never taken. A null source is a source of its own, ordered last.
-Documents with equal doc_id have equal keys and are ordered by size; rows that are equal in everything are interchangeable, so
+Documents with equal doc_id have equal keys and are ordered by size, then by a hash of the text; rows that are equal in these are interchangeable, so
 a rerun returns the same rows. An empty table gives no rows. Columns of other names pass through, also those that clash with the added ones: they lie in a struct until
 the end, and added columns replace them.
 """
@@ -54,6 +54,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[float, ..
         F.concat(F.when(docs["source"].isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce(docs["source"].cast("string"), F.lit(""))).alias("s"),
         F.coalesce(F.regexp_count(docs["text"], F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
         key.alias("key"),
+        F.xxhash64(docs["text"], docs["source"]).alias("tie"),
     ).withColumn("range", F.substring("key", 1, digits))
     if "text" not in keep:
         rows = materialise(rows)  # narrow: the texts are read once
@@ -62,7 +63,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[float, ..
     goal = targets(ranges.groupBy("s").agg(F.sum("in_range").alias("source_size")), weights, most)
     before = F.coalesce(F.sum("in_range").over(W.partitionBy("s").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = ranges.select("s", "range", before.alias("before")).join(goal, "s")
-    within = W.partitionBy("s", "range").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("s", "range").orderBy("key", "id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["s", "range"])
     epochs = F.least(F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))), F.lit(most))
     rest = F.when(F.col("epochs") < most, F.floor(F.col("target") - F.col("epochs") * F.col("source_size"))).otherwise(F.lit(0))

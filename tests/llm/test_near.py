@@ -12,7 +12,7 @@ from skytally.llm.tokens import LOWER
 
 
 #: words of a text, share of them changed, least share of such pairs that meet
-RECALL = [(n, s, 0) for n in (10, 20, 40, 100, 400) for s in (0.05, 0.1, 0.15, 0.2)]
+RECALL = [(10, 0.05, 0.95), (10, 0.1, 0.6), (20, 0.1, 0.95), (20, 0.15, 0.8), (20, 0.2, 0.55), (40, 0.15, 0.9), (40, 0.2, 0.7), (100, 0.15, 0.95), (100, 0.2, 0.83), (400, 0.1, 0.98), (400, 0.15, 0.97), (400, 0.2, 0.86)]
 
 
 def words(r, n, kinds=5000):
