@@ -14,7 +14,7 @@ from .common import drop_table, is_empty, is_small, lookup, lookup_hot, material
 #: Members up to which all pairs of a bucket are tested at once; leaders of a larger one, about, in the first round after that of one leader; GROWTH times as many in each that follows.
 DIRECT, LEADERS, GROWTH = 4, 16, 16
 #: Edits that the alignment allows for at first, before those that the similarity allows.
-BANDS = (16, 128, 1024)
+BANDS = (16, 128, 1024, 4096, 16384)
 
 Verify = Callable[[DataFrame], DataFrame]
 Verifier = Callable[[str, DataFrame], Verify]
