@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,25 +33,32 @@ def link(items: DataFrame, keys: Sequence[Column], verifier: Verifier, folder: s
     In buckets of at most DIRECT members every two are held against each other. In a larger one whose members are not all connected yet, all are held against the least id, so large groups of copies are
     connected by as many pairs as there are members; where that leaves several groups, every member is a leader in its turn, LEADERS and more at a time in the order of a hash, and is held against all later
     members that are not connected with it. So each pair that shares a bucket is tested, or connected already, unless the sizes rule it out. A bucket of n unlike members costs up to n * n / 2 tests."""
-    edges: list[DataFrame] = []
-    roots = None
+    rooted, at = items.withColumn("root", F.col("id")), ""
     for nth, key in enumerate(keys):
         own = f"{folder}/key{nth}"
-        rows = items.withColumn("root", F.col("id"))
-        if roots is not None:
-            known = roots.withColumnRenamed("root", "_root")
-            rows = items.join(F.broadcast(known) if is_small(roots, 16) else known, "id", "left").withColumn("root", F.coalesce("_root", "id"))  # one row an id
-        rows = rows.select(F.explode(key).alias("bucket"), "id", "size", "root")
-        found = [e for e in link_once(rows, verifier, own, f"{folder}/links{nth}", similarity) if not is_empty(e)]
-        if found:
-            edges += found
-            roots = components(reduce(DataFrame.unionAll, edges), folder)
+        rows = rooted.select(F.explode(key).alias("bucket"), "id", "size", "root")
+        maps = link_once(rows, verifier, own, similarity)
+        if maps:
+            for now in maps:
+                rooted = moved(rooted, now)
+            rooted = materialise(rooted, folder, f"rooted{nth}")
+            if at:
+                drop_table(items.sparkSession, at)
+            at = f"{folder}/rooted{nth}"
         drop_table(items.sparkSession, own)
-    return roots
+    if not at:
+        return None
+    roots = rooted.where("root <> id").select("id", "root")
+    return materialise(roots.unionAll(roots.select(F.col("root").alias("id"), "root").distinct()), folder, "roots")
+
+
+def moved(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """rows with the roots that the written table now (root, now) gives theirs."""
+    return lookup(rows, now, ["root"], 24, "left", F.col("id")).withColumn("root", F.coalesce("now", "root")).drop("now")
 
 
-def link_once(rows: DataFrame, verifier: Verifier, folder: str, out: str, similarity: float) -> list[DataFrame]:
-    """Tables of the verified pairs (a, b) of rows (bucket, id, size, root), written below out."""
+def link_once(rows: DataFrame, verifier: Verifier, folder: str, similarity: float) -> list[DataFrame]:
+    """What the verified pairs of rows (bucket, id, size, root) make of the roots: tables (root, now), each of what the one before has left."""
     fits = lengths_fit("size", "size_a", similarity) & (F.col("root") != F.col("root_a"))
     pair = [F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b"), F.least("root", "root_a").alias("v"), F.greatest("root", "root_a").alias("u")]
     as_head = lambda *names: ["bucket", *[F.col(c).alias(f"{c}_a") for c in names]]
@@ -73,37 +79,43 @@ def link_once(rows: DataFrame, verifier: Verifier, folder: str, out: str, simila
     else:
         members = None
     pairs = materialise(pairs.distinct(), folder, "pairs0")
-    good = materialise(verify(pairs.select("a", "b")).select("a", "b"), out, "good0")
-    edges = [good]
+    maps = [x for x in [regrouped(pairs, verify, folder, 0)] if x is not None]
     if members is None:
-        return edges
+        return maps
     # members lead in the order of a hash, place: about as many stand before it as its value tells
     members = members.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")).drop("n")
+    if maps:
+        members = moved(members, maps[0])
     nth, most = 1, LEADERS
     while True:
-        members = materialise(regrouped(members, pairs, good, folder), folder, f"members{nth}")
+        members = materialise(members, folder, f"members{nth}")
         several = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n")
         several = materialise(several, folder, f"several{nth}")
         if is_empty(several):
-            return edges
+            return maps
         members = materialise(lookup_hot(members, several, ["bucket"], 24, "n"), folder, f"left{nth}")
         heads = materialise(members.where(F.col("place") < most).select(*as_head("id", "size", "root", "place")), folder, f"heads{nth}")
         pairs = members.join(F.broadcast(heads) if is_small(heads, 48) else heads, "bucket").where((F.struct("place", "id") > F.struct("place_a", "id_a")) & fits)
         pairs = materialise(pairs.select(*pair).distinct(), folder, f"pairs{nth}")
-        if not is_empty(pairs):
-            good = materialise(verify(pairs.select("a", "b")).select("a", "b"), out, f"good{nth}")
-            edges.append(good)
+        now = regrouped(pairs, verify, folder, nth)
         members = members.where(F.col("place") >= most)
+        if now is not None:
+            maps.append(now)
+            members = moved(members, now)
         nth, most = nth + 1, most * GROWTH
 
 
-def regrouped(members: DataFrame, pairs: DataFrame, good: DataFrame, folder: str) -> DataFrame:
-    """members with the root that the good ones of pairs (a, b, v and u: their roots) make of theirs."""
-    if is_empty(pairs) or is_empty(good):
-        return members
+def regrouped(pairs: DataFrame, verify: Verify, folder: str, nth: int) -> DataFrame | None:
+    """(root, now): the root that those of pairs (a, b, v and u: their roots) that pass make of theirs; None if none does."""
+    if is_empty(pairs):
+        return None
+    good = materialise(verify(pairs.select("a", "b")).select("a", "b"), folder, f"good{nth}")
+    if is_empty(good):
+        return None
     joined = components(pairs.join(good, ["a", "b"], "left_semi").select(F.col("v").alias("a"), F.col("u").alias("b")), folder)
-    now = materialise(joined.select(F.col("id").alias("root"), F.col("root").alias("now")), folder, f"joined-{uuid.uuid4().hex}")
-    return lookup(members, now, ["root"], 24, "left", F.col("id")).withColumn("root", F.coalesce("now", "root")).drop("now")
+    now = joined.toDF("root", "now")
+    now._measured = measured(joined)
+    return now
 
 
 def edit_similar(texts: DataFrame, similarity: float, unique: bool = False, kinds: bool = False) -> Verifier:
