@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.boxes import angle, ciou, intersection, iou
+from ..functions.boxes import angle, area, ciou, intersection, iou
 
 SIDES = ("west", "south", "east", "north")
 
@@ -21,17 +21,20 @@ def edges(footprints: DataFrame, threshold: float = 0.0, cell: float | None = No
     if threshold < 0:
         raise ValueError("pairs that don't intersect aren't found on a grid")
     # the projection's series are computed once, and so is each footprint's angle
-    f = written(footprints.select("image_id", "zone", *SIDES, angle(*SIDES).alias("turn")), "footprints")
+    f = written(footprints.select("image_id", "zone", *SIDES, angle(*SIDES).alias("turn"), area(*SIDES).alias("area")), "footprints")
     if cell is None:
         cell = f.agg(F.greatest(F.avg(F.col("east") - F.col("west")), F.avg(F.col("north") - F.col("south")))).first()[0] or 1.0
     at = lambda c: F.floor(c / cell).cast("long")
     dealt = f.withColumn("gx", F.explode(F.sequence(at(F.col("west")), at(F.col("east"))))).withColumn("gy", F.explode(F.sequence(at(F.col("south")), at(F.col("north")))))
-    a, b = (dealt.select("zone", "gx", "gy", *[F.col(c).alias(f"{c}_{s}") for c in ("image_id", *SIDES, "turn")]) for s in "ab")
-    pairs = a.join(b, ["zone", "gx", "gy"]).where("image_id_a > image_id_b")
+    a, b = (dealt.select("zone", "gx", "gy", *[F.col(c).alias(f"{c}_{s}") for c in ("image_id", *SIDES, "turn", "area")]) for s in "ab")
+    # the written table is small, but its pairs are not: shuffled by cell, so that all tasks share them
+    pairs = a.hint("merge").join(b, ["zone", "gx", "gy"]).where("image_id_a > image_id_b")
     pairs = pairs.where((F.col("gx") == at(F.greatest("west_a", "west_b"))) & (F.col("gy") == at(F.greatest("south_a", "south_b"))))
+    # complete IoU is never above IoU, and most pairs end there; the rest is computed from a table, since the generated code of a join with all of it is too long to be compiled
+    high, wide = F.least("north_a", "north_b") - F.greatest("south_a", "south_b"), F.least("east_a", "east_b") - F.greatest("west_a", "west_b")
+    pairs = pairs.where((wide > 0) & (high > 0) & (wide * high * (1 + threshold) > (F.col("area_a") + F.col("area_b")) * (threshold * (1 - 1e-9))))
     boxes = [f"{c}_{s}" for s in "ab" for c in SIDES]
-    # complete IoU is never above IoU, and most pairs end there
-    pairs = pairs.withColumn("iou", iou(*boxes)).where(F.col("iou") > threshold)
+    pairs = written(pairs.select("image_id_a", "image_id_b", *boxes, "turn_a", "turn_b"), "pairs").withColumn("iou", iou(*boxes))
     pairs = pairs.withColumn("ciou", ciou(*boxes, plain="iou", turn=F.col("turn_a") - F.col("turn_b"))).where(F.col("ciou") > threshold)
     return pairs.select(F.col("image_id_a").alias("image_a"), F.col("image_id_b").alias("image_b"), "ciou", "iou", intersection(*boxes).alias("overlap_m2"))
 
