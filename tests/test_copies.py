@@ -3,7 +3,7 @@
 import random
 
 from skytally.operators import overlap
-from skytally.plans import joins
+from skytally.plans import joins, windows
 
 FOOT = "image_id long, zone int, west double, south double, east double, north double"
 IMAGES = "image_id long, file_name string, width long, height long, latitude double, longitude double, altitude double"
@@ -56,3 +56,30 @@ def test_nothing_overlaps(spark):
     none = one_place(spark, 1)
     assert joins.j08_overlap_edges(none).count() == 0 and joins.j16_a11_coverage(none).first().pairs == 0
     assert joins.a05_overlap_statistics(none).first().images == 0
+
+
+def test_a_chain_that_a_label_walks_along(spark):
+    """The least id is at one end, and the others fall away from it, so that no label comes from farther than a neighbour."""
+    ids = [0, *range(119, 0, -1)]
+    links = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")
+    got = overlap.groups(spark.createDataFrame([(i,) for i in [*ids, 500]], "id long"), links).collect()
+    assert {(x.id, x.group_id) for x in got} == {(i, 0) for i in ids} | {(500, 500)}
+
+
+def test_duels_of_many_copies(spark):
+    """Three thousand images of one place: twelve million candidates, of which one detection a class stays."""
+    d = spark.range(3000 * 3).selectExpr("id AS det_key", "id div 3 AS image_id", "IF(id % 3 = 0, 'b', 'a') AS class_name", "id * 7919 % 1000 AS x1", "id * 7919 % 1000 + 20 AS x2", "id * 104729 % 900 AS y1", "id * 104729 % 900 + 20 AS y2")
+    rows, gone, left = d.orderBy("image_id", "det_key").collect(), set(), {"a": [], "b": []}
+    far = {r.det_key: ((((r.x1 + r.x2) / 2 - 2000) ** 2) + ((r.y1 + r.y2) / 2 - 1500) ** 2) ** 0.5 for r in rows}
+    of, name = {r.det_key: r.image_id for r in rows}, {r.det_key: r.class_name for r in rows}
+    for image in range(3000):
+        for kind in "ab":
+            mine = [k for k in range(3 * image, 3 * image + 3) if name[k] == kind]
+            for b in sorted({of[k] for k in left[kind]}):
+                for x in mine:
+                    for y in [k for k in left[kind] if of[k] == b]:
+                        if x not in gone and y not in gone:
+                            gone.add(y if far[x] < far[y] else x)
+            left[kind] = [k for k in [*left[kind], *mine] if k not in gone]
+    got = {r.det_key for r in windows.w04_duel(one_place(spark, 3000), d).collect()}
+    assert got == {r.det_key for r in rows} - gone
