@@ -48,15 +48,17 @@ def w02b_nmm(d: DataFrame) -> DataFrame:
 @book.query("images detections", None)
 def w04_duel(images: DataFrame, d: DataFrame) -> DataFrame:
     """The detections that stay after the duels of overlapping images, per connected group of images."""
-    f = flight.footprints(images)
-    links = overlap.edges(f, 0.3)
-    groups = overlap.groups(f.select(F.col("image_id").alias("id")), links.select(F.col("image_a").alias("a"), F.col("image_b").alias("b")))
-    far = d.join(images.select("image_id", "width", "height"), "image_id").select("image_id", "class_name", "det_key", F.expr("sqrt(pow((x1 + x2) / 2e0 - width / 2e0, 2) + pow((y1 + y2) / 2e0 - height / 2e0, 2))").alias("far"))
-    one, two = (far.select(F.col("image_id").alias(f"image_{k}"), "class_name", F.col("det_key").alias(f"det_{k}"), F.col("far").alias(f"distance_{k}")) for k in (1, 2))
-    pairs = links.select(F.col("image_a").alias("image_1"), F.col("image_b").alias("image_2")).join(one, "image_1").join(two, ["image_2", "class_name"])
-    pairs = pairs.join(groups.select(F.col("id").alias("image_1"), "group_id"), "image_1").drop("class_name")
-    order = f.select("image_id", F.col("image_id").alias("place"))
-    lost = greedy.duel(pairs, order)
+    places = overlap.places(flight.footprints(images))
+    links = overlap.written(overlap.place_edges(places, 0.3).select("id_a", "id_b"), "links")
+    groups = overlap.groups(places, links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    of = groups.join(places, "id").select(F.col("id").alias("place"), "group_id", F.explode("images").alias("image_id"))
+    far = d.join(images.select("image_id", "width", "height"), "image_id").join(of, "image_id")
+    far = far.select("group_id", "class_name", "place", "image_id", "det_key", F.expr("sqrt(pow((x1 + x2) / 2e0 - width / 2e0, 2) + pow((y1 + y2) / 2e0 - height / 2e0, 2))").alias("far"))
+    far = overlap.written(far, "far")
+    there = far.select("group_id", "class_name", "place").distinct()
+    near = links.select(F.col("id_a").alias("place"), F.col("id_b").alias("other")).unionAll(links.where("id_a <> id_b").select("id_b", "id_a"))
+    near = there.join(near, "place").join(there.select("class_name", F.col("place").alias("other")), ["class_name", "other"])
+    lost = greedy.duel_at_places(far, near)
     return d.join(lost, "det_key", "left_anti").select("det_key", "image_id", "class_name")
 
 
