@@ -2,7 +2,7 @@
 
 import random
 
-from skytally.operators import overlap
+from skytally.operators import flight, overlap
 from skytally.plans import joins, windows
 
 FOOT = "image_id long, zone int, west double, south double, east double, north double"
@@ -52,6 +52,16 @@ def test_coverage_of_a_hundred_thousand_copies(spark):
     assert (r.sum_iou, r.pairs) == (4_999_950_000, 4_999_950_000)
 
 
+def test_candidates_and_boxes_of_copies(spark):
+    """A thousand images of one place, each with a box of its own spot: half a million pairs of images, no pair of boxes."""
+    d = spark.range(1000).selectExpr("id AS det_key", "id AS image_id", "IF(id % 2 = 0, 'a', 'b') AS class_name", "id % 40 * 90 AS x1", "id div 40 * 90 AS y1").selectExpr("*", "x1 + 30 AS x2", "y1 + 30 AS y2")
+    got = joins.j09_duplicate_candidates(one_place(spark, 1000), d.unionByName(d.selectExpr("det_key + 1000 AS det_key", "image_id", "class_name", "x1", "y1", "x2", "y2")))
+    assert [(r.p, r.n) for r in got.groupBy("pairs").count().toDF("p", "n").collect()] == [(4, 2 * 500 * 499 // 2)] and got.where("image_a <= image_b").isEmpty()
+    assert flight.duplicate_boxes(d, one_place(spark, 1000), 0.2, 0.01).count() == 0
+    twice = d.unionByName(d.selectExpr("det_key + 1000 AS det_key", "image_id + 1000 AS image_id", "class_name", "x1", "y1", "x2", "y2"))
+    assert {(r.det_a, r.det_b, r.ciou) for r in flight.duplicate_boxes(twice, one_place(spark, 2000), 0.2, 0.01).collect()} == {(k + 1000, k, 1.0) for k in range(1000)}
+
+
 def test_nothing_overlaps(spark):
     none = one_place(spark, 1)
     assert joins.j08_overlap_edges(none).count() == 0 and joins.j16_a11_coverage(none).first().pairs == 0
