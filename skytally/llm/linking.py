@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +13,17 @@ from .common import drop_table, is_empty, is_small, lookup, lookup_hot, material
 
 #: Members up to which all pairs of a bucket are tested at once; leaders of a larger one, about, in the first round after that of one leader; GROWTH times as many in each that follows.
 DIRECT, LEADERS, GROWTH = 4, 16, 16
+#: Members up to which those that the least id has not connected are held against each other; a larger bucket is split by tokens, or led.
+CROWD = 32
 #: Edits that the alignment allows for at first, before those that the similarity allows.
 BANDS = (16, 128, 1024, 4096, 16384)
+#: Links up to which their connected groups are found on the driver (16 bytes each); more are connected by Spark.
+LOCAL_EDGES = 300_000
 
 Verify = Callable[[DataFrame], DataFrame]
 Verifier = Callable[[str, DataFrame], Verify]
+#: (id, tokens array<long>) of the ids in members: any two ids that verify would pass have a token in common.
+Tokens = Callable[[str, DataFrame], DataFrame]
 
 
 def lengths_fit(a: str, b: str, similarity: float) -> Column:
@@ -24,20 +31,22 @@ def lengths_fit(a: str, b: str, similarity: float) -> Column:
     return F.abs(F.col(a) - F.col(b)) <= F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9)
 
 
-def link(items: DataFrame, keys: Sequence[Column], verifier: Verifier, folder: str, similarity: float = 0.8) -> DataFrame | None:
+def link(items: DataFrame, keys: Sequence[Column], verifier: Verifier, folder: str, similarity: float = 0.8, tokens: Tokens | None = None) -> DataFrame | None:
     """(id, root), the least id of its group, of all ids that have a link; None if there are no links.
 
     Linked are ids that share a bucket and pass verify. items: (id long, size int, ...), a written table; keys: columns of arrays of buckets, taken one after another, so that what an earlier one
     has connected costs a later one nothing. verifier(folder, members) gives the test of pairs, (a, b) to (a, b), of the ids in members.
 
     In buckets of at most DIRECT members every two are held against each other. In a larger one whose members are not all connected yet, all are held against the least id, so large groups of copies are
-    connected by as many pairs as there are members; where that leaves several groups, every member is a leader in its turn, LEADERS and more at a time in the order of a hash, and is held against all later
-    members that are not connected with it. So each pair that shares a bucket is tested, or connected already, unless the sizes rule it out. A bucket of n unlike members costs up to n * n / 2 tests."""
+    connected by as many pairs as there are members. Where that leaves several groups, every two members of different groups are held against each other in buckets of at most CROWD members. The members of a larger one
+    are dealt to a bucket for each of their tokens, since ids without a common token cannot pass: unlike texts that share a passage only part there. Without tokens, and where many unlike texts have one in common,
+    every member is a leader in its turn, LEADERS and more at a time in the order of a hash, and is held against all later members that are not connected with it. So each pair that shares a bucket is tested, connected
+    already, or ruled out by its sizes or tokens. A bucket of n unlike members with one token still costs up to n * n / 2 tests."""
     rooted, at = items.withColumn("root", F.col("id")), ""
     for nth, key in enumerate(keys):
         own = f"{folder}/key{nth}"
         rows = rooted.select(F.explode(key).alias("bucket"), "id", "size", "root")
-        maps = link_once(rows, verifier, own, similarity)
+        maps = link_once(rows, verifier, own, similarity, tokens)
         if maps:
             for now in maps:
                 rooted = moved(rooted, now)
@@ -57,7 +66,7 @@ def moved(rows: DataFrame, now: DataFrame) -> DataFrame:
     return lookup(rows, now, ["root"], 24, "left", F.col("id")).withColumn("root", F.coalesce("now", "root")).drop("now")
 
 
-def link_once(rows: DataFrame, verifier: Verifier, folder: str, similarity: float) -> list[DataFrame]:
+def link_once(rows: DataFrame, verifier: Verifier, folder: str, similarity: float, tokens: Tokens | None = None) -> list[DataFrame]:
     """What the verified pairs of rows (bucket, id, size, root) make of the roots: tables (root, now), each of what the one before has left."""
     fits = lengths_fit("size", "size_a", similarity) & (F.col("root") != F.col("root_a"))
     pair = [F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b"), F.least("root", "root_a").alias("v"), F.greatest("root", "root_a").alias("u")]
@@ -82,18 +91,33 @@ def link_once(rows: DataFrame, verifier: Verifier, folder: str, similarity: floa
     maps = [x for x in [regrouped(pairs, verify, folder, 0)] if x is not None]
     if members is None:
         return maps
-    # members lead in the order of a hash, place: about as many stand before it as its value tells
-    members = members.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")).drop("n")
     if maps:
         members = moved(members, maps[0])
-    nth, most = 1, LEADERS
+    # in its bucket, every member but the least id, which all have met
+    members = materialise(members, folder, "members1")
+    members = still_several(members, ["n"], folder, 1)
+    if is_empty(members):
+        return maps
+    few = members.where(F.col("n") <= CROWD)
+    pairs = few.join(few.select(*as_head("id", "size", "root")), "bucket").where((F.col("id") > F.col("id_a")) & fits).select(*pair)
+    now = regrouped(materialise(pairs.distinct(), folder, "pairs1"), verify, folder, 1)
+    members = members.where(F.col("n") > CROWD)
+    if now is not None:
+        maps.append(now)
+        members = moved(members, now)
+    if tokens is not None:
+        members = still_several(materialise(members, folder, "members2"), [], folder, 2)
+        if not is_empty(members):
+            dealt = members.join(tokens(folder, members), "id").select(F.explode("tokens").alias("token"), "bucket", "id", "size", "root")
+            maps += link_once(dealt.select(F.xxhash64("bucket", "token").alias("bucket"), "id", "size", "root"), verifier, f"{folder}/dealt", similarity)
+        return maps
+    # members lead in the order of a hash, place: about as many stand before it as its value tells
+    members = members.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")).drop("n")
+    nth, most = 2, LEADERS
     while True:
-        members = materialise(members, folder, f"members{nth}")
-        several = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n")
-        several = materialise(several, folder, f"several{nth}")
-        if is_empty(several):
+        members = still_several(materialise(members, folder, f"members{nth}"), [], folder, nth)
+        if is_empty(members):
             return maps
-        members = materialise(lookup_hot(members, several, ["bucket"], 24, "n"), folder, f"left{nth}")
         heads = materialise(members.where(F.col("place") < most).select(*as_head("id", "size", "root", "place")), folder, f"heads{nth}")
         pairs = members.join(F.broadcast(heads) if is_small(heads, 48) else heads, "bucket").where((F.struct("place", "id") > F.struct("place_a", "id_a")) & fits)
         pairs = materialise(pairs.select(*pair).distinct(), folder, f"pairs{nth}")
@@ -105,14 +129,25 @@ def link_once(rows: DataFrame, verifier: Verifier, folder: str, similarity: floa
         nth, most = nth + 1, most * GROWTH
 
 
+def still_several(members: DataFrame, keep: list[str], folder: str, nth: int) -> DataFrame:
+    """The rows of the written table members whose bucket still has several roots, a written table; keep: columns that the counting brings along anew (n: the rows left of a bucket)."""
+    several = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n", F.col("n").alias("m"))
+    several = materialise(several, folder, f"several{nth}")
+    if is_empty(several):
+        return several
+    wanted = several if keep else several.drop("n")
+    wanted._measured = measured(several)
+    return materialise(lookup_hot(members.drop(*keep), wanted, ["bucket"], 32, "m"), folder, f"left{nth}")
+
+
 def regrouped(pairs: DataFrame, verify: Verify, folder: str, nth: int) -> DataFrame | None:
     """(root, now): the root that those of pairs (a, b, v and u: their roots) that pass make of theirs; None if none does."""
     if is_empty(pairs):
         return None
-    good = materialise(verify(pairs.select("a", "b")).select("a", "b"), folder, f"good{nth}")
+    good = materialise(verify(pairs).select(F.col("v").alias("a"), F.col("u").alias("b")).distinct(), folder, f"good{nth}")
     if is_empty(good):
         return None
-    joined = components(pairs.join(good, ["a", "b"], "left_semi").select(F.col("v").alias("a"), F.col("u").alias("b")), folder)
+    joined = components(good, folder)
     now = joined.toDF("root", "now")
     now._measured = measured(joined)
     return now
@@ -142,7 +177,7 @@ def edit_similar(texts: DataFrame, similarity: float, unique: bool = False, kind
             for narrower, band in zip((-1, *BANDS), (*BANDS, None), strict=True):
                 near = F.expr(f"levenshtein(x, xa, {'most' if band is None else f'least(most, {band})'}) >= 0")
                 close = close | ((F.col("most") > narrower) & near)
-            return rows.where(close).select("a", "b")
+            return rows.where(close).select(*pairs.columns)
 
         return verify
 
@@ -150,8 +185,11 @@ def edit_similar(texts: DataFrame, similarity: float, unique: bool = False, kind
 
 
 def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
-    """(id, root): the least id of the connected group of every id in edges (a, b), by alternating large-star and small-star steps; a written table."""
+    """(id, root): the least id of the connected group of every id in edges (a, b), a written table. Few measured edges are
+    connected on the driver, others by alternating large-star and small-star steps."""
     folder = f"{folder or shared_folder(edges.sparkSession)}/components-{uuid.uuid4().hex}"
+    if measured(edges).get("rows", LOCAL_EDGES + 1) <= LOCAL_EDGES:
+        return materialise(connected(edges), folder, "roots")
     nth = 0
 
     def written(links: DataFrame, name: str) -> tuple[DataFrame, tuple]:
@@ -176,3 +214,19 @@ def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
         nth += 1
     roots = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return materialise(roots.unionAll(roots.select(F.col("root").alias("id"), "root").distinct()), folder, "roots")
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """components() of few edges, on the driver: of the roots of every edge the larger one is hung below the smaller one, until no edge has two."""
+    import pyarrow as pa
+
+    found = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).toArrow()
+    a, b = found.column(0).to_numpy(), found.column(1).to_numpy()
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while (root[one] != root[two]).any():
+        x, y = root[one], root[two]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+    return edges.sparkSession.createDataFrame(pa.table({"id": ids, "root": ids[root]})).coalesce(1)

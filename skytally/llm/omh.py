@@ -4,7 +4,8 @@ A document's k-mers of K words are labelled with their number of occurrence. For
 their order in the text; documents that agree in such a sketch are candidates, with a probability that grows with their edit similarity and not only with the sets they share. Candidates are
 verified by a banded alignment of their words: an edit distance of at most (1 - SIMILARITY) of the longer one. Connected documents form a group.
 
-Documents of equal words are one text from the start, so copies cost nothing further, and a bucket's texts are held against one leader at a time (linking.py).
+Documents of equal words are one text from the start, so copies cost nothing further, and a bucket's texts are held against one leader at first (linking.py). Where a
+large bucket's texts are unlike that one, only those are held against each other that have one of their rarest pairs of words in common, as similar texts must (rarest()).
 The alignment runs in Spark's banded levenshtein over texts with one character a word: a word's character is drawn from its hash, out of CHARACTERS. Two
 different words of a pair meet in one character with a chance of 1 in CHARACTERS.
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, is_small, lookup, lookup_hot, materialise, shared_folder, slices, text_buffer
-from .linking import edit_similar, link
+from .linking import Tokens, edit_similar, link
 from .tokens import ALNUM, LOWER, STEP, mixed, word_hashes, word_spans
 
 K, LENGTH, SIMILARITY = 5, 2, 0.8
@@ -34,6 +35,8 @@ SKETCHES = sum(ROUNDS)
 FIRST_CHARACTER, CHARACTERS = 0x3400, 0xD800 - 0x3400
 CHUNK = 2 << 20
 NULL_ID = 2**63 - 1
+#: Slots of the counts of word pairs by which rare_grams() orders them.
+SLOTS = 1 << 20
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,6 +178,75 @@ def word_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, x string")
 
 
+def grams(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of every two neighbours among the characters of the texts and an end, the text of each, and the texts' lengths."""
+    data, offsets = text_buffer(column)
+    at = data.reshape(-1, 3).astype(np.uint64)  # coded() gives three bytes each
+    c = at[:, 0] << np.uint64(16) | at[:, 1] << np.uint64(8) | at[:, 2]
+    n = np.diff(offsets) // 3
+    after = np.zeros(len(c), np.uint64)
+    after[:-1] = c[1:]
+    after[np.cumsum(n)[n > 0] - 1] = 0
+    with np.errstate(over="ignore"):
+        return mixed(c << np.uint64(24) | after), np.repeat(np.arange(len(n)), n), n
+
+
+def rarest(gram: np.ndarray, row: np.ndarray, n: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each text and how many it has: of its grams, labelled with their number of occurrence, the 2 * e + 1 least counted, where e is the edits that its length allows.
+
+    An edit changes two grams at most, so of the longer of two similar texts, m characters, at least m - 2 * e(m) grams are also the other's, no less than n - 2 * e(n) for either. All texts order their grams in the same
+    way, so the first 2 * e(n) + 1 of each have one in common, whatever the counts are."""
+    order = np.lexsort((gram, row))
+    g, r = gram[order], row[order]
+    at = np.arange(len(g))
+    same = np.zeros(len(g), bool)
+    same[1:] = (g[1:] == g[:-1]) & (r[1:] == r[:-1])
+    label = (at - np.maximum.accumulate(np.where(same, 0, at))).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        token = mixed(g + label * STEP)
+    order = np.lexsort((token, counts[(g % np.uint64(len(counts))).astype(np.int64)], r))
+    token, r = token[order], r[order]
+    take = np.where(n > 0, 2 * np.floor(n * (1 - SIMILARITY) + 1e-9).astype(np.int64) + 1, 0)
+    first = np.concatenate([[0], np.cumsum(n)])[:-1]
+    return token[at - first[r] < take[r]], take
+
+
+def rare_grams(sequences: DataFrame) -> Tokens:
+    """For link(): the tokens of the texts (id, x), which are the rarer the fewer of the texts asked for have them."""
+
+    def tokens(folder: str, members: DataFrame) -> DataFrame:
+        ids = materialise(members.select("id").distinct(), folder, "crowd")
+        rows = sequences.join(F.broadcast(ids) if is_small(ids, 16) else ids, "id", "left_semi")
+
+        def count(batches):
+            import pyarrow as pa
+
+            total = np.zeros(SLOTS, np.int64)
+            for batch in batches:
+                gram, _, _ = grams(batch.column(0))
+                total += np.bincount((gram % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "n"])
+            give_back()
+
+        found = rows.select("x").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+        counts = np.zeros(SLOTS, np.int32)
+        counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                token, take = rarest(*grams(batch.column(1)), counts)
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(take)]).astype(np.int32), pa.array(token.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "tokens"])
+            give_back()
+
+        return materialise(rows.select("id", "x").mapInArrow(run, "id long, tokens array<long>"), folder, "tokens")
+
+    return tokens
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """did, h, and the least did and its h (first_did, first_h) of the group of each document; a written table."""
     folder = shared_folder(docs.sparkSession)
@@ -192,7 +264,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     found = docs.join(F.broadcast(wanted) if is_small(wanted, 32) else wanted, (did == wanted["_did"]) & (text_hash(docs) == wanted["_h"])).select(wanted["id"], docs["text"].cast("string").alias("text"))
     sequences = materialise(word_texts(found).dropDuplicates(["id"]), folder, "sequences")  # repeated rows
     keys = [F.filter(F.slice("buckets", sum(ROUNDS[:k]) + 1, n), lambda x: x != 0) for k, n in enumerate(ROUNDS)]
-    roots = link(items.select("id", "size", "buckets"), keys, edit_similar(sequences, SIMILARITY, unique=True, kinds=True), folder, SIMILARITY)
+    roots = link(items.select("id", "size", "buckets"), keys, edit_similar(sequences, SIMILARITY, unique=True, kinds=True), folder, SIMILARITY, rare_grams(sequences))
     if roots is None:
         least = texts.select("id", "n", "first")
     else:

@@ -105,3 +105,63 @@ def test_nothing_to_link(spark):
     d = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta")], "doc_id long, text string")
     assert {(x.doc_id, x.class_id, x.n_class) for x in omh.near_duplicates(d).collect()} == {(1, 1, 1), (2, 2, 1)}
     assert omh.near_duplicates(d.limit(0)).count() == 0 and omh.keep(d.where(F.lit(False))).count() == 0
+
+
+def test_similar_texts_have_a_rare_gram_in_common():
+    """Whatever the counts are: texts as far apart as is allowed share a token, and a text's tokens differ."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    for _ in range(300):
+        a = [r.randrange(12 if r.random() < 0.5 else 900) for _ in range(r.randrange(1, 60))]
+        b = list(a)
+        for _ in range(r.randrange(len(a) // 5 + 2)):
+            at, how = r.randrange(len(b) + 1), r.random()
+            b[at : at + (how < 0.7)] = [r.randrange(900)] * (how > 0.3)
+        if not b or distance(a, b) > int(0.2 * max(len(a), len(b)) + 1e-9):
+            continue
+        coded = pa.array(["".join(chr(omh.FIRST_CHARACTER + x) for x in t) for t in (a, b, [])])
+        counts = np.random.default_rng(len(a)).integers(0, 5, 64)
+        token, take = omh.rarest(*omh.grams(coded), counts)
+        one, two = set(token[: take[0]].tolist()), set(token[take[0] :].tolist())
+        assert take.tolist() == [2 * int(0.2 * len(a) + 1e-9) + 1, 2 * int(0.2 * len(b) + 1e-9) + 1, 0] and len(one) == take[0] and one & two
+
+
+def test_unlike_texts_of_one_passage_are_not_held_against_each_other(spark, tmp_path):
+    """150 texts in one bucket: a chain of three is found, and few of the 11,175 pairs are tested."""
+    from skytally.llm import linking
+
+    r = random.Random(5)
+    passage = words(r, 30)
+    texts = [passage + words(r, 30, 10**6) for _ in range(148)]
+    texts += [texts[40][:54] + words(r, 6, 10**6), texts[40][:50] + words(r, 10, 10**6)]
+    data, offsets = text_buffer(__import__("pyarrow").array([" ".join(t) for t in texts]))
+    hashes, begin = omh.words_of(data, offsets)
+    rows = [(i, 60, [1], omh.coded(hashes[begin[i] : begin[i + 1]]).decode()) for i in range(len(texts))]
+    items = spark.createDataFrame(rows, "id long, size int, one array<long>, x string")
+    tested = []
+
+    def verifier(folder, members):
+        verify = linking.edit_similar(items.select("id", "x"), 0.8, unique=True, kinds=True)(folder, members)
+
+        def counted(pairs):
+            tested.append(pairs.count())
+            return verify(pairs)
+
+        return counted
+
+    roots = linking.link(items.select("id", "size", "one"), [F.col("one")], verifier, f"{tmp_path}/links", 0.8, omh.rare_grams(items.select("id", "x")))
+    assert {(x.id, x.root) for x in roots.collect()} == {(40, 40), (148, 40), (149, 40)}
+    assert sum(tested) < 400
+
+
+def test_few_links_are_connected_on_the_driver_as_others_by_spark(spark, tmp_path):
+    from skytally.llm import linking
+    from skytally.llm.common import materialise
+
+    r = random.Random(6)
+    edges = [(r.randrange(400), 1000 + r.randrange(400)) for _ in range(300)] + [(5000 + i, 5001 + i) for i in range(40)] + [(-7, 3)]
+    d = spark.createDataFrame(edges, "a long, b long")
+    here = linking.components(materialise(d, str(tmp_path), "edges"), str(tmp_path))
+    there = linking.components(spark.createDataFrame(edges, "a long, b long"), str(tmp_path))
+    assert sorted(here.collect()) == sorted(there.collect()) and here.columns == there.columns
