@@ -16,7 +16,10 @@ DIRECT, LEADERS, GROWTH = 4, 16, 16
 #: Members up to which those that the least id has not connected are held against each other; a larger bucket is split by tokens, or led.
 CROWD = 32
 #: Edits that the alignment allows for at first, before those that the similarity allows.
-BANDS = (16, 128, 1024, 4096, 16384)
+BANDS = (12, 40, 120, 400, 1600, 6400)
+#: Of a struct s of texts x and y: the characters both begin with, up to a 64th of the shorter one; and s without these, reversed.
+ALIKE = "aggregate(array(2, 4, 8, 16, 32, 64), 0, (p, k) -> p + if(substring(s.x, p + 1, cast(least(length(s.x), length(s.y)) div k as int)) = substring(s.y, p + 1, cast(least(length(s.x), length(s.y)) div k as int)), cast(least(length(s.x), length(s.y)) div k as int), 0))"
+REST = f"s -> element_at(transform(array({ALIKE}), p -> named_struct('x', reverse(substring(s.x, p + 1)), 'y', reverse(substring(s.y, p + 1)))), 1)"
 #: Links up to which their connected groups are found on the driver (16 bytes each); more are connected by Spark.
 LOCAL_EDGES = 300_000
 
@@ -156,7 +159,7 @@ def regrouped(pairs: DataFrame, verify: Verify, folder: str, nth: int) -> DataFr
 def edit_similar(texts: DataFrame, similarity: float, unique: bool = False, kinds: bool = False) -> Verifier:
     """For link(): keeps the pairs (a, b) whose texts (id, x; several rows of an id are equal, unless unique) are edit similar: distance <= (1 - similarity) * longer length, counted in characters of x.
 
-    The alignment is banded; narrow bands are tried first, so that its cost goes with the distance. kinds: before any alignment, the different characters that only one of the texts has are counted, since there can
+    What both texts begin and end with is left out. The alignment of the rest is banded; narrow bands are tried first, so that its cost goes with the distance. kinds: before any alignment, the different characters that only one of the texts has are counted, since there can
     be no more of them than edits; this pays where characters are words. A leader may have any number of pairs: adaptive execution splits such a key, since both sides of the joins are shuffled as they are."""
 
     def verifier(folder: str, members: DataFrame) -> Verify:
@@ -173,10 +176,10 @@ def edit_similar(texts: DataFrame, similarity: float, unique: bool = False, kind
             if kinds:
                 one, two = F.split("x", ""), F.split("xa", "")
                 rows = rows.where((F.size(F.array_except(one, two)) <= F.col("most")) & (F.size(F.array_except(two, one)) <= F.col("most")))
-            close = F.lit(False)
-            for narrower, band in zip((-1, *BANDS), (*BANDS, None), strict=True):
-                near = F.expr(f"levenshtein(x, xa, {'most' if band is None else f'least(most, {band})'}) >= 0")
-                close = close | ((F.col("most") > narrower) & near)
+            tests = [f"(s.most > {narrower} and levenshtein(s.x, s.y, {'s.most' if band is None else f'least(s.most, {band})'}) >= 0)" for narrower, band in zip((-1, *BANDS), (*BANDS, None), strict=True)]
+            # what both begin and end with costs no edit; the name of a lambda stands for a value that is computed once
+            rest = f"transform(transform(array(named_struct('x', x, 'y', xa)), {REST}), {REST})"
+            close = F.expr(f"exists(transform({rest}, s -> named_struct('x', s.x, 'y', s.y, 'most', most)), s -> {' or '.join(tests)})")
             return rows.where(close).select(*pairs.columns)
 
         return verify

@@ -159,3 +159,23 @@ def test_links_of_a_crowded_bucket_of_unlike_members(spark, linked, tmp_path):
             groups.setdefault(r.root, set()).add(r.id)
         want = [{38, 39}] if (38, 39) in linked and len(linked) == 1 else [{0, 1, 2}] if len(linked) == 2 else [{0, 25, 26, 39}] if len(linked) == 3 else [set(range(40))]
         assert list(groups.values()) == want
+
+
+def test_equal_ends_are_left_out_of_the_alignment(spark, tmp_path):
+    """Pairs of texts that share long ends, or nothing, or one of which lies within the other, against the plain distance; of equal ends a 64th of the text is left at most."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(2)
+    texts = []
+    for n in (1, 2, 7, 40, 130, 300):
+        for _ in range(4):
+            x = "".join(r.choice("abé漢 ") for _ in range(n))
+            at = r.randrange(n)
+            texts += [(x, x), (x, x[:at] + "zz" + x[at + 1 :]), (x, x[: n - n // 5]), (x, x[n // 4 :]), (x, x[::-1]), (x, edited(r, x, 0.19, False)), (x, edited(r, x, 0.3, False))]
+    rows = spark.createDataFrame([(2 * i + j, t[j]) for i, t in enumerate(texts) for j in (0, 1)], "id long, x string")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(len(texts))], "a long, b long")
+    got = {x.a // 2 for x in linking.edit_similar(rows, 0.8, unique=True)(str(tmp_path), rows)(pairs).collect()}
+    assert got == {i for i, (x, y) in enumerate(texts) if distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9)}
+    one = spark.createDataFrame([("p" * 640 + "one" + "s" * 640, "p" * 640 + "two" + "s" * 640)], "x string, y string").select(F.array(F.struct("x", "y")).alias("s"))
+    left = one.select(F.expr(f"transform(transform(s, {linking.REST}), {linking.REST})[0].x").alias("x")).first().x
+    assert "one" in left and len(left) < 64
