@@ -5,7 +5,8 @@ their order in the text; documents that agree in such a sketch are candidates, w
 verified by a banded alignment of their words: an edit distance of at most (1 - SIMILARITY) of the longer one. Connected documents form a group.
 
 Documents of equal words are one text from the start, so copies cost nothing further, and a bucket's texts are held against one leader at first (linking.py). Where a
-large bucket's texts are unlike that one, only those are held against each other that have one of their rarest pairs of words in common, as similar texts must (rarest()).
+large bucket's texts are unlike that one, only those are held against each other that have one of their rarest pairs of words in common, as similar texts must (rarest()), and where many have it, whose words
+may agree by a mark of MARKS bits.
 The alignment runs in Spark's banded levenshtein over texts with one character a word: a word's character is drawn from its hash, out of CHARACTERS. Two
 different words of a pair meet in one character with a chance of 1 in CHARACTERS.
 
@@ -37,6 +38,8 @@ CHUNK = 2 << 20
 NULL_ID = 2**63 - 1
 #: Slots of the counts of word pairs by which rare_grams() orders them.
 SLOTS = 1 << 20
+#: Bits of a text by which members of crowded buckets are compared before any alignment.
+MARKS = 4096
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,8 +214,26 @@ def rarest(gram: np.ndarray, row: np.ndarray, n: np.ndarray, counts: np.ndarray)
     return token[at - first[r] < take[r]], take
 
 
+def marks(column) -> list[bytes]:
+    """MARKS bits of each text: one for the hash of each of its characters, labelled with its number of occurrence."""
+    data, offsets = text_buffer(column)
+    at = data.reshape(-1, 3).astype(np.uint64)
+    c, n = at[:, 0] << np.uint64(16) | at[:, 1] << np.uint64(8) | at[:, 2], np.diff(offsets) // 3
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((c, row))
+    c, row, at = c[order], row[order], np.arange(len(c))
+    same = np.zeros(len(c), bool)
+    same[1:] = (c[1:] == c[:-1]) & (row[1:] == row[:-1])
+    label = (at - np.maximum.accumulate(np.where(same, 0, at))).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        slot = (mixed(c + label * STEP) % np.uint64(MARKS)).astype(np.int64)
+    bits = np.zeros((len(n), MARKS), bool)
+    bits[row, slot] = True
+    return [x.tobytes() for x in np.packbits(bits, axis=1)]
+
+
 def rare_grams(sequences: DataFrame) -> Tokens:
-    """For link(): the tokens of the texts (id, x), which are the rarer the fewer of the texts asked for have them."""
+    """For link(): the tokens of the texts (id, x), which are the rarer the fewer of the texts asked for have them, and their marks."""
 
     def tokens(folder: str, members: DataFrame) -> DataFrame:
         ids = materialise(members.select("id").distinct(), folder, "crowd")
@@ -239,10 +260,10 @@ def rare_grams(sequences: DataFrame) -> Tokens:
             for batch in batches:
                 token, take = rarest(*grams(batch.column(1)), counts)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(take)]).astype(np.int32), pa.array(token.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(marks(batch.column(1)), pa.binary())], names=["id", "tokens", "marks"])
             give_back()
 
-        return materialise(rows.select("id", "x").mapInArrow(run, "id long, tokens array<long>"), folder, "tokens")
+        return materialise(rows.select("id", "x").mapInArrow(run, "id long, tokens array<long>, marks binary"), folder, "tokens")
 
     return tokens
 

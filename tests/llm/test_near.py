@@ -155,6 +155,51 @@ def test_unlike_texts_of_one_passage_are_not_held_against_each_other(spark, tmp_
     assert sum(tested) < 400
 
 
+def crowd(texts):
+    """Items (id, size, one, two, x) of texts that all share the bucket 1, and every other one of them one more."""
+    hashes, begin = omh.words_of(*text_buffer(__import__("pyarrow").array([" ".join(t) for t in texts])))
+    return [(i, len(t), [1], [2 + i % 2], omh.coded(hashes[begin[i] : begin[i + 1]]).decode()) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("block", [8192, 40])
+def test_a_large_group_and_unlike_texts_of_its_passage(spark, tmp_path, monkeypatch, block):
+    """71 near copies and 15 texts that are farther from these, in one bucket: groups as by brute force, and few of the 1,065 pairs of both kinds are tested."""
+    from skytally.llm import linking
+
+    monkeypatch.setattr(linking, "BLOCK", block)
+    r = random.Random(8)
+    base = words(r, 60)
+    texts = [base]
+    for n in [3] * 70 + [24] * 15:
+        t = list(base)
+        for i in r.sample(range(60), n):
+            t[i] = f"z{r.randrange(10**6)}"
+        texts.append(t)
+    texts.append(texts[80][:55] + words(r, 5, 10**6))  # of a text that is unlike the large group
+    rows = crowd(texts)
+    items, tested = spark.createDataFrame(rows, "id long, size int, one array<long>, two array<long>, x string"), []
+
+    def verifier(folder, members):
+        verify = linking.edit_similar(items.select("id", "x"), 0.8, unique=True, kinds=True)(folder, members)
+
+        def counted(pairs):
+            tested.append(pairs.count())
+            return verify(pairs)
+
+        return counted
+
+    roots = linking.link(items.select("id", "size", "one", "two"), [F.col("one"), F.col("two")], verifier, f"{tmp_path}/links", 0.8, omh.rare_grams(items.select("id", "x")))
+    got = {x.id: x.root for x in roots.collect()}
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if distance(texts[i], texts[j]) <= 12 and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    assert got == {i: g for i, g in enumerate(group) if group.count(g) > 1} and group[86] == group[80] != 0
+    assert sum(tested) < 400
+
+
 def test_few_links_are_connected_on_the_driver_as_others_by_spark(spark, tmp_path):
     from skytally.llm import linking
     from skytally.llm.common import materialise
