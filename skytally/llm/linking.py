@@ -160,7 +160,7 @@ def link_once(rows: DataFrame, verifier: Verifier, folder: str, similarity: floa
 def crowded(items: DataFrame, members: DataFrame, verifier: Verifier, folder: str, similarity: float, tokens: Tokens) -> list[DataFrame]:
     """What link_once() returns, for members (bucket, id, n) of crowded buckets; items: (id, size, root, all), with all buckets of an id.
 
-    Ids that share a token of at most CROWD ids are held against each other if they share a bucket. Those that have another token are compared in their buckets by their marks (alike()); few unlike texts
+    Ids that share a token of at most CROWD ids are held against each other if they share a bucket. Those that have another token, and their groups, are compared in their buckets by their marks (alike()); few unlike texts
     have such a token, and members of one group aren't compared."""
     fits = lengths_fit("size", "size_a", similarity) & (F.col("root") != F.col("root_a"))
     pair = [F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b"), F.least("root", "root_a").alias("v"), F.greatest("root", "root_a").alias("u")]
@@ -168,11 +168,14 @@ def crowded(items: DataFrame, members: DataFrame, verifier: Verifier, folder: st
     items = materialise(items.join(F.broadcast(ids) if is_small(ids, 16) else ids, "id", "left_semi"), folder, "items")
     marked = tokens(folder, items)
     dealt = materialise(marked.join(items.select("id", "size", "root"), "id").select(F.explode("tokens").alias("token"), "id", "size", "root"), folder, "dealt")
-    shared = dealt.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y").select("token", "n", F.col("n").alias("m"))
+    # a token's ids of one group are one row
+    by_root = materialise(dealt.groupBy("token", "root").agg(F.count("*").alias("ids")), folder, "by_root")
+    shared = by_root.groupBy("token").agg(F.count("*").alias("m"), F.sum("ids").alias("n")).where("m > 1").select("token", "n", "m")
     shared = materialise(shared, folder, "shared")
     if is_empty(shared):
         return []
-    held = materialise(lookup_hot(dealt, shared, ["token"], 32, "m"), folder, "held")
+    scarce = materialise(shared.where(F.col("n") <= CROWD).drop("m"), folder, "scarce")
+    held = materialise(lookup_hot(dealt, scarce, ["token"], 16, "n"), folder, "held")
     verify, maps = verifier(folder, items), []
 
     def in_one_bucket(pairs: DataFrame) -> DataFrame:
@@ -180,16 +183,18 @@ def crowded(items: DataFrame, members: DataFrame, verifier: Verifier, folder: st
         found = found.join(all_.toDF("a", "one"), "a").join(all_.toDF("b", "two"), "b")
         return found.where(F.arrays_overlap("one", "two")).select(*pairs.columns)
 
-    few = held.where(F.col("n") <= CROWD)
-    pairs = few.join(few.select("token", *[F.col(c).alias(f"{c}_a") for c in ("id", "size", "root")]), "token").where((F.col("id") > F.col("id_a")) & fits).select(*pair)
+    pairs = held.join(held.select("token", *[F.col(c).alias(f"{c}_a") for c in ("id", "size", "root")]), "token").where((F.col("id") > F.col("id_a")) & fits).select(*pair)
     now = regrouped(materialise(pairs.distinct(), folder, "pairs0"), in_one_bucket, folder, 0)
     if now is not None:
         maps.append(now)
         items = materialise(moved(items, now), folder, "items1")
-    hot = materialise(held.where(F.col("n") > CROWD).select("id").distinct(), folder, "hot")
+    common = materialise(shared.where(F.col("n") > CROWD).drop("n"), folder, "common")
+    hot = materialise(lookup_hot(by_root, common, ["token"], 16, "m").select("root").distinct(), folder, "hot")
     if is_empty(hot):
         return maps
-    items = items.join(F.broadcast(hot) if is_small(hot, 16) else hot, "id", "left_semi").join(marked.select("id", "marks"), "id")
+    if now is not None:
+        hot = materialise(moved(hot.withColumn("id", F.col("root")), now).select("root").distinct(), folder, "hot1")
+    items = items.join(F.broadcast(hot) if is_small(hot, 16) else hot, "root", "left_semi").join(marked.select("id", "marks"), "id")
     items = materialise(items, folder, "items2")
     rows = materialise(members.drop("n").join(items.select("id", "root"), "id"), folder, "members")
     several = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n", F.col("n").alias("m"))
@@ -296,7 +301,7 @@ def edit_similar(texts: DataFrame, similarity: float, unique: bool = False, kind
             tests = [f"(s.most > {narrower} and levenshtein(s.x, s.y, {'s.most' if band is None else f'least(s.most, {band})'}) >= 0)" for narrower, band in zip((-1, *BANDS), (*BANDS, None), strict=True)]
             # what both begin and end with costs no edit; the name of a lambda stands for a value that is computed once
             rest = f"transform(transform(array(named_struct('x', x, 'y', xa)), {REST}), {REST})"
-            close = F.expr(f"exists(transform({rest}, s -> named_struct('x', s.x, 'y', s.y, 'most', most)), s -> {' or '.join(tests)})")
+            close = F.expr(f"exists(transform({rest}, s -> named_struct('x', s.x, 'y', s.y, 'most', most)), s -> greatest(length(s.x), length(s.y)) <= s.most or {' or '.join(tests)})")
             return rows.where(close).select(*pairs.columns)
 
         return verify
