@@ -46,7 +46,8 @@ def line_id(line: Column) -> Column:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """did, h, nth, line (normalised, not empty) of every line."""
-    lines = docs.where(docs["text"].isNotNull()).select(*key(docs), F.posexplode(normalised(docs["text"])).alias("nth", "raw"))
+    # no array is empty; of explode() Spark infers a filter that computes the array a second time
+    lines = docs.where(docs["text"].isNotNull()).select(*key(docs), F.posexplode_outer(normalised(docs["text"])).alias("nth", "raw"))
     return lines.select("did", "h", "nth", F.trim("raw").alias("line")).where("line <> ''")
 
 
@@ -62,11 +63,17 @@ def joined_bits(parts: list[Column]) -> Column:
 
 def simhashes(lines: DataFrame) -> DataFrame:
     """(id, size, s0, s1) of each row of lines (row, id, size, line); s0 and s1 are the halves of its SimHash."""
-    f = lines.select("row", "id", "size", F.expr(FEATURES).alias("f")).select("row", "id", "size", F.size("f").alias("k"), F.posexplode("f").alias("at", "word"))
-    words = f.select("row", "id", "size", "k", F.expr(f"at div {RUN}").alias("run"), F.xxhash64("word").alias("h0")).withColumn("h1", F.xxhash64(F.lit(1), "h0"))
+    # lines that may have more than RUN features: of so many words, or those without enough long words
+    enough = F.col("line").rlike(rf"^(?:(?:[^ ]{{1,{FEATURE - 1}}} )*+[^ ]{{{FEATURE},}}+(?: |\z)){{{MIN_WORDS}}}")
+    longer = (F.col("size") >= (RUN + 1) * (FEATURE + 1) - 1) | ((F.col("size") > RUN + 2) & ~enough)
     lane = F.lit(0x0101010101010101)
     sums = [F.sum(F.shiftrightunsigned(f"h{i}", b).bitwiseAND(lane)).alias(f"s{i}_{b}") for i in (0, 1) for b in range(8)]
-    counted = words.groupBy("row", "id", "size", "k", "run").agg(F.count("*").alias("n"), *sums)
+
+    def counted(some: DataFrame, feature: Column, *run: Column) -> DataFrame:
+        f = some.select("row", "id", "size", feature)
+        words = f.select("row", "id", "size", *run, F.xxhash64("word").alias("h0")).withColumn("h1", F.xxhash64(F.lit(1), "h0"))
+        return words.groupBy("row", "id", "size", *["run"] * len(run)).agg(F.count("*").alias("n"), *sums)
+
     # a counter is above half of n if adding 127 - n div 2 to it sets its highest bit
     lift = F.expr("(127L - n div 2) * 16843009L")
 
@@ -77,10 +84,10 @@ def simhashes(lines: DataFrame) -> DataFrame:
             halves.append(joined_bits([F.shiftrightunsigned((p + lift).bitwiseAND(F.lit(0x80808080)), 7 - b) for b, p in enumerate(parts)]))
         return halves[0].bitwiseOR(F.shiftleft(halves[1], 32)).alias(f"s{i}")
 
-    few = counted.where(F.col("k") <= RUN).select("id", "size", of_one_run(0), of_one_run(1))
+    few = counted(lines.where(~longer), F.explode_outer(F.expr(FEATURES)).alias("word")).select("id", "size", of_one_run(0), of_one_run(1))
     # of more runs: two 32-bit counters in a long
     wide = [F.sum(F.shiftrightunsigned(f"s{i}_{b}", 8 * j).bitwiseAND(F.lit(0x000000FF000000FF))).alias(f"t{i}_{b}_{j}") for i in (0, 1) for b in range(8) for j in range(4)]
-    many = counted.where(F.col("k") > RUN).groupBy("row", "id", "size").agg(F.expr("sum(n) div 2").alias("half"), *wide)
+    many = counted(lines.where(longer), F.posexplode_outer(F.expr(FEATURES)).alias("at", "word"), F.expr(f"at div {RUN}").alias("run")).groupBy("row", "id", "size").agg(F.expr("sum(n) div 2").alias("half"), *wide)
 
     def of_more_runs(i: int) -> Column:
         bit = lambda c, at: F.when(c > F.col("half"), F.shiftleft(F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long"))
@@ -100,7 +107,7 @@ def block(n: int) -> Column:
 def block_keys(apart: int) -> Column:
     """The keys of the blocks that lie so far apart in the ring of blocks."""
     pairs = sorted({tuple(sorted((n, (n + apart) % BLOCKS))) for n in range(BLOCKS)})
-    return F.array(*[F.xxhash64(F.lit(a * BLOCKS + b), block(a), block(b)) for a, b in pairs])
+    return F.array(*[F.lit((a * BLOCKS + b) << 32).bitwiseOR(F.shiftleft(block(a), 16)).bitwiseOR(block(b)) for a, b in pairs])
 
 
 def removed(docs: DataFrame) -> DataFrame:

@@ -111,6 +111,20 @@ def test_equal_rows_and_empty_tables(spark):
     assert linedup.dedup_lines(d.limit(0)).count() == 0
 
 
+def test_lines_are_hashed_once_whatever_their_features(spark):
+    """SimHashes of lines around the bounds of a run; lines of few features aren't read by the branch of many."""
+    r = random.Random(11)
+    lines = ["abcd " * n + "abcde" for n in (4, 5, 126, 127, 128, 300)] + ["ab " * n + "abcd efgh" for n in (40, 43, 60, 300)] + [line_of(r, n) for n in (3, 4, 5, 30, 100, 130)] + ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n)) for n in (2, 129, 130, 700)]
+    d = spark.createDataFrame([(i, i, len(x), x) for i, x in enumerate(lines)], "row long, id long, size int, line string")
+    hashes = linedup.simhashes(d)
+    got = {x.id: [(x[f"s{h}"] >> 16 * k) & 0xFFFF for h in (0, 1) for k in range(4)] for x in hashes.collect()}
+    assert got == {i: simhash(x) for i, x in enumerate(lines)}
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(hashes).count("filter(split(") == 2  # one for each branch
+    docs = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
+    assert plan(linedup.occurrences(docs)).count("regexp_replace(") == 1
+
+
 def test_six_bits_always_leave_two_blocks(spark):
     """Pigeonhole: hashes that differ in at most 6 of 128 bits share a key, whichever bits these are."""
     r = random.Random(6)
