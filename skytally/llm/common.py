@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, folder: str | None = None, name: str = "table", row_bytes: Column | None = None, **measures: Column) -> DataFrame:
+def materialise(df: DataFrame, folder: str | None = None, name: str = "table", row_bytes: Column | None = None, compression: str | None = None, **measures: Column) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: the lineage ends there, whichever executor is lost.
 
     The rows, the sum of row_bytes and other aggregates asked for are counted while the table is written; measured() has them."""
@@ -42,7 +42,7 @@ def materialise(df: DataFrame, folder: str | None = None, name: str = "table", r
     path = f"{folder or shared_folder(spark)}/{name}"
     measures = {"rows": F.count(F.lit(1))} | ({} if row_bytes is None else {"bytes": F.sum(row_bytes.cast("long"))}) | measures
     seen = Observation()
-    df.observe(seen, *[c.alias(k) for k, c in measures.items()]).write.mode("overwrite").parquet(path)
+    df.observe(seen, *[c.alias(k) for k, c in measures.items()]).write.mode("overwrite").parquet(path, compression=compression)
     table = spark.read.schema(df.schema).parquet(path)
     table._measured = observed(seen, list(measures))
     return table
@@ -66,10 +66,15 @@ def is_empty(table: DataFrame) -> bool:
     return table.isEmpty() if rows is None else rows == 0
 
 
-def drop_table(spark: SparkSession, folder: str) -> None:
-    """Delete a written table that no plan reads any more, and let Spark drop the shuffle files of plans that are gone."""
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are gone."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def drop_table(spark: SparkSession, folder: str) -> None:
+    """Delete a written table that no plan reads any more, and let Spark drop the shuffle files of plans that are gone."""
+    drop_shuffles(spark)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -6,8 +6,8 @@ two blocks equal (pigeonhole), and so do many that differ in more. Lines that sh
 So exactly those lines are linked that are edit similar and whose SimHashes agree in two blocks. Equal lines are one from the start.
 Of each connected group of lines the first occurrence, by (doc_id, line number), stays and all others go.
 
-SimHash without a row a bit: 8-bit counters of eight bits of a hash lie in one long, so that 16 sums a line hold the 128 counters. A counter may not
-exceed 127, so a line is summed in runs of RUN features; the counters of several runs are added up in 32 bits.
+SimHash without a row a bit or a feature: 8-bit counters of eight bits of a hash lie in one long, so that 16 sums a line hold the 128 counters. The features of NIBBLE at a time are first summed in 4-bit counters, half as many sums.
+A counter may not exceed 127, so a line is summed in runs of RUN features at most; the counters of several runs are added up in 32 bits.
 
 Defined results. Lines end with a line feed. Empty lines and lines without letters, digits and other characters than ASCII stay and are never linked. Null texts stay null. Texts and lines of any length are treated whole.
 A text all of whose lines go becomes empty. A null doc_id orders last; rows equal in doc_id and text are the same document and keep the same lines. An empty table gives no rows. All columns pass through, text excepted.
@@ -20,13 +20,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, lookup_hot, materialise, shared_folder
+from .common import drop_shuffles, is_small, lookup_hot, materialise, shared_folder
 from .linking import edit_similar, link
 
 #: FEATURE: characters of a word that counts for the SimHash; shorter ones are common to most lines.
-MIN_WORDS, SIMILARITY, FEATURE, BLOCKS, RUN = 5, 0.8, 4, 8, 127
+MIN_WORDS, SIMILARITY, FEATURE, BLOCKS, RUN, NIBBLE = 5, 0.8, 4, 8, 127, 7
 #: Listed one by one: Java looks such a class up in a table.
-OTHER = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum() and chr(c) != "\n") + "]+"
+NO_SPACE = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum() and chr(c) not in "\n ")
+#: Runs of these characters and spaces, but for single spaces, which stay as they are.
+OTHER = rf"[{NO_SPACE}][{NO_SPACE}\x20]*+|\x20[{NO_SPACE}\x20]++"
 NULL_ID = 2**63 - 1
 
 
@@ -57,6 +59,10 @@ GRAMS = "transform(sequence(1, greatest(length(line) - 2, 1)), i -> substring(li
 FEATURES = f"element_at(transform(array({LONG_WORDS}), w -> if(size(w) >= {MIN_WORDS}, w, {GRAMS})), 1)"
 
 
+#: The features in groups of at most NIBBLE.
+GROUPS = f"element_at(transform(array({FEATURES}), f -> transform(sequence(0, cast((size(f) - 1) div {NIBBLE} as int)), k -> slice(f, k * {NIBBLE} + 1, {NIBBLE}))), 1)"
+
+
 def joined_bits(parts: list[Column]) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), parts)
 
@@ -66,13 +72,17 @@ def simhashes(lines: DataFrame) -> DataFrame:
     # lines that may have more than RUN features: of so many words, or those without enough long words
     enough = F.col("line").rlike(rf"^(?:(?:[^ ]{{1,{FEATURE - 1}}} )*+[^ ]{{{FEATURE},}}+(?: |\z)){{{MIN_WORDS}}}")
     longer = (F.col("size") >= (RUN + 1) * (FEATURE + 1) - 1) | ((F.col("size") > RUN + 2) & ~enough)
-    lane = F.lit(0x0101010101010101)
-    sums = [F.sum(F.shiftrightunsigned(f"h{i}", b).bitwiseAND(lane)).alias(f"s{i}_{b}") for i in (0, 1) for b in range(8)]
 
-    def counted(some: DataFrame, feature: Column, *run: Column) -> DataFrame:
-        f = some.select("row", "id", "size", feature)
-        words = f.select("row", "id", "size", *run, F.xxhash64("word").alias("h0")).withColumn("h1", F.xxhash64(F.lit(1), "h0"))
-        return words.groupBy("row", "id", "size", *["run"] * len(run)).agg(F.count("*").alias("n"), *sums)
+    def counted(some: DataFrame, groups: Column, *run: Column) -> DataFrame:
+        f = some.select("row", "id", "size", groups)
+        there = lambda k: F.size("words") > k
+        zero = F.lit(0).cast("long")
+        words = f.select("row", "id", "size", *run, "words", *[F.when(there(k), F.xxhash64(F.get("words", F.lit(k)))).otherwise(zero).alias(f"h0_{k}") for k in range(NIBBLE)])
+        words = words.select("*", *[F.when(there(k), F.xxhash64(F.lit(1), f"h0_{k}")).otherwise(zero).alias(f"h1_{k}") for k in range(NIBBLE)])
+        four = lambda i, b: reduce(lambda x, y: x + y, [F.shiftrightunsigned(f"h{i}_{k}", b).bitwiseAND(F.lit(0x1111111111111111)) for k in range(NIBBLE)])
+        words = words.select("row", "id", "size", *[x for x in ["run"] if run], F.size("words").alias("m"), *[four(i, b).alias(f"q{i}_{b}") for i in (0, 1) for b in range(4)])
+        sums = [F.sum(F.shiftrightunsigned(f"q{i}_{b % 4}", b // 4 * 4).bitwiseAND(F.lit(0x0F0F0F0F0F0F0F0F))).alias(f"s{i}_{b}") for i in (0, 1) for b in range(8)]
+        return words.groupBy("row", "id", "size", *["run"] * len(run)).agg(F.sum("m").alias("n"), *sums)
 
     # a counter is above half of n if adding 127 - n div 2 to it sets its highest bit
     lift = F.expr("(127L - n div 2) * 16843009L")
@@ -84,10 +94,10 @@ def simhashes(lines: DataFrame) -> DataFrame:
             halves.append(joined_bits([F.shiftrightunsigned((p + lift).bitwiseAND(F.lit(0x80808080)), 7 - b) for b, p in enumerate(parts)]))
         return halves[0].bitwiseOR(F.shiftleft(halves[1], 32)).alias(f"s{i}")
 
-    few = counted(lines.where(~longer), F.explode_outer(F.expr(FEATURES)).alias("word")).select("id", "size", of_one_run(0), of_one_run(1))
+    few = counted(lines.where(~longer), F.explode_outer(F.expr(GROUPS)).alias("words")).select("id", "size", of_one_run(0), of_one_run(1))
     # of more runs: two 32-bit counters in a long
     wide = [F.sum(F.shiftrightunsigned(f"s{i}_{b}", 8 * j).bitwiseAND(F.lit(0x000000FF000000FF))).alias(f"t{i}_{b}_{j}") for i in (0, 1) for b in range(8) for j in range(4)]
-    many = counted(lines.where(longer), F.posexplode_outer(F.expr(FEATURES)).alias("at", "word"), F.expr(f"at div {RUN}").alias("run")).groupBy("row", "id", "size").agg(F.expr("sum(n) div 2").alias("half"), *wide)
+    many = counted(lines.where(longer), F.posexplode_outer(F.expr(GROUPS)).alias("at", "words"), F.expr(f"at div {RUN // NIBBLE}").alias("run")).groupBy("row", "id", "size").agg(F.expr("sum(n) div 2").alias("half"), *wide)
 
     def of_more_runs(i: int) -> Column:
         bit = lambda c, at: F.when(c > F.col("half"), F.shiftleft(F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long"))
@@ -114,9 +124,10 @@ def removed(docs: DataFrame) -> DataFrame:
     """did, h and gone, the numbers of the lines that go, of the documents that lose lines."""
     folder = shared_folder(docs.sparkSession)
     lines = occurrences(docs).select(F.monotonically_increasing_id().alias("row"), "did", "h", "nth", line_id(F.col("line")).alias("id"), F.length("line").alias("size"), "line")
-    lines = materialise(lines, folder, "lines")
+    lines = materialise(lines, folder, "lines", compression="lz4_raw")
     once = simhashes(lines).groupBy("id").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("size", "s0", "s1")])
     once = materialise(once.select("id", "n", "size", F.array("s0", "s1").alias("sim")), folder, "once")
+    drop_shuffles(docs.sparkSession)
     texts = lines.select("id", F.col("line").alias("x"))
     roots = link(once.select("id", "size", "sim"), [block_keys(k) for k in range(1, BLOCKS // 2 + 1)], edit_similar(texts, SIMILARITY), folder, SIMILARITY)
     # of every group with several occurrences, where the first one is

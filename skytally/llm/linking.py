@@ -18,11 +18,18 @@ DIRECT, LEADERS, GROWTH = 4, 16, 16
 CROWD = 32
 #: Members of a crowded bucket that are compared by their marks in one task, or with as many others.
 BLOCK = 8192
-#: Edits that the alignment allows for at first, before those that the similarity allows.
-BANDS = (12, 40, 120, 400, 1600, 6400)
+#: A text is cut before every STEP characters where the next ANCHOR characters are found in the other text, at most SLACK from where the cut before lets expect them.
+STEP, SLACK, ANCHOR = 32, 24, 8
 #: Of a struct s of texts x and y: the characters both begin with, up to a 64th of the shorter one; and s without these, reversed.
 ALIKE = "aggregate(array(2, 4, 8, 16, 32, 64), 0, (p, k) -> p + if(substring(s.x, p + 1, cast(least(length(s.x), length(s.y)) div k as int)) = substring(s.y, p + 1, cast(least(length(s.x), length(s.y)) div k as int)), cast(least(length(s.x), length(s.y)) div k as int), 0))"
 REST = f"s -> element_at(transform(array({ALIKE}), p -> named_struct('x', reverse(substring(s.x, p + 1)), 'y', reverse(substring(s.y, p + 1)))), 1)"
+AT = f"(k * {STEP} + 1)"
+PLACE = f"locate(substring(s.x, {AT}, {ANCHOR}), substring(s.y, w, t.q + {AT} - t.p + {SLACK + ANCHOR} - w))"
+CUT = f"named_struct('p', {AT}, 'q', coalesce(w + j - 1, 0), 'd', coalesce(t.d + levenshtein(substring(s.x, t.p, {AT} - t.p), substring(s.y, t.q, w + j - 1 - t.q)), 0))"
+#: Whether the pieces between the cuts of s.x and s.y have at most s.most edits together, p and q being the last cuts. The texts then have no more; where there is no cut, or more edits, nothing is known.
+PIECES = f"""aggregate(sequence(0, cast(length(s.x) div {STEP} as int)), named_struct('p', 1, 'q', 1, 'd', 0), (t, k) -> if(t.d > s.most, t, element_at(transform(
+    array(greatest(t.q, t.q + {AT} - t.p - {SLACK})), w -> element_at(transform(array({PLACE}), j -> if(j > 0, {CUT}, t)), 1)), 1)),
+    t -> if(t.p > 1 and t.d <= s.most, levenshtein(substring(s.x, t.p), substring(s.y, t.q), s.most - t.d) >= 0, false))"""
 #: Links up to which their connected groups are found on the driver (16 bytes each); more are connected by Spark.
 LOCAL_EDGES = 300_000
 
@@ -278,7 +285,7 @@ def regrouped(pairs: DataFrame, verify: Verify, folder: str, nth: int) -> DataFr
 def edit_similar(texts: DataFrame, similarity: float, unique: bool = False, kinds: bool = False) -> Verifier:
     """For link(): keeps the pairs (a, b) whose texts (id, x; several rows of an id are equal, unless unique) are edit similar: distance <= (1 - similarity) * longer length, counted in characters of x.
 
-    What both texts begin and end with is left out. The alignment of the rest is banded; narrow bands are tried first, so that its cost goes with the distance. kinds: before any alignment, the different characters that only one of the texts has are counted, since there can
+    What both texts begin and end with is left out. The rest is cut where both texts agree, and the pieces are aligned: they cost a small part of the whole, and no alignment has more edits than the least one. Only where the pieces' edits are too many, the rest is aligned whole. kinds: before any alignment, the different characters that only one of the texts has are counted, since there can
     be no more of them than edits; this pays where characters are words. A leader may have any number of pairs: adaptive execution splits such a key, since both sides of the joins are shuffled as they are."""
 
     def verifier(folder: str, members: DataFrame) -> Verify:
@@ -298,10 +305,9 @@ def edit_similar(texts: DataFrame, similarity: float, unique: bool = False, kind
             if kinds:
                 one, two = F.split("x", ""), F.split("xa", "")
                 rows = rows.where((F.size(F.array_except(one, two)) <= F.col("most")) & (F.size(F.array_except(two, one)) <= F.col("most")))
-            tests = [f"(s.most > {narrower} and levenshtein(s.x, s.y, {'s.most' if band is None else f'least(s.most, {band})'}) >= 0)" for narrower, band in zip((-1, *BANDS), (*BANDS, None), strict=True)]
             # what both begin and end with costs no edit; the name of a lambda stands for a value that is computed once
             rest = f"transform(transform(array(named_struct('x', x, 'y', xa)), {REST}), {REST})"
-            close = F.expr(f"exists(transform({rest}, s -> named_struct('x', s.x, 'y', s.y, 'most', most)), s -> greatest(length(s.x), length(s.y)) <= s.most or {' or '.join(tests)})")
+            close = F.expr(f"exists(transform({rest}, s -> named_struct('x', s.x, 'y', s.y, 'most', most)), s -> greatest(length(s.x), length(s.y)) <= s.most or {PIECES} or levenshtein(s.x, s.y, s.most) >= 0)")
             return rows.where(close).select(*pairs.columns)
 
         return verify

@@ -193,3 +193,35 @@ def test_equal_ends_are_left_out_of_the_alignment(spark, tmp_path):
     one = spark.createDataFrame([("p" * 640 + "one" + "s" * 640, "p" * 640 + "two" + "s" * 640)], "x string, y string").select(F.array(F.struct("x", "y")).alias("s"))
     left = one.select(F.expr(f"transform(transform(s, {linking.REST}), {linking.REST})[0].x").alias("x")).first().x
     assert "one" in left and len(left) < 64
+
+
+def test_scattered_edits_need_no_whole_alignment(spark):
+    """Long lines with words replaced, left out or added here and there are linked by their pieces alone; pieces never link what is too far apart."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    near, far = [], []
+    for n in (60, 90, 150):
+        for _ in range(6):
+            words = line_of(r, n).split(" ")
+            other = list(words)
+            for i in sorted(r.sample(range(5, n - 5), n // 30), reverse=True):
+                other[i : i + 1] = r.choice([[word(r)], [], [word(r), other[i]]])
+            near.append((" ".join(words), " ".join(other)))
+            far += [(" ".join(words), edited(r, " ".join(words), share, True)) for share in (0.15, 0.25, 0.3, 0.5)]
+    rows = [(x, y, int(max(len(x), len(y)) * 0.2 + 1e-9)) for x, y in near + far]
+    d = spark.createDataFrame(rows, "x string, y string, most int").select(F.expr(f"transform(array(named_struct('x', x, 'y', y, 'most', most)), s -> {linking.PIECES})[0]").alias("linked"))
+    linked = [x.linked for x in d.collect()]
+    assert all(linked[: len(near)])
+    apart = [distance(x, y) > most for x, y, most in rows]
+    assert any(apart) and not any(a and b for a, b in zip(apart, linked, strict=True))
+
+
+def test_features_are_grouped_and_single_spaces_stay(spark):
+    """Features are rows of up to NIBBLE, and what is replaced is punctuation and runs of spaces, not single spaces."""
+    assert linedup.NIBBLE <= 7  # a counter of four bits, the highest of which is the sign
+    lines = spark.createDataFrame([(" ".join(["abcd"] * n),) for n in (5, 7, 8, 14, 15)], "line string")
+    from pyspark.sql import functions as F
+
+    assert [[len(g) for g in x.g] for x in lines.select(F.expr(linedup.GROUPS).alias("g")).collect()] == [[5], [7], [7, 1], [7, 7], [7, 7, 1]]
+    assert re.findall(linedup.OTHER, "a b  c, d .e\n f\t\n") == ["  ", ", ", " .", "\t"]
